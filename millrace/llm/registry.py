@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from millrace.llm import q_mixing, q_sentencepiece, q_sharding
+from millrace.llm import q_mixing, q_pii, q_sentencepiece, q_sharding
 
 QUERIES = {
     "op1_sentencepiece": q_sentencepiece.op1_sentencepiece,
     "op2_mixing": q_mixing.op2_mixing,
+    "op7_pii": q_pii.op7_pii,
     "op10_sharding": q_sharding.op10_sharding,
 }
 
