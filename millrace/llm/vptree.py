@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import partitions, written
+from millrace.llm.common import groups, partitions, written
 
 SHARD_ROWS, LEAF, BLOCK = 4096, 64, 512
 
@@ -109,31 +109,11 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Rows that share keys, from batches sorted by them; one group is held at a time."""
-    held: list[pa.RecordBatch] = []
-    key = None
-    for batch in batches:
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        if not batch.num_rows:
-            continue
-        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
-        for a, b in zip([0, *change], [*change, batch.num_rows], strict=True):
-            here = tuple(c[a] for c in columns)
-            if held and here != key:
-                yield pa.Table.from_batches(held)
-                held = []
-            key = here
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def trees(base: DataFrame, n_shards: int) -> DataFrame:
     """(dim, shard, ids, x, nodes): the index, a row for each tree, stored in the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, ["dim", "shard"]):
+        for group in groups(batches, ["dim", "shard"]):
             dim = group["dim"][0].as_py()
             x = np.concatenate([_matrix(c, dim) for c in group["v"].chunks])
             tree = build(group["id"].to_numpy(), x)
@@ -159,7 +139,7 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 10, factor: float = 1.0,
     n_blocks = max(1, math.ceil(base.filter(is_query).count() / BLOCK))
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, ["dim", "block"]):
+        for group in groups(batches, ["dim", "block"]):
             dim = group["dim"][0].as_py()
             q = np.concatenate([_matrix(c, dim) for c in group["v"].chunks])
             yield pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "q_ids": [group["id"].to_numpy().astype("<i8").tobytes()], "q": [q.tobytes()]})
