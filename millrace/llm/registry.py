@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from millrace.llm import q_crosspolytope, q_mixing, q_pii, q_sentencepiece, q_sharding, q_vptree
+from millrace.llm import q_crosspolytope, q_mixing, q_orderminhash, q_pii, q_sentencepiece, q_sharding, q_vptree
 
 QUERIES = {
     "op1_sentencepiece": q_sentencepiece.op1_sentencepiece,
     "op2_mixing": q_mixing.op2_mixing,
     "op5_crosspolytope": q_crosspolytope.op5_crosspolytope,
+    "op6_orderminhash": q_orderminhash.op6_orderminhash,
     "op7_pii": q_pii.op7_pii,
     "op8_vptree": q_vptree.op8_vptree,
     "op10_sharding": q_sharding.op10_sharding,
