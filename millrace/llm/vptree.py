@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import groups, partitions, written
 
-SHARD_ROWS, LEAF, BLOCK = 4096, 64, 512
+SHARD_ROWS, LEAF, BLOCK = 8192, 256, 512
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -69,19 +69,25 @@ def search(tree: dict[str, np.ndarray], q_ids: np.ndarray, q: np.ndarray, k: int
     ids, x, nodes = tree["ids"], tree["x"], tree["nodes"]
     best_d, best_i = np.full((len(q), k), np.inf), np.full((len(q), k), none)
 
+    lengths, q_lengths = np.square(x).sum(axis=1), np.square(q).sum(axis=1)
+
     def offer(rows: np.ndarray, a: int, b: int) -> None:
-        for at in range(0, len(rows), 128):
-            r = rows[at : at + 128]
-            d = np.zeros((len(r), b - a))
-            for j in range(x.shape[1]):
-                d += np.square(q[r, j, None] - x[None, a:b, j])
-            d = np.sqrt(d)
-            own = q_ids[r, None] == ids[None, a:b]
-            d[own] = np.inf
-            all_d = np.concatenate([best_d[r], d], axis=1)
-            all_i = np.concatenate([best_i[r], np.where(own, none, ids[None, a:b])], axis=1)
-            top = np.lexsort((all_i, all_d), axis=-1)[:, :k]
-            best_d[r], best_i[r] = np.take_along_axis(all_d, top, 1), np.take_along_axis(all_i, top, 1)
+        # One matrix product tells, to within rounding, who can be among the nearest; only those are measured exactly.
+        scale = q_lengths[rows, None] + lengths[None, a:b]
+        near = scale - 2 * (q[rows] @ x[a:b].T) <= np.square(best_d[rows, -1])[:, None] + 1e-9 * scale
+        near &= q_ids[rows, None] != ids[None, a:b]
+        r, c = np.nonzero(near)
+        if not len(r):
+            return
+        d = np.sqrt(np.cumsum(np.square(q[rows[r]] - x[a + c]), axis=1)[:, -1])
+        hit = np.unique(r)
+        row = np.concatenate([np.repeat(hit, k), r])
+        d = np.concatenate([best_d[rows[hit]].ravel(), d])
+        i = np.concatenate([best_i[rows[hit]].ravel(), ids[a + c]])
+        order = np.lexsort((i, d, row))
+        place = np.arange(len(row)) - np.searchsorted(row[order], row[order])
+        top = order[place < k]
+        best_d[rows[hit]], best_i[rows[hit]] = d[top].reshape(-1, k), i[top].reshape(-1, k)
 
     def visit(node: int, rows: np.ndarray) -> None:
         a, b, left, right = (int(v) for v in nodes[node, :4])
