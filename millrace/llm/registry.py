@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from millrace.llm import q_crosspolytope, q_mixing, q_orderminhash, q_pii, q_sentencepiece, q_sharding, q_vptree
+import corpus_pipeline
+from millrace.llm import q_crosspolytope, q_kneserney, q_mixing, q_orderminhash, q_pii, q_sentencepiece, q_sharding, q_vptree
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_sentencepiece": q_sentencepiece.op1_sentencepiece,
     "op2_mixing": q_mixing.op2_mixing,
+    "op4_kneserney": q_kneserney.op4_kneserney,
     "op5_crosspolytope": q_crosspolytope.op5_crosspolytope,
     "op6_orderminhash": q_orderminhash.op6_orderminhash,
     "op7_pii": q_pii.op7_pii,
@@ -15,3 +18,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {"op2_mixing": q_mixing.SQL, "op5_crosspolytope": q_crosspolytope.SQL, "op8_vptree": q_vptree.SQL}
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
