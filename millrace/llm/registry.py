@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from millrace.llm import q_crosspolytope, q_kneserney, q_mixing, q_orderminhash, q_pii, q_sentencepiece, q_sharding, q_vptree
+from millrace.llm import q_crosspolytope, q_kneserney, q_mixing, q_orderminhash, q_pii, q_sentencepiece, q_sharding, q_suffixdedup, q_vptree
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -14,6 +14,7 @@ QUERIES = {
     "op6_orderminhash": q_orderminhash.op6_orderminhash,
     "op7_pii": q_pii.op7_pii,
     "op8_vptree": q_vptree.op8_vptree,
+    "op9_suffixdedup": q_suffixdedup.op9_suffixdedup,
     "op10_sharding": q_sharding.op10_sharding,
 }
 
