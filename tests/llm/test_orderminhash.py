@@ -77,8 +77,9 @@ def brute(rows):
     return label
 
 
-@pytest.mark.parametrize("limit", [O.BROADCAST_ROWS, 0])
-def test_equals_brute_force(spark, monkeypatch, limit):
+@pytest.mark.parametrize(("limit", "common"), [(O.BROADCAST_ROWS, 64), (0, 4)])
+def test_equals_brute_force(spark, monkeypatch, limit, common):
+    monkeypatch.setattr(O, "COMMON", common)
     monkeypatch.setattr(O.small, "__defaults__", (limit,))
     rows = corpus()
     got = {r.doc_id: (r.class_id, r.kept) for r in O.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
