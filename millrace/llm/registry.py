@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from millrace.llm import q_crosspolytope, q_kneserney, q_mixing, q_orderminhash, q_pii, q_sentencepiece, q_sharding, q_suffixdedup, q_vptree
+from millrace.llm import q_crosspolytope, q_katz, q_kneserney, q_mixing, q_orderminhash, q_pii, q_sentencepiece, q_sharding, q_suffixdedup, q_vptree
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_sentencepiece": q_sentencepiece.op1_sentencepiece,
     "op2_mixing": q_mixing.op2_mixing,
+    "op3_katz": q_katz.op3_katz,
     "op4_kneserney": q_kneserney.op4_kneserney,
     "op5_crosspolytope": q_crosspolytope.op5_crosspolytope,
     "op6_orderminhash": q_orderminhash.op6_orderminhash,
