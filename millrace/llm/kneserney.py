@@ -27,7 +27,7 @@ from millrace.llm.common import chunks, partitions, written
 from millrace.llm.tokens import mix, words
 
 ORDER = 3
-TRAIN_DOCS = 4000
+TRAIN_DOCS = 2000
 #: Tokens' worth of the language's mean that a document's score is shrunk by, so that a few words can't reject it.
 PRIOR_TOKENS = 20.0
 #: Share of held-out trusted documents above the threshold, and how far below it a document must be to go, in log10 a token.
@@ -156,14 +156,10 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, orde
         w = [f"w{i}" for i in range(order - n, order)]
         found, totals = _estimate(levels[n], n, lower)
         lower = found
-        rows = found.toPandas()
-        lang = rows["lang"].to_numpy().astype("<i8").view(np.uint64)
-        tables.append(_table([rows[c].to_numpy().astype("<i8").view(np.uint64) for c in w], lang, rows["p"].to_numpy()))
-        rows = totals.toPandas()
-        lang = rows["lang"].to_numpy().astype("<i8").view(np.uint64)
-        weights.append(_table([rows[c].to_numpy().astype("<i8").view(np.uint64) for c in w[:-1]], lang, rows["gamma"].to_numpy()))
+        tables.append(_table(found, w, "p"))
+        weights.append(_table(totals, w[:-1], "gamma"))
         if n == 1:
-            unknown = {int(k): float(np.log10(g / (v + 1))) for k, g, v in zip(lang, rows["gamma"], rows["kinds"], strict=True)}
+            unknown = {r.lang % (1 << 64): float(np.log10(r.gamma / (r.kinds + 1))) for r in totals.collect()}
     model = Model(order, tables, weights, unknown, {}, {})
     held = _scored(trusted.filter("held_out").select("text", "lang"), model, ["lang"], "text", "lang", None).groupBy("lang").agg((F.sum("log10_p") / F.sum("n_tokens")).alias("mean")).collect()
     model.means = {_lang_key(r.lang): r.mean for r in held if r.mean is not None}
@@ -172,10 +168,21 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, orde
     return model
 
 
-def _table(columns: list[np.ndarray], lang: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys = gram_keys(columns, lang) if len(lang) else np.zeros(0, np.uint64)
+def _table(df: DataFrame, columns: list[str], value: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and log10 values of a table of the model; executors make the keys, 16 bytes a row come to the driver.
+
+    `train_docs` bounds the rows: a table has one for each training token at most.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, *held = (batch.column(c).to_numpy().view(np.uint64) for c in ["lang", *columns])
+            yield pa.RecordBatch.from_pydict({"key": gram_keys(held, lang).view("<i8"), "v": np.log10(batch.column(value).to_numpy())})
+
+    rows = df.select("lang", *columns, value).mapInArrow(run, "key bigint, v double").toArrow()
+    keys, values = rows["key"].to_numpy().view(np.uint64), rows["v"].to_numpy()
     order = np.argsort(keys)
-    return keys[order], np.log10(values[order])
+    return keys[order], values[order]
 
 
 def _scored(docs: DataFrame, model: Model, columns: list[str], text_col: str, lang_col: str, only_kept: bool | None) -> DataFrame:
