@@ -34,7 +34,7 @@ from millrace.llm.tokens import _BASE, _INVERSE, _VALUE, _powers, mix
 LENGTH, GRAM = 200, 32
 BATCH_BYTES = 2 << 20
 #: Bytes of pieces that one transform takes, and occurrences from which a group is split.
-SHARD_BYTES, HOT = 3 << 20, 4000
+SHARD_BYTES, HOT = 3 << 19, 4000
 #: Groups up to this number (48 MB) are broadcast; more are joined by a shuffle.
 BROADCAST_GROUPS = 2_000_000
 
@@ -107,25 +107,42 @@ class Starts:
         return key
 
 
-def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Positions by the first `depth` symbols or more; symbol 0 ends a piece, and each one differs from all others."""
+def suffix_order(symbols: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
+    """Positions by their first `depth` symbols or more, counting none after a 0, which ends a piece; ties in any order.
+
+    Seven symbols at once, then prefix doubling over just the groups that are
+    still open; `left` is the number of symbols to a position's 0, and with it.
+    """
     n = len(symbols)
-    ends = np.flatnonzero(symbols == 0)
-    rank = symbols.astype("<i8") + len(ends)
-    rank[ends] = np.arange(len(ends))  # by place
-    reach = 1
-    while True:
-        following = np.zeros(n, "<i8")
-        following[:-reach] = rank[reach:] + 1 if reach < n else 0
-        following[ends] = 0  # nothing follows an end that could still matter
-        key = (rank << 32) | following
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        new = np.empty(n, "<i8")
-        new[order] = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
-        rank, reach = new, reach * 2
-        if reach >= depth or rank[order[-1]] == n - 1:
-            return order
+    key, alive = np.zeros(n, np.uint64), np.ones(n, bool)
+    padded = np.append(symbols, np.zeros(7, symbols.dtype)).astype(np.uint64)
+    for j in range(7):
+        here = padded[j : j + n]
+        key = key * np.uint64(512) + np.where(alive, here, np.uint64(0))
+        alive &= here > 0
+    order = np.argsort(key)
+    key = key[order]
+    starts = np.concatenate([[True], key[1:] != key[:-1]])
+    group = np.maximum.accumulate(np.where(starts, np.arange(n), 0))
+    rank = np.empty(n, "<i8")
+    rank[order] = group
+    slots, reach = np.arange(n), 7
+    while reach < depth:
+        here = order[slots]
+        single = starts[slots] & np.append(starts, True)[slots + 1]
+        slots = slots[~single & (left[here] > reach)]
+        if not len(slots):
+            break
+        here = order[slots]
+        key = (rank[here] << 32) | (rank[here + reach] + 1)
+        by = np.argsort(key)
+        key, here = key[by], here[by]
+        order[slots] = here
+        change = np.concatenate([[True], key[1:] != key[:-1]])
+        starts[slots] = change
+        rank[here] = slots[np.maximum.accumulate(np.where(change, np.arange(len(slots)), 0))]
+        reach *= 2
+    return order
 
 
 def repeated(pieces: list[bytes], length: int) -> list[np.ndarray]:
@@ -137,19 +154,19 @@ def repeated(pieces: list[bytes], length: int) -> list[np.ndarray]:
     n, m = len(symbols), len(pieces)
     if n == m:
         return [np.zeros(0, "<i8") for _ in pieces]
-    order = suffix_order(symbols, length)
-    before = symbols[order - 1]  # the transform; the first suffix has the last end before it
+    left = np.repeat(stops, np.diff(stops, prepend=-1)) - np.arange(n) + 1
+    order = suffix_order(symbols, left, length)
+    before = symbols[order - 1]  # the transform; before the first symbol is the last end
     # LF: where the suffix one symbol longer stands.
     lf = np.empty(n, "<i8")
     lf[np.argsort(before, kind="stable")] = np.arange(n)
     first = symbols[order]
+    # Intervals of single symbols; the ends of pieces, all alike, are one of them.
+    lo = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
+    hi = np.append(lo[1:], n)
     known = np.zeros(n + 1, bool)
     known[: m + 1] = True
-    known[n] = True
-    byte_starts = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]) & (first > 0))
-    known[byte_starts] = True
-    lo = np.concatenate([np.arange(m), byte_starts])
-    hi = np.concatenate([np.arange(1, m + 1), np.append(byte_starts[1:], n)])
+    known[hi] = True
     for _ in range(1, length):
         if not len(lo):
             break
@@ -166,9 +183,10 @@ def repeated(pieces: list[bytes], length: int) -> list[np.ndarray]:
         fresh = ~known[hi]
         known[hi[fresh]] = True
         lo, hi = lo[fresh], hi[fresh]
-    alike = ~known  # boundary i: suffixes i - 1 and i share `length` symbols
+    alike = ~known  # boundary i: suffixes i - 1 and i share `length` symbols, or all of them up to an end
     hit = np.zeros(n, bool)
     hit[order[alike[:n] | alike[1 : n + 1]]] = True
+    hit &= left > length
     return [np.flatnonzero(hit[stop - len(p) : stop]) for p, stop in zip(pieces, stops, strict=True)]
 
 
