@@ -27,3 +27,33 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = sized.withColumn("virtual_slot", S.slot_of(F.col("doc_id")))
     placed = S.positions(sized, "shard", "virtual_slot", ["doc_id", "size", "text_crc32", "grown_shard"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("position").alias("slot"), "grown_shard", "virtual_slot")
+
+
+#: CRC-32 by its byte table (polynomial 3988292384, reflected); slots and cells by the leading 32 bits of MD5.
+SQL = """
+with bits as (
+    select n, list_reduce(range(0, 9), lambda c, i: case when i = 0 then c when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, n) as v
+    from (select unnest(range(0, 256))::bigint as n)
+), crc_table as (
+    select list(v order by n) as t from bits
+), bytes as (
+    select doc_id, hex(encode(coalesce(text, ''))) as h from documents
+), sized as (
+    select doc_id, length(h) // 2 + 8 as size,
+           xor(list_reduce(list_transform(range(0, length(h), 2), lambda i: ('0x' || substr(h, i + 1, 2))::bigint),
+                           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::bigint), 4294967295) as text_crc32,
+           ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 8))::bigint % 4096 as virtual_slot
+    from bytes, crc_table
+), slots as (
+    select slot, slot % 24 as shard, row_number() over (partition by slot % 24 order by md5(slot::varchar), slot) as place
+    from (select unnest(range(0, 4096)) as slot)
+), mapped as (
+    select s.*, m.shard::integer as shard, (case when m.place > ceil(4096 / 25.0) then 24 else m.shard end)::integer as grown_shard
+    from sized s join slots m on s.virtual_slot = m.slot
+), celled as (
+    select *, ('0x' || substr(md5(concat_ws(':', coalesce(doc_id::varchar, ''), size, text_crc32, grown_shard)), 1, 8))::bigint % 16 as cell from mapped
+)
+select doc_id, size::bigint as size, text_crc32, 'key' as law, shard,
+       row_number() over (partition by shard order by virtual_slot, cell, doc_id, size, text_crc32, grown_shard) - 1 as slot, grown_shard, virtual_slot
+from celled
+"""

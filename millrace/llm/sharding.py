@@ -101,7 +101,7 @@ def positions(records: DataFrame, shard: str, slot: str, columns: list[str]) ->
     n_slots rows at most. So neither a hot key nor a run of repeats meets in
     one sort.
     """
-    cell = F.pmod(F.xxhash64(*columns), F.lit(16)).alias("cell")
+    cell = spread(F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 16).alias("cell")
     distinct = records.groupBy(shard, slot, cell, *columns).agg(F.count("*").alias("copies"))
     cells = distinct.groupBy(shard, slot, "cell").agg(F.sum("copies").alias("n"))
     before = Window.partitionBy(shard).orderBy(slot, "cell").rowsBetween(Window.unboundedPreceding, -1)
