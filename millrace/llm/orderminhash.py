@@ -17,10 +17,13 @@ Work follows the number of documents, not of pairs:
    shares most often; a group of thousands of near copies costs one alignment
    each. Links make components.
 3. Pairs of a bucket that are still in different components, and whose lengths
-   allow the threshold, are aligned as well, so no candidate link is lost. A
-   passage that very many documents share fills buckets with unlike documents;
-   in those of more than COMMON, two documents are candidates if they agree on
-   another sketch as well.
+   allow the threshold, are aligned as well, so no candidate link is lost.
+4. A passage that very many documents share fills buckets with unlike
+   documents, whose pairs would grow with the square of their number. In a
+   bucket of more than COMMON components each document is sketched again without
+   the k-mers of the bucket's least document, and so without the passage; these
+   sketches make new buckets, whose pairs are candidates in place of the old
+   one's.
 
 A sketch of four k-mers agrees with about the fourth power of the k-mer
 similarity; with 48 of them a pair meets with probability 0.95 at a k-mer
@@ -44,7 +47,7 @@ K, PICKED, SKETCHES, THRESHOLD = 5, 4, 48, 0.8
 BATCH_BYTES = 2 << 20
 #: Id tables up to this many rows (16 MB) are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 500_000
-#: Documents in a bucket, still in different classes, from which two must agree on a second sketch too.
+#: Different components in a bucket above which its documents are sketched without what they all share.
 COMMON = 64
 #: Members that share one copy of their pivot's words.
 GROUP = 64
@@ -193,33 +196,68 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, picked: int, n
     return written(plain.mapInArrow(run, "id bigint, h string, n bigint, sketch array<bigint>"), "sketches")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, threshold: float, group: int = GROUP) -> DataFrame:
-    """The pairs (a, b) whose texts' edit similarity is the threshold or more.
+def beside(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
+    """Texts dealt so that each b meets its a's: (b, g, role, doc, text), role 0 for b itself, at most `group` a's or so in a (b, g).
 
-    Texts travel once for each (b, up to `group` of its a's): those are one task's unit of work.
+    Those are one task's unit of work; a text travels once for each of them.
     """
     counts = pairs.groupBy("b").agg(F.ceil(F.count("*") / group).alias("c"))
     pairs = pairs.join(counts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("c")).alias("g"))
     needed = pairs.select(F.col("a").alias("doc"), "b", "g", F.lit(1).alias("role")).union(pairs.select(F.col("b").alias("doc"), "b", "g", F.lit(0).alias("role")).distinct())
     needed = written(needed, "needed")
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text")).filter("text is not null")
-    dealt = texts.join(small(needed), "doc").select("b", "g", "role", "doc", "text").repartition(partitions(docs.sparkSession), "b", "g").sortWithinPartitions("b", "g", "role", "doc")
+    dealt = texts.join(small(needed), "doc").select("b", "g", "role", "doc", "text")
+    return dealt.repartition(partitions(docs.sparkSession), "b", "g").sortWithinPartitions("b", "g", "role", "doc"), needed
+
+
+def verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose texts' edit similarity is the threshold or more."""
+    dealt, needed = beside(docs, pairs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in groups(batches, ["b", "g"]):
             ids, role = rows["doc"].to_numpy(), rows["role"].to_numpy()
             hashes, offsets = words(rows["text"].combine_chunks(), lower=False)
-            seq = [hashes[offsets[i] : offsets[i + 1]] for i in range(len(ids))]
-            pivots = np.flatnonzero(role == 0)
-            good = [ids[i] for i in np.flatnonzero(role == 1) if any(similar(seq[i], seq[p], threshold) for p in pivots)]
+            n = np.diff(offsets)
+            labelled, _ = kmers(hashes, offsets, 1)
+            good: set[int] = set()
+            for p in np.flatnonzero(role == 0):
+                # Words that one text lacks must each be edited, so too few in common rule a pair out.
+                shared = np.concatenate([[0], np.cumsum(np.isin(labelled, labelled[offsets[p] : offsets[p + 1]]))])
+                shared = shared[offsets[1:]] - shared[offsets[:-1]]
+                longer = np.maximum(n, n[p])
+                most = ((1 - threshold) * longer + 1e-9).astype("<i8")
+                for i in np.flatnonzero((role == 1) & (longer - shared <= most)):
+                    if banded_distance(hashes[offsets[i] : offsets[i + 1]], hashes[offsets[p] : offsets[p + 1]], int(most[i])) <= most[i]:
+                        good.add(int(ids[i]))
             if good:
-                yield pa.RecordBatch.from_pydict({"a": np.array(good, "<i8"), "b": np.full(len(good), rows["b"][0].as_py(), "<i8")})
+                yield pa.RecordBatch.from_pydict({"a": np.array(sorted(good), "<i8"), "b": np.full(len(good), rows["b"][0].as_py(), "<i8")})
 
     links = written(dealt.mapInArrow(run, "a bigint, b bigint"), "links")
     dropped(needed)
     return links
 
 
+def without(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, k: int, picked: int, n_sketches: int) -> DataFrame:
+    """(id, key): for each pair (a, b) the sketches of a without the k-mers of b, as bucket keys that hold for b only. An a with no other k-mers keeps all of its own."""
+    dealt, _ = beside(docs, pairs, id_col, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in groups(batches, ["b", "g"]):
+            ids, role = rows["doc"].to_numpy(), rows["role"].to_numpy()
+            codes, bounds = kmers(*words(rows["text"].combine_chunks(), lower=False), k)
+            doc = np.repeat(np.arange(len(ids)), np.diff(bounds))
+            rest = ~np.isin(codes, codes[role[doc] == 0])
+            rest |= (np.bincount(doc, rest, len(ids)) == 0)[doc]
+            rest &= role[doc] == 1
+            left = np.concatenate([[0], np.cumsum(np.bincount(doc[rest], minlength=len(ids)))]).astype("<i8")
+            has, values = sketch(codes[rest], left, n_sketches, picked)
+            tag = mix(np.uint64(rows["b"][0].as_py() % (1 << 64)) + np.arange(n_sketches, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            yield pa.RecordBatch.from_pydict({"id": np.repeat(ids[has], n_sketches), "key": mix(values ^ tag).ravel().view("<i8")})
+
+    return dealt.mapInArrow(run, "id bigint, key bigint")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, k: int = K, picked: int = PICKED, n_sketches: int = SKETCHES) -> DataFrame:
     """(doc_id, class_id, kept), a row for each document; class_id is the least id of its class, and that one is kept.
 
@@ -245,13 +283,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     label = lambda df: df.join(reached.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
     labelled = label(multi.select("key", "id", "n"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("key", (F.col("size") > COMMON).alias("common"))
+    mixed = labelled.groupBy("key").agg(F.count_distinct("label").alias("labels"), F.min("id").alias("head")).filter("labels > 1").select("key", "head", (F.col("labels") > COMMON).alias("common"))
     open_rows = written(labelled.join(mixed, "key"), "open-buckets")
-    twice = open_rows.filter("common").select(F.col("key").alias("k1"), "id", "n", "label").join(open_rows.select(F.col("key").alias("k2"), "id", F.col("common").alias("c2")), "id")
-    twice = twice.filter("k1 <> k2 and (not c2 or k1 < k2)").select(F.xxhash64("k1", "k2").alias("key"), "id", "n", "label")
-    open_rows = open_rows.filter("not common").select("key", "id", "n", "label").union(twice)
+    common = written(open_rows.filter("common and id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct(), "common")
+    facts = open_rows.select("id", "n", "label").distinct()
+    again = without(docs, common, id_col, text_col, k, picked, n_sketches).join(facts, "id").select("key", "id", "n", "label")
+    open_rows = written(open_rows.filter("not common").select("key", "id", "n", "label").union(again), "open-buckets")
     left, right = open_rows.select("key", F.col("id").alias("a"), F.col("n").alias("an"), F.col("label").alias("al")), open_rows.select("key", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("label").alias("bl"))
-    rest = left.join(right, "key").filter((F.col("a") > F.col("b")) & (F.col("al") != F.col("bl")) & fits(F.col("an"), F.col("bn"))).select("a", "b").distinct()
+    unlike = (F.col("al") != F.col("bl")) & fits(F.col("an"), F.col("bn"))
+    rest = left.join(right, "key").filter((F.col("a") > F.col("b")) & unlike).select("a", "b")
+    # A common bucket's least document is itself a candidate for the others.
+    a_facts, b_facts = facts.select(F.col("id").alias("a"), F.col("n").alias("an"), F.col("label").alias("al")), facts.select(F.col("id").alias("b"), F.col("n").alias("bn"), F.col("label").alias("bl"))
+    rest = rest.union(common.join(a_facts, "a").join(b_facts, "b").filter(unlike).select("a", "b")).distinct()
     rest = written(rest.join(first, ["a", "b"], "left_anti"), "rest")
     more = verified(docs, rest, id_col, text_col, threshold)
     if more.limit(1).count():

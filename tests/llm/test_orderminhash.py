@@ -77,7 +77,7 @@ def brute(rows):
     return label
 
 
-@pytest.mark.parametrize(("limit", "common"), [(O.BROADCAST_ROWS, 64), (0, 4)])
+@pytest.mark.parametrize(("limit", "common"), [(O.BROADCAST_ROWS, 64), (0, 4), (0, 1)])
 def test_equals_brute_force(spark, monkeypatch, limit, common):
     monkeypatch.setattr(O, "COMMON", common)
     monkeypatch.setattr(O.small, "__defaults__", (limit,))
