@@ -32,10 +32,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import chunks, groups, partitions, scratch_path, written
+from millrace.llm.common import chunks, groups, partitions, release, scratch_path, written
 from millrace.llm.tokens import mix, pack, unpack, words
 
-BLOCK_BYTES, CHUNK_BYTES = 12 << 20, 2 << 20
+BLOCK_BYTES, CHUNK_BYTES = 5 << 20, 1 << 20
 #: Token occurrences for each shard, about.
 SHARD_TOKENS = 4 << 20
 #: Counts up to this one are discounted.
@@ -214,6 +214,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     sent = blocks.mapInArrow(send, "level int, shard int, block bigint, keys binary, counts binary")
     sent = sent.repartition(buckets, "level", "shard").sortWithinPartitions("level", "shard", "block")
     counted = written(sent.mapInArrow(_add_up, COUNTED), "katz-counts", partition_by="role")
+    release(spark)
     stats = {r.level: r.s for r in counted.filter("role = 'model'").groupBy("level").agg(F.array(*[F.sum(F.col("stats")[i]) for i in range(DISCOUNTED + 3)]).alias("s")).collect()}
     *ones, n_train, n_kinds = [int(x) for x in stats.get(1, [0] * (DISCOUNTED + 3))]
     pair_d = discounts([int(x) for x in stats.get(2, [0] * (DISCOUNTED + 3))][: DISCOUNTED + 1])
@@ -260,6 +261,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     weights = answered.mapInArrow(weigh, "shard int, block bigint, keys binary, follows binary, used binary, covered binary, needed binary")
     weights = weights.repartition(buckets, "shard").sortWithinPartitions("shard", "block")
     backoff = written(weights.mapInArrow(back_off, "role string, shard int, block bigint, keys binary, data binary"), "katz-backoff", partition_by="role")
+    release(spark)
     alphas = backoff.filter("role = 'answer'").select("block", "shard", "keys", "data").repartition(buckets, "block").groupBy("block").agg(F.collect_list(F.struct("shard", "keys", "data")).alias("alphas"))
 
     def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
