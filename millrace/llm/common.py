@@ -40,16 +40,19 @@ def written(df: DataFrame, name: str, path: str | None = None, partition_by: str
     path = path or scratch_path(spark, name)
     writer = df.write.mode("overwrite")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.millrace_path = path
+    return out
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete a table made by written(), once nothing reads it any more."""
-    spark = df.sparkSession
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/millrace/" in file:
-            path = spark._jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables made by written(), once nothing reads them any more, and let Spark delete shuffle files of finished steps."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.millrace_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        df.millrace_path = None
+    release(spark)
 
 
 def release(spark: SparkSession) -> None:
@@ -118,8 +121,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
         small = written(small, "edges")
-        dropped(now)
-        dropped(large)
+        dropped(now, large)
         now, before = small, mark
         mark = _mark(now)
         if mark == before:

@@ -27,7 +27,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import chunks, groups, partitions, written
+from millrace.llm.common import chunks, dropped, groups, partitions, release, written
 from millrace.llm.orderminhash import small
 from millrace.llm.tokens import _BASE, _INVERSE, _VALUE, _powers, mix
 
@@ -211,7 +211,8 @@ def spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH, hot: in
     twice = found.groupBy("g").agg(F.sum("times").alias("n"), F.sum("bytes").alias("bytes")).filter("n > 1")
     twice = written(twice.select("g", F.ceil(F.col("n") / hot).cast("int").alias("parts"), "bytes"), "repeated-groups")
     total = twice.agg(F.sum("bytes")).first()[0] or 0
-    lists = found.join(small(twice.select("g", "parts"), BROADCAST_GROUPS), "g").groupBy("h").agg(F.collect_set(F.struct("g", "parts")).alias("wanted"))
+    lists = written(found.join(small(twice.select("g", "parts"), BROADCAST_GROUPS), "g").groupBy("h").agg(F.collect_set(F.struct("g", "parts")).alias("wanted")), "lists")
+    dropped(found, twice)
     wanted = texts.join(lists, "h")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,6 +239,7 @@ def spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH, hot: in
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(starts.doc[first])), pa.array((a - starts.origin[starts.doc[first]]).astype("<i4")), pa.array(key.view("<i8")), pa.array([hashlib.md5(p).digest() for p in pieces], pa.binary()), pa.array(pieces, pa.binary())], ["h", "at", "key", "piece_id", "piece"])
 
     occurrences = written(wanted.mapInArrow(cut, "h binary, at int, key bigint, piece_id binary, piece binary"), "pieces")
+    dropped(lists)
     shards = max(1, math.ceil(total / shard_bytes))
     distinct = occurrences.groupBy("key", "piece_id", "piece").agg(F.count("*").alias("n")).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
     dealt = distinct.select("shard", "piece_id", "piece", "n").repartition(min(shards, max(partitions(spark), shards // 64)), "shard").sortWithinPartitions("shard")
@@ -251,9 +253,12 @@ def spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH, hot: in
                 yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.binary()), pa.array([[{"a": a, "b": b} for a, b in r] for _, r in out], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], ["piece_id", "ranges"])
 
     solved = written(dealt.mapInArrow(solve, "piece_id binary, ranges array<struct<a:int,b:int>>"), "solved")
+    release(spark)
     # Equal pieces have one key, so a piece has one answer.
     hits = occurrences.select("h", "at", "piece_id").distinct().join(solved, "piece_id").select("h", "at", F.explode("ranges").alias("r"))
-    return hits.groupBy("h").agg(F.collect_set(F.struct((F.col("at") + F.col("r.a")).alias("a"), (F.col("at") + F.col("r.b")).alias("b"))).alias("spans"))
+    result = written(hits.groupBy("h").agg(F.collect_set(F.struct((F.col("at") + F.col("r.a")).alias("a"), (F.col("at") + F.col("r.b")).alias("b"))).alias("spans")), "spans")
+    dropped(occurrences, solved)
+    return result
 
 
 RESULT = "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
