@@ -20,10 +20,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import chunks, partitions, written
+from millrace.llm.common import chunks, dropped, partitions, written
 from millrace.llm.tokens import mix, words
 
 ORDER = 3
@@ -77,6 +77,11 @@ class Model:
     unknown: dict[int, float]
     means: dict[int, float]
     thresholds: dict[int, float]
+    shared: object
+
+    def share(self, spark: SparkSession) -> None:
+        """Send the tables to the executors, once for all uses."""
+        self.shared = spark.sparkContext.broadcast((self.order, self.grams, self.backoff, self.unknown))
 
     def token_scores(self, columns: list[np.ndarray], lang: np.ndarray) -> np.ndarray:
         """log10 probability of each token; languages without a model give nan."""
@@ -150,21 +155,24 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, orde
     levels = {order: written(source.mapInArrow(grams, schema).groupBy("lang", *[f"w{i}" for i in range(order)]).agg(F.count("*").alias("c")), "kn-counts")}
     for n in range(order - 1, 0, -1):
         # A shorter n-gram counts the different words before it.
-        levels[n] = levels[n + 1].groupBy("lang", *[f"w{i}" for i in range(order - n, order)]).agg(F.count("*").alias("c"))
+        levels[n] = written(levels[n + 1].groupBy("lang", *[f"w{i}" for i in range(order - n, order)]).agg(F.count("*").alias("c")), "kn-counts")
     lower, tables, weights, unknown = None, [], [], {}
     for n in range(1, order + 1):
         w = [f"w{i}" for i in range(order - n, order)]
-        found, totals = _estimate(levels[n], n, lower)
-        lower = found
-        tables.append(_table(found, w, "p"))
+        lower, totals = _estimate(levels[n], n, lower)
+        tables.append(_table(lower, w, "p"))
         weights.append(_table(totals, w[:-1], "gamma"))
         if n == 1:
             unknown = {r.lang % (1 << 64): float(np.log10(r.gamma / (r.kinds + 1))) for r in totals.collect()}
-    model = Model(order, tables, weights, unknown, {}, {})
-    held = _scored(trusted.filter("held_out").select("text", "lang"), model, ["lang"], "text", "lang", None).groupBy("lang").agg((F.sum("log10_p") / F.sum("n_tokens")).alias("mean")).collect()
-    model.means = {_lang_key(r.lang): r.mean for r in held if r.mean is not None}
-    shrunk = _scored(trusted.filter("held_out").select("text", "lang"), model, ["lang"], "text", "lang", None).filter("shrunk is not null").groupBy("lang").agg(F.percentile("shrunk", F.lit(quantile)).alias("t")).collect()
-    model.thresholds = {_lang_key(r.lang): r.t - SLACK for r in shrunk}
+    dropped(lower, *levels.values())
+    model = Model(order, tables, weights, unknown, {}, {}, None)
+    model.share(spark)
+    held = written(_scored(trusted.filter("held_out").select("text", "lang"), model, ["lang"], "text", "lang", False).filter("log10_p is not null").select("lang", "n_tokens", "log10_p"), "held-out")
+    mean = held.groupBy("lang").agg((F.sum("log10_p") / F.sum("n_tokens")).alias("mean"))
+    model.means = {_lang_key(r.lang): r.mean for r in mean.collect()}
+    shrunk = (F.col("log10_p") + PRIOR_TOKENS * F.col("mean")) / (F.col("n_tokens") + PRIOR_TOKENS)
+    limits = held.withColumnRenamed("lang", "l").join(F.broadcast(mean), F.col("l").eqNullSafe(F.col("lang"))).groupBy("lang").agg(F.percentile(shrunk, F.lit(quantile)).alias("t"))
+    model.thresholds = {_lang_key(r.lang): r.t - SLACK for r in limits.collect()}
     return model
 
 
@@ -186,11 +194,11 @@ def _table(df: DataFrame, columns: list[str], value: str) -> tuple[np.ndarray, n
 
 
 def _scored(docs: DataFrame, model: Model, columns: list[str], text_col: str, lang_col: str, only_kept: bool | None) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent, means, thresholds = model.shared, model.means, model.thresholds
     kinds = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        model = Model(*sent.value, means, thresholds, None)
         for batch in (part for whole in batches if whole.num_rows for part in chunks(whole, 0, BATCH_BYTES)):
             cols, doc = contexts(*words(batch.column(0)), model.order)
             keys = [_lang_key(x) for x in batch.column(1).to_pylist()]
