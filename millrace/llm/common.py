@@ -56,7 +56,10 @@ def dropped(*tables: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now: it does so for plans that the driver's collector has found to be garbage."""
+    """Let Spark delete the shuffle files of finished steps now: it does so for plans that the driver's collector has found to be garbage.
+
+    A plan is garbage only when no Python variable holds its DataFrame.
+    """
     gc.collect()
     spark._jvm.System.gc()
 
