@@ -239,6 +239,7 @@ def spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH, hot: in
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(starts.doc[first])), pa.array((a - starts.origin[starts.doc[first]]).astype("<i4")), pa.array(key.view("<i8")), pa.array([hashlib.md5(p).digest() for p in pieces], pa.binary()), pa.array(pieces, pa.binary())], ["h", "at", "key", "piece_id", "piece"])
 
     occurrences = written(wanted.mapInArrow(cut, "h binary, at int, key bigint, piece_id binary, piece binary"), "pieces")
+    del wanted  # else its shuffle files stay
     dropped(lists)
     shards = max(1, math.ceil(total / shard_bytes))
     distinct = occurrences.groupBy("key", "piece_id", "piece").agg(F.count("*").alias("n")).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
@@ -253,10 +254,12 @@ def spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH, hot: in
                 yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.binary()), pa.array([[{"a": a, "b": b} for a, b in r] for _, r in out], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], ["piece_id", "ranges"])
 
     solved = written(dealt.mapInArrow(solve, "piece_id binary, ranges array<struct<a:int,b:int>>"), "solved")
+    del distinct, dealt
     release(spark)
     # Equal pieces have one key, so a piece has one answer.
     hits = occurrences.select("h", "at", "piece_id").distinct().join(solved, "piece_id").select("h", "at", F.explode("ranges").alias("r"))
     result = written(hits.groupBy("h").agg(F.collect_set(F.struct((F.col("at") + F.col("r.a")).alias("a"), (F.col("at") + F.col("r.b")).alias("b"))).alias("spans")), "spans")
+    del hits
     dropped(occurrences, solved)
     return result
 
