@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -58,10 +59,13 @@ def dropped(*tables: DataFrame) -> None:
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps now: it does so for plans that the driver's collector has found to be garbage.
 
-    A plan is garbage only when no Python variable holds its DataFrame.
+    A plan is garbage only when no Python variable holds its DataFrame, and the
+    driver's JVM learns that from Python with a delay; hence the second round.
     """
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def partitions(spark: SparkSession, least: int = 1) -> int:
