@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import time
@@ -68,6 +69,18 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.2)
 
 
+@contextlib.contextmanager
+def rows_a_batch(spark: SparkSession, n: int) -> Iterator[None]:
+    """Inside, Arrow batches take n rows at most: for steps that run here and whose rows are megabytes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

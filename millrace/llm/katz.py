@@ -32,10 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import chunks, groups, partitions, release, scratch_path, written
+from millrace.llm.common import chunks, groups, partitions, release, rows_a_batch, scratch_path, written
 from millrace.llm.tokens import mix, pack, unpack, words
 
-BLOCK_BYTES, CHUNK_BYTES = 6 << 20, 1 << 20
+BLOCK_BYTES, CHUNK_BYTES = 4 << 20, 1 << 20
+#: Blocks, or packed parts of them, in an Arrow batch.
+BATCH_ROWS = 2
 #: Token occurrences for each shard, about.
 SHARD_TOKENS = 4 << 20
 #: Counts up to this one are discounted.
@@ -213,7 +215,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     sent = blocks.mapInArrow(send, "level int, shard int, block bigint, keys binary, counts binary")
     sent = sent.repartition(buckets, "level", "shard").sortWithinPartitions("level", "shard", "block")
-    counted = written(sent.mapInArrow(_add_up, COUNTED), "katz-counts", partition_by="role")
+    with rows_a_batch(spark, BATCH_ROWS):
+        counted = written(sent.mapInArrow(_add_up, COUNTED), "katz-counts", partition_by="role")
     del sent  # else its shuffle files stay
     release(spark)
     stats = {r.level: r.s for r in counted.filter("role = 'model'").groupBy("level").agg(F.array(*[F.sum(F.col("stats")[i]) for i in range(DISCOUNTED + 3)]).alias("s")).collect()}
@@ -261,7 +264,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     weights = answered.mapInArrow(weigh, "shard int, block bigint, keys binary, follows binary, used binary, covered binary, needed binary")
     weights = weights.repartition(buckets, "shard").sortWithinPartitions("shard", "block")
-    backoff = written(weights.mapInArrow(back_off, "role string, shard int, block bigint, keys binary, data binary"), "katz-backoff", partition_by="role")
+    with rows_a_batch(spark, BATCH_ROWS):
+        backoff = written(weights.mapInArrow(back_off, "role string, shard int, block bigint, keys binary, data binary"), "katz-backoff", partition_by="role")
     del weights
     release(spark)
     alphas = backoff.filter("role = 'answer'").select("block", "shard", "keys", "data").repartition(buckets, "block").groupBy("block").agg(F.collect_list(F.struct("shard", "keys", "data")).alias("alphas"))
@@ -297,6 +301,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             })
 
     scored = answered.join(alphas, "block", "left").mapInArrow(evaluate, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
-    scored = written(scored, "katz-scores")
+    with rows_a_batch(spark, BATCH_ROWS):
+        scored = written(scored, "katz-scores")
     spark.sql(f"drop table if exists {name}")
     return scored.withColumnRenamed("doc_id", id_col)
