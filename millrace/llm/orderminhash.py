@@ -1,33 +1,34 @@
 """Near-duplicate documents by Order MinHash and banded alignment.
 
-A document is its sequence of words. Its k-mers (five words) are labelled with
+A document is its sequence of words. Its k-mers (three words) are labelled with
 their occurrence number, so a repeated k-mer counts as often as it occurs. Each
 sketch takes the `picked` smallest k-mers under its own hash and keeps them in
 text order; two documents agree on a sketch more often the smaller the edit
 distance is, since both content and order must agree.
 
+A pair of k-mers agrees with about the square of the k-mer similarity. At an
+edit similarity of 0.8, with changes at random, that similarity is 0.34, and one
+of 80 sketches agrees with probability 0.9999. Few words have few k-mers:
+texts up to SHORT words take pairs of words instead, of which an edit ends two
+at most, and texts so short that the threshold allows one edit have a key for
+each word left out, which finds all their pairs.
+
 Documents that agree on a sketch are candidates. A candidate pair links if its
 edit similarity, 1 - distance / longer length over words, is `threshold` or
 more, which a banded alignment decides: the band is as wide as the distance
 that the threshold allows, so nothing outside it could pass.
 
-Work follows the number of documents, not of pairs:
+Most alignments are spared:
 1. Equal texts are one class from the start.
 2. Each document is aligned with the least document of the bucket that it
    shares most often; a group of thousands of near copies costs one alignment
    each. Links make components.
-3. Pairs of a bucket that are still in different components, and whose lengths
-   allow the threshold, are aligned as well, so no candidate link is lost.
-4. A passage that very many documents share fills buckets with unlike
-   documents, whose pairs would grow with the square of their number. In a
-   bucket of more than COMMON components each document is sketched again without
-   the k-mers of the bucket's least document, and so without the passage; these
-   sketches make new buckets, whose pairs are candidates in place of the old
-   one's.
-
-A sketch of four k-mers agrees with about the fourth power of the k-mer
-similarity; with 48 of them a pair meets with probability 0.95 at a k-mer
-similarity of 0.5 and 0.9999 at 0.65, and rarely at 0.1.
+3. All pairs of a bucket that are still in different components, and whose
+   lengths allow the threshold, are compared by their word counts in BINS bins.
+   These bound the words in common from above, so that no pair which the
+   threshold allows is lost; pairs that pass are aligned. A passage that many
+   documents share fills buckets with unlike ones, which the counts tell apart
+   without making a row for each pair.
 """
 
 from __future__ import annotations
@@ -43,12 +44,16 @@ from pyspark.sql import functions as F
 from millrace.llm.common import chunks, components, dropped, groups, partitions, written
 from millrace.llm.tokens import mix, words
 
-K, PICKED, SKETCHES, THRESHOLD = 5, 4, 48, 0.8
+K, PICKED, SKETCHES, THRESHOLD = 3, 2, 80, 0.8
+#: Texts of up to this many words are sketched by pairs of words.
+SHORT = 40
 BATCH_BYTES = 2 << 20
 #: Id tables up to this many rows (16 MB) are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 500_000
-#: Different components in a bucket above which its documents are sketched without what they all share.
-COMMON = 64
+#: Bins of the word counts that rule out pairs of a bucket.
+BINS = 256
+#: Members of a bucket above which its pairs are dealt out in blocks.
+COMMON = 4096
 #: Members that share one copy of their pivot's words.
 GROUP = 64
 
@@ -179,21 +184,67 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, picked: int, n_sketches: int) -> DataFrame:
-    """(id, h, n, sketch): hash of the text, number of words, sketch values; the one pass that reads all texts for hashing."""
+def _tags(family: int, n: int) -> np.ndarray:
+    return mix(np.arange(n, dtype=np.uint64) + np.uint64(family << 32))
+
+
+def _only(hashes: np.ndarray, offsets: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words with all documents but the chosen ones emptied."""
+    n = np.diff(offsets)
+    return hashes[np.repeat(chosen, n)], np.concatenate([[0], np.cumsum(np.where(chosen, n, 0))]).astype("<i8")
+
+
+def one_edit(threshold: float) -> int:
+    """The most words, up to SHORT, for which the threshold allows one edit at most."""
+    return max(n for n in range(SHORT + 1) if int((1 - threshold) * n + 1e-9) <= 1)
+
+
+def left_out(hashes: np.ndarray) -> np.ndarray:
+    """Keys of a word sequence, whole and with each word left out. Sequences at most one edit apart share one."""
+    n = len(hashes)
+    keys = []
+    for skip in range(n + 1):
+        key = np.zeros(1, np.uint64)
+        for word in np.delete(hashes, skip) if skip < n else hashes:
+            key = mix(key * np.uint64(5) + word)
+        keys.append(key[0])
+    return np.unique(np.array(keys, np.uint64))
+
+
+def bucket_keys(hashes: np.ndarray, offsets: np.ndarray, threshold: float = THRESHOLD, k: int = K, picked: int = PICKED, n_sketches: int = SKETCHES) -> list[np.ndarray]:
+    """Each document's bucket keys. Two texts whose lengths allow the threshold have those of one family at least."""
+    n = np.diff(offsets)
+    tiny = one_edit(threshold)
+    out: list[list[np.ndarray]] = [[] for _ in n]
+    least = lambda longest: threshold * (longest + 1) - 1e-9  # words that the other text of a longer one has
+    for family, size, chosen in ((1, k, n >= least(SHORT)), (2, min(2, k), (n <= SHORT) & (n >= least(tiny)))):
+        has, rows = sketch(*kmers(*_only(hashes, offsets, chosen), size), n_sketches, picked)
+        for i, row in zip(has, mix(rows ^ _tags(family, n_sketches)), strict=True):
+            out[i].append(row)
+    for i in np.flatnonzero((n > 0) & (n <= tiny)):
+        out[i].append(mix(left_out(hashes[offsets[i] : offsets[i + 1]]) ^ _tags(3, 1)))
+    return [np.unique(np.concatenate(x)) if x else np.zeros(0, np.uint64) for x in out]
+
+
+def word_counts(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A row for each document: its words by bin, 255 at most."""
+    docs = len(offsets) - 1
+    at = np.repeat(np.arange(docs), np.diff(offsets)) * BINS + (hashes % np.uint64(BINS)).astype("<i8")
+    return np.minimum(np.bincount(at, minlength=docs * BINS), 255).astype(np.uint8).reshape(docs, BINS)
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, threshold: float, k: int, picked: int, n_sketches: int) -> DataFrame:
+    """(id, h, n, keys, bins): hash of the text, number of words, bucket keys, word counts; the one pass that reads all texts for hashing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches if whole.num_rows for part in chunks(whole, 1, BATCH_BYTES)):
             hashes, offsets = words(batch.column(1), lower=False)
-            has, rows = sketch(*kmers(hashes, offsets, k), n_sketches, picked)
-            values = np.zeros(batch.num_rows, object)
-            values[:] = [[]] * batch.num_rows
-            for i, r in zip(has, rows.view("<i8"), strict=True):
-                values[i] = r
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(offsets)), pa.array(values.tolist(), pa.list_(pa.int64()))], ["id", "h", "n", "sketch"])
+            keys = [x.view("<i8") for x in bucket_keys(hashes, offsets, threshold, k, picked, n_sketches)]
+            bins = pa.array([x.tobytes() for x in word_counts(hashes, offsets)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(offsets)), pa.array(keys, pa.list_(pa.int64())), bins], ["id", "h", "n", "keys", "bins"])
 
     plain = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.md5(text_col).alias("h")).filter("id is not null and text is not null")
-    return written(plain.mapInArrow(run, "id bigint, h string, n bigint, sketch array<bigint>"), "sketches")
+    return written(plain.mapInArrow(run, "id bigint, h string, n bigint, keys array<bigint>, bins binary"), "sketches")
 
 
 def beside(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
@@ -238,24 +289,60 @@ def verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, thre
     return links
 
 
-def without(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, k: int, picked: int, n_sketches: int) -> DataFrame:
-    """(id, key): for each pair (a, b) the sketches of a without the k-mers of b, as bucket keys that hold for b only. An a with no other k-mers keeps all of its own."""
-    dealt, _ = beside(docs, pairs, id_col, text_col)
+def candidates(rows: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b), a > b, of members of a bucket that differ in label and may reach the threshold by lengths and word counts.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in groups(batches, ["b", "g"]):
-            ids, role = rows["doc"].to_numpy(), rows["role"].to_numpy()
-            codes, bounds = kmers(*words(rows["text"].combine_chunks(), lower=False), k)
-            doc = np.repeat(np.arange(len(ids)), np.diff(bounds))
-            rest = ~np.isin(codes, codes[role[doc] == 0])
-            rest |= (np.bincount(doc, rest, len(ids)) == 0)[doc]
-            rest &= role[doc] == 1
-            left = np.concatenate([[0], np.cumsum(np.bincount(doc[rest], minlength=len(ids)))]).astype("<i8")
-            has, values = sketch(codes[rest], left, n_sketches, picked)
-            tag = mix(np.uint64(rows["b"][0].as_py() % (1 << 64)) + np.arange(n_sketches, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            yield pa.RecordBatch.from_pydict({"id": np.repeat(ids[has], n_sketches), "key": mix(values ^ tag).ravel().view("<i8")})
+    rows has key, id, n, label, bins and c, the blocks that the bucket's members
+    are dealt to; each pair of blocks is a unit of work.
+    """
+    part = F.pmod(F.xxhash64("id"), F.col("c"))
+    dealt = rows.select("key", "id", "n", "label", "bins", part.alias("part"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("c") - 1)).alias("q"))
+    dealt = dealt.select("key", F.least("part", "q").alias("i"), F.greatest("part", "q").alias("j"), "part", "n", "id", "label", "bins")
+
+    def passing(t: pa.Table) -> pa.RecordBatch:
+        group = np.column_stack([t[c].to_numpy() for c in ("key", "i", "j")])
+        part, n, ids, label = (t[c].to_numpy() for c in ("part", "n", "id", "label"))
+        bins = np.frombuffer(b"".join(t["bins"].to_pylist()), np.uint8).reshape(-1, BINS)
+        new = np.ones(len(n), bool)
+        new[1:] = np.any(group[1:] != group[:-1], axis=1)
+        run = np.cumsum(new)
+        # Rows of a group go by length: each is compared with the one s places on, until the lengths part.
+        left, found, s = np.arange(len(n)), [], 0
+        while len(left):
+            s += 1
+            left = left[left + s < len(n)]
+            right = left + s
+            go = (run[left] == run[right]) & (n[left] >= n[right] * threshold - 1e-9)
+            left, right = left[go], right[go]
+            test = (label[left] != label[right]) & ((group[left, 1] == group[left, 2]) | (part[left] != part[right]))
+            x, y = left[test], right[test]
+            for at in range(0, len(x), 8192):
+                u, v = x[at : at + 8192], y[at : at + 8192]
+                apart = (np.maximum(bins[u], bins[v]) - np.minimum(bins[u], bins[v])).sum(axis=1, dtype="<i8")
+                # Words in common: (n + n - apart) / 2 at most; the threshold needs the longer length less its edits.
+                good = apart <= n[u] + n[v] - 2 * (n[v] - ((1 - threshold) * n[v] + 1e-9).astype("<i8"))
+                found.append(np.column_stack([np.maximum(ids[u[good]], ids[v[good]]), np.minimum(ids[u[good]], ids[v[good]])]))
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), "<i8")
+        return pa.RecordBatch.from_pydict({"a": pairs[:, 0].copy(), "b": pairs[:, 1].copy()})
 
-    return dealt.mapInArrow(run, "id bigint, key bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.concat_tables([*([held] if held is not None else []), pa.Table.from_batches([batch])])
+            # The last group may go on in the next batch.
+            group = np.column_stack([t[c].to_numpy() for c in ("key", "i", "j")])
+            other = np.flatnonzero(np.any(group != group[-1], axis=1))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut:
+                yield passing(t.slice(0, cut))
+            held = t.slice(cut)
+        if held is not None:
+            yield passing(held)
+
+    dealt = dealt.repartition(partitions(rows.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "n")
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, k: int = K, picked: int = PICKED, n_sketches: int = SKETCHES) -> DataFrame:
@@ -265,12 +352,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that share an id are one document, with one row here. A null id: one row,
     class null, kept. Other columns are never read. An empty table gives no rows.
     """
-    sk = sketches(docs, id_col, text_col, k, picked, n_sketches)
+    sk = sketches(docs, id_col, text_col, threshold, k, picked, n_sketches)
     classes = sk.groupBy("h").agg(F.min("id").alias("rep"))
     members = written(sk.join(classes, "h").groupBy("id").agg(F.min("rep").alias("rep")), "members")
-    reps = sk.join(classes.select("h", F.col("rep").alias("id")), ["h", "id"], "left_semi").groupBy("id").agg(F.min(F.struct("h", "n", "sketch")).alias("s"))
-    rows = reps.select("id", F.col("s.n").alias("n"), F.posexplode("s.sketch").alias("j", "value")).select(F.xxhash64("j", "value").alias("key"), "id", "n")
-    rows = written(rows, "buckets")
+    reps = sk.join(classes.select("h", F.col("rep").alias("id")), ["h", "id"], "left_semi").groupBy("id").agg(F.min(F.struct("h", "n", "keys", "bins")).alias("s"))
+    reps = written(reps.select("id", "s.n", "s.keys", "s.bins"), "reps")
+    dropped(sk)
+    rows = written(reps.select(F.explode("keys").alias("key"), "id", "n"), "buckets")
     heads = rows.groupBy("key").agg(F.min(F.struct("id", "n")).alias("head"), F.count("*").alias("size")).filter("size > 1")
     multi = written(rows.join(heads.select("key", F.col("head.id").alias("pivot"), F.col("head.n").alias("pivot_n")), "key"), "shared-buckets")
     dropped(rows)
@@ -283,18 +371,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     label = lambda df: df.join(reached.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
     labelled = label(multi.select("key", "id", "n"))
-    mixed = labelled.groupBy("key").agg(F.count_distinct("label").alias("labels"), F.min("id").alias("head")).filter("labels > 1").select("key", "head", (F.col("labels") > COMMON).alias("common"))
-    open_rows = written(labelled.join(mixed, "key"), "open-buckets")
-    common = written(open_rows.filter("common and id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct(), "common")
-    facts = open_rows.select("id", "n", "label").distinct()
-    again = without(docs, common, id_col, text_col, k, picked, n_sketches).join(facts, "id").select("key", "id", "n", "label")
-    open_rows = written(open_rows.filter("not common").select("key", "id", "n", "label").union(again), "open-buckets")
-    left, right = open_rows.select("key", F.col("id").alias("a"), F.col("n").alias("an"), F.col("label").alias("al")), open_rows.select("key", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("label").alias("bl"))
-    unlike = (F.col("al") != F.col("bl")) & fits(F.col("an"), F.col("bn"))
-    rest = left.join(right, "key").filter((F.col("a") > F.col("b")) & unlike).select("a", "b")
-    # A common bucket's least document is itself a candidate for the others.
-    a_facts, b_facts = facts.select(F.col("id").alias("a"), F.col("n").alias("an"), F.col("label").alias("al")), facts.select(F.col("id").alias("b"), F.col("n").alias("bn"), F.col("label").alias("bl"))
-    rest = rest.union(common.join(a_facts, "a").join(b_facts, "b").filter(unlike).select("a", "b")).distinct()
+    mixed = labelled.groupBy("key").agg(F.count_distinct("label").alias("labels"), F.ceil(F.count("*") / COMMON).alias("c")).filter("labels > 1").select("key", "c")
+    open_rows = labelled.join(mixed, "key").join(reps.select("id", "bins"), "id")
+    rest = candidates(open_rows, threshold)
     rest = written(rest.join(first, ["a", "b"], "left_anti"), "rest")
     more = verified(docs, rest, id_col, text_col, threshold)
     if more.limit(1).count():

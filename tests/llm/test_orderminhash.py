@@ -87,6 +87,33 @@ def test_equals_brute_force(spark, monkeypatch, limit, common):
     assert got == want
 
 
+def edited(r, doc, edits, near=False):
+    """doc with so many words replaced, at random or side by side around its middle."""
+    d = list(doc)
+    at = range((len(d) - edits) // 2, (len(d) + edits) // 2) if near else r.sample(range(len(d)), edits)
+    for i in at:
+        d[i] = f"new{r.randrange(10**9)}"
+    return d
+
+
+def test_pairs_near_the_threshold_are_found(spark):
+    """As brute force: 200 words at 0.80 to 0.90, and 5 to 20 words with as many edits as 0.8 allows, in the middle or anywhere."""
+    r = random.Random(11)
+    docs = []
+    for n, edits, near, copies in [(200, e, False, 15) for e in (20, 30, 40)] + [(n, n // 5, near, 3) for n in range(5, 21) for near in (False, True)] + [(n, n // 5, False, 3) for n in (30, 38, 41, 45, 50)]:
+        for _ in range(copies):
+            base = [f"w{r.randrange(10**6)}" for _ in range(n)]
+            docs += [base, edited(r, base, edits, near)]
+    for n in range(5, 50):
+        base = [f"w{r.randrange(10**6)}" for _ in range(n)]
+        docs += [base, base[: n // 2] + base[n // 2 + n // 5 :]]
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    got = {x.doc_id: x.class_id for x in O.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    missed = [len(docs[i]) for i in range(0, len(docs), 2) if got[i] != got[i + 1]]
+    assert missed == []
+    assert all(got[i] == i for i in range(0, len(docs), 2))
+
+
 def test_odd_rows(spark):
     rows = [(4, "a b c", 0), (4, "a b c", 0), (2, "a b c", 0), (7, None, 0), (8, None, 0), (9, "", 0), (3, "  ", 0), (None, "a b c", 0)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, class_id int")
