@@ -5,7 +5,8 @@ looks for what the patterns miss: a phone number without its plus sign, a mail
 address written with "at" and "dot". A segment is a whole span of tokens, and
 its features look at the whole of it (digits, check sum, brackets, the word
 before), which no token-wise model can. Dynamic programming over segments of at
-most MAX_TOKENS tokens chooses boundaries and kinds jointly. Text without a
+most MAX_TOKENS tokens, and over spelt addresses of any length, chooses
+boundaries and kinds jointly. Text without a
 digit or another trigger nearby can only be outside, so the programme runs over
 windows around triggers; the windows' results are those of the whole text.
 
@@ -15,6 +16,7 @@ by exact gradients of the conditional likelihood.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import math
@@ -85,11 +87,35 @@ LABELS = ("outside", *KINDS)
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s|.", re.S)
 _TRIGGER = re.compile(r"[0-9]|@|[\[(] ?at ?[\])]|\sdot\s")
 _OBFUSCATED = re.compile(r"[\w.%+-]+ ?[\[(] ?at ?[\])] ?[\w-]+(?:(?: ?[\[(] ?dot ?[\])] ?|\.)[\w-]+)+|[\w.%+-]+ at [\w-]+(?: dot [\w-]+)+")
+_AT = re.compile(r" ?[\[(] ?at ?[\])] ?| at ")
+_BRACKETED = re.compile(r"[\w-]++(?:(?: ?[\[(] ?dot ?[\])] ?|\.)[\w-]++)++")
+_SPOKEN = re.compile(r"[\w-]++(?: dot [\w-]++)++")
+_GOES_ON = re.compile(r"(?: ?[\[(] ?dot ?[\])] ?|\.| dot )\w")
 _AREA = re.compile(r"\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}")
 _GROUPS = re.compile(r"[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4}")
 _HINTS = {"phone": {"phone", "tel", "call", "fax", "mobile"}, "card": {"card", "visa", "credit", "mastercard"}, "email": {"mail", "email", "contact"}, "ip": {"ip", "host", "address", "server"}}
 
 
+def spelt(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """Spelt addresses of any length between a and b, each from its first letter or digit to its last; in one pass."""
+    out, end = [], a
+    for m in _AT.finditer(text, a, b):
+        start = m.start()
+        while start > end and (text[start - 1].isalnum() or text[start - 1] in "_.%+-"):
+            start -= 1
+        while start < m.start() and not text[start].isalnum():
+            start += 1
+        domain = (_SPOKEN if m.group() == " at " else _BRACKETED).match(text, m.end(), b)
+        if start < m.start() and domain:
+            stop = domain.end()
+            while not text[stop - 1].isalnum():
+                stop -= 1
+            if _OBFUSCATED.fullmatch(text, start, stop):
+                out.append((start, stop))
+                end = stop
+    return out
+
+
 def features(text: str, a: int, b: int) -> list[str]:
     """What a segment is scored by: all of it, its neighbours and the word before."""
     s = text[a:b]
@@ -102,6 +128,8 @@ def features(text: str, a: int, b: int) -> list[str]:
         out.append("glued-right")
     if _OBFUSCATED.fullmatch(s):
         out.append("spelt-address")
+        if _GOES_ON.match(text, b):
+            out.append("cut-right")
     if _AREA.fullmatch(s):
         out.append("area-code")
     elif _GROUPS.fullmatch(s):
@@ -138,6 +166,11 @@ class Window:
                     f = features(text, x, y)
                     if f[1] not in ("digits0", "digits1", "digits2", "digits3", "digits4", "digits5", "digits6") or "spelt-address" in f:
                         self.segments[j].append((i, f, x, y))
+        starts, ends = {x: i for i, (x, _) in enumerate(marks)}, {y: j for j, (_, y) in enumerate(marks, 1)}
+        for x, y in spelt(text, a, b):
+            i, j = starts.get(x), ends.get(y)
+            if i is not None and j is not None and j - i > MAX_TOKENS:
+                self.segments[j].append((i, features(text, x, y), x, y))
 
     def score(self, w: dict[tuple[str, str], float], f: list[str], kind: str) -> float:
         return sum(w.get((kind, x), 0.0) for x in f)
@@ -238,6 +271,12 @@ def training_windows(n: int, seed: int) -> list[tuple[str, set[tuple[int, int, s
             pass
         return s if r.random() < 0.6 else "-".join(s[i : i + 4] for i in range(0, 16, 4))
 
+    def name() -> str:
+        return r.choice([f"{word()}{digits(2)}", f"{word()}.{word()}", word()])
+
+    def domain(dot: str) -> str:
+        return dot.join([word() for _ in range(r.choice([1, 1, 2]))] + [r.choice(["com", "org", "net", f"co{dot}uk"])])
+
     def entity() -> tuple[str, str]:
         k = r.randrange(6)
         if k == 0:
@@ -248,9 +287,9 @@ def training_windows(n: int, seed: int) -> list[tuple[str, set[tuple[int, int, s
         if k == 2:
             return card(True), "card"
         if k == 3:
-            return f"{word()}{digits(2)} {r.choice(['[at]', '(at)'])} {word()}{r.choice(['.', ' [dot] ', ' (dot) '])}com", "email"
+            return f"{name()} {r.choice(['[at]', '(at)'])} {domain(r.choice(['.', ' [dot] ', ' (dot) ']))}", "email"
         if k == 4:
-            return f"{word()} at {word()} dot {r.choice(['com', 'org', 'net'])}", "email"
+            return f"{name()} at {domain(' dot ')}", "email"
         return ".".join(str(r.randrange(256)) for _ in range(4)), "ip"
 
     def other() -> str:
@@ -291,6 +330,8 @@ def trained() -> tuple[tuple[tuple[str, str], float], ...]:
             for window, spans in examples[at : at + 20]:
                 for k, v in window.gradient(w, spans)[1].items():
                     total[k] = total.get(k, 0.0) + v
+            # Stays zero: a weight for each token outside would count against long segments.
+            total.pop(("follows", "outside>outside"), None)
             for k, v in total.items():
                 v -= 0.01 * w.get(k, 0.0)
                 square[k] = square.get(k, 0.0) + v * v
@@ -309,12 +350,23 @@ def added_spans(text: str, base: list[tuple[int, int, str]], w: dict) -> list[tu
     out = []
     for a, b in walls:
         at = a
+        whole = spelt(text, a, b) if _TRIGGER.search(text, a, b) else []
+        starts = [x for x, _ in whole]
         while m := _TRIGGER.search(text, at, b):
             lo, hi = max(a, m.start() - MARGIN), min(b, m.end() + MARGIN)
-            # The window grows while another trigger is in its margin, so that no entity is cut.
-            while (more := _TRIGGER.search(text, m.end(), hi)) and more.end() > m.end():
-                m = more
-                hi = min(b, m.end() + MARGIN)
+            # The window grows while another trigger is in its margin or a spelt address passes its edge, so that no entity is cut.
+            while True:
+                k = bisect.bisect_left(starts, hi) - 1
+                if (more := _TRIGGER.search(text, m.end(), hi)) and more.end() > m.end():
+                    m = more
+                    hi = max(hi, min(b, m.end() + MARGIN))
+                elif k >= 0 and whole[k][1] > hi:
+                    hi = whole[k][1]
+                else:
+                    break
+            k = bisect.bisect_right(starts, lo) - 1
+            if k >= 0 and whole[k][1] > lo:
+                lo = whole[k][0]
             while lo > a and not text[lo - 1].isspace():
                 lo -= 1
             while hi < b and not text[hi].isspace():

@@ -60,6 +60,25 @@ def test_added_and_left_alone():
         assert [k for _, _, k in pii.all_spans(text, W)[1]] == want, text
 
 
+def test_spelt_addresses_are_found_whole():
+    """Longer than a segment's bound of tokens or a window's margin, too."""
+    held = ["john.smith [at] example [dot] com", "first.last at mail dot example dot com", "john (at) example (dot) co (dot) uk", "j.r.smith99 [at] mail.example.co.uk", f"{'a.b-' * 20}x at {'mail dot ' * 12}com"]
+    for address in held:
+        for text in (f"write to {address} today", address, f"{'the of ' * 30}{address}\nand {address}, call (136) 555-7479"):
+            got = [text[a:b] for a, b, k in pii.all_spans(text, W)[1] if k == "email"]
+            assert got == [address] * text.count(address), (text, got)
+
+
+def test_held_out_windows_hold_long_addresses():
+    long = hit = 0
+    for text, truth in pii.training_windows(150, 1234):
+        tokens = lambda a, b: sum(1 for _ in pii._TOKEN.finditer(text, a, b))  # noqa: B023, E731
+        chosen = {s for s in truth if s[2] == "email" and tokens(s[0], s[1]) > pii.MAX_TOKENS}
+        long += len(chosen)
+        hit += len(chosen & set(pii.Window(text, 0, len(text)).best(W)))
+    assert long >= 10 and hit / long > 0.9, (hit, long)
+
+
 def test_gradient_is_that_of_the_likelihood():
     text, truth = pii.training_windows(3, 5)[1]
     window = pii.Window(text, 0, len(text))
