@@ -114,6 +114,17 @@ def test_pairs_near_the_threshold_are_found(spark):
     assert all(got[i] == i for i in range(0, len(docs), 2))
 
 
+def test_alike_by_a_passage_that_many_longer_ones_hold(spark):
+    """Two documents that are alike in the passage only, among 1200 that hold it beside other text, the least ones among them."""
+    r = random.Random(12)
+    fresh = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    passage = fresh(90)
+    docs = [fresh(30) + passage + fresh(30) for _ in range(1200)] + [passage + fresh(20) for _ in range(2)]
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    got = {x.doc_id: x.class_id for x in O.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: min(i, 1200) for i in range(1202)}
+
+
 def test_odd_rows(spark):
     rows = [(4, "a b c", 0), (4, "a b c", 0), (2, "a b c", 0), (7, None, 0), (8, None, 0), (9, "", 0), (3, "  ", 0), (None, "a b c", 0)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, class_id int")
