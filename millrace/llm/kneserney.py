@@ -1,12 +1,13 @@
 """Quality by an interpolated modified Kneser-Ney model of trusted text, one for each language.
 
-Training takes at most `train_docs` trusted documents, chosen by the hash of
-their id; that parameter bounds the model's size, and with it the broadcast and
-the rows that the driver sees. Counts and continuation counts are partial
+Training takes at most `train_docs` trusted documents of each language, in order
+of the hash of their id; that and the number of languages bound the model's
+size, and with it the broadcast and the rows that the driver sees. Counts and continuation counts are partial
 aggregates over n-gram keys, and lower orders reach higher ones by joins on
-those keys, so training is sharded by key. Four fifths of the trusted documents
-train; the rest set each language's threshold, a quantile of their length-
-shrunk mean log probability.
+those keys, so training is sharded by key. Every fifth document of a language
+sets its threshold, a quantile of their length-shrunk mean log probability; the
+others train. A language with fewer than five trusted documents has no
+threshold; `Model.unjudged` names those with some.
 
 Scoring reads each document once, whole, and looks each token up from the
 longest n-gram down: an n-gram of the model has its interpolated probability,
@@ -16,11 +17,11 @@ any other the backoff weight of its context times that of the shorter one.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import chunks, dropped, partitions, written
@@ -78,6 +79,8 @@ class Model:
     means: dict[int, float]
     thresholds: dict[int, float]
     shared: object
+    #: Languages with trusted documents but no threshold, and how many were drawn: all their documents are kept.
+    unjudged: dict[str | None, int] = field(default_factory=dict)
 
     def share(self, spark: SparkSession) -> None:
         """Send the tables to the executors, once for all uses."""
@@ -139,10 +142,15 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, orde
     """The models of all languages with trusted documents (quality 1)."""
     spark = docs.sparkSession
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
-    chosen = good.withColumn("m", F.md5(F.col(id_col).cast("string"))).orderBy("m", id_col).limit(train_docs)
-    chosen = written(chosen, "trusted-ids")
-    trusted = docs.select(id_col, text_col, lang_col).join(F.broadcast(chosen), id_col).filter(F.col(text_col).isNotNull())
-    trusted = written(trusted.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), (F.conv(F.substring("m", 31, 2), 16, 10).cast("int") % 5 == 0).alias("held_out")), "trusted")
+    there = docs.filter(F.col(text_col).isNotNull()).select(id_col, F.col(lang_col).alias("l")).join(good, id_col).distinct()
+    there = there.withColumn("m", F.md5(F.col(id_col).cast("string"))).withColumn("deal", F.pmod(F.xxhash64(id_col), F.lit(partitions(spark))))
+    # First within a part of the language, so that no task ranks all of it.
+    for keys in (["l", "deal"], ["l"]):
+        there = there.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("m", id_col))).filter(F.col("rank") <= train_docs)
+    chosen = written(there.select(F.col(id_col).alias("chosen"), "l", "rank"), "trusted-ids")
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null")
+    trusted = found.join(F.broadcast(chosen), (F.col("id") == F.col("chosen")) & F.col("lang").eqNullSafe(F.col("l")))
+    trusted = written(trusted.select("text", "lang", (F.col("rank") % 5 == 0).alias("held_out")), "trusted")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches if whole.num_rows for part in chunks(whole, 0, BATCH_BYTES)):
@@ -173,13 +181,14 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, orde
     shrunk = (F.col("log10_p") + PRIOR_TOKENS * F.col("mean")) / (F.col("n_tokens") + PRIOR_TOKENS)
     limits = held.withColumnRenamed("lang", "l").join(F.broadcast(mean), F.col("l").eqNullSafe(F.col("lang"))).groupBy("lang").agg(F.percentile(shrunk, F.lit(quantile)).alias("t"))
     model.thresholds = {_lang_key(r.lang): r.t - SLACK for r in limits.collect()}
+    model.unjudged = {r.lang: r["count"] for r in trusted.groupBy("lang").count().collect() if _lang_key(r.lang) not in model.thresholds}
     return model
 
 
 def _table(df: DataFrame, columns: list[str], value: str) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys and log10 values of a table of the model; executors make the keys, 16 bytes a row come to the driver.
 
-    `train_docs` bounds the rows: a table has one for each training token at most.
+    `train_docs` and the number of languages bound the rows: a table has one for each training token at most.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -70,6 +70,19 @@ def test_odd_rows(spark, model):
     assert all(r.kept for r in KN.judge(df, nothing).collect())
 
 
+def test_a_rare_language_keeps_its_filter(spark):
+    """One language has 60 times the trusted documents of another; a third one has too few."""
+    r = np.random.default_rng(4)
+    text = lambda lang: " ".join(f"{lang}{i}" for i in r.integers(0, 30, 40))
+    langs = ["aa"] * 1800 + ["bb"] * 30 + ["cc"] * 3
+    docs = spark.createDataFrame([(i, text(x), x) for i, x in enumerate(langs)] + [(9000, "zz " * 60, "bb"), (9001, "zz " * 60, "cc")], "doc_id bigint, text string, lang string")
+    labels = docs.filter("doc_id < 9000").selectExpr("doc_id", "1 as quality")
+    model = KN.train(docs, labels, train_docs=30)
+    assert {KN._lang_key("aa"), KN._lang_key("bb")} == set(model.thresholds) and model.unjudged == {"cc": 3}
+    kept = {x.doc_id: x.kept for x in KN.judge(docs, model).filter("lang <> 'aa'").collect()}
+    assert not kept[9000] and kept[9001] and sum(kept[i] for i in range(1800, 1830)) >= 28
+
+
 def test_query_is_repeatable(spark):
     first, second = (sorted(map(tuple, op4_kneserney(spark, "/root/testdata/sf0.001").collect())) for _ in range(2))
     assert first == second and len(first) == 200
