@@ -20,11 +20,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset and all run in one process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        known = spark.sparkContext.getCheckpointDir()
-        folder = known or tempfile.mkdtemp(prefix="millrace-")
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
@@ -51,12 +53,28 @@ def dropped(*tables: DataFrame) -> None:
     """Delete tables made by written(), once nothing reads them any more, and let Spark delete shuffle files of finished steps."""
     for df in tables:
         spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.millrace_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, df.millrace_path)
         df.millrace_path = None
     release(spark)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def bucketed(df: DataFrame, name: str, key: str) -> Iterator[DataFrame]:
+    """df stored by key, so that joins on it don't move df; table and files go at the end, also after a failure."""
+    spark, table, path = df.sparkSession, f"millrace_{name}_{uuid.uuid4().hex}", scratch_path(df.sparkSession, name)
+    try:
+        df.write.format("parquet").bucketBy(partitions(spark), key).option("path", path).saveAsTable(table)
+        yield spark.table(table)
+    finally:
+        spark.sql(f"drop table if exists {table}")
+        _delete(spark, path)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps now: it does so for plans that the driver's collector has found to be garbage.
 
@@ -70,15 +88,17 @@ def release(spark: SparkSession) -> None:
 
 
 @contextlib.contextmanager
-def rows_a_batch(spark: SparkSession, n: int) -> Iterator[None]:
-    """Inside, Arrow batches take n rows at most: for steps that run here and whose rows are megabytes."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(n))
+def rows_a_batch(spark: SparkSession, n: int, most_bytes: int = 4 << 20) -> Iterator[None]:
+    """Inside, Arrow batches take n rows and about most_bytes at most: for steps that run here and whose rows are large."""
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": n, "spark.sql.execution.arrow.maxBytesPerBatch": most_bytes}
+    before = {name: spark.conf.get(name) for name in limits}
     try:
+        for name, value in limits.items():
+            spark.conf.set(name, str(value))
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def partitions(spark: SparkSession, least: int = 1) -> int:

@@ -1,83 +1,50 @@
 """Katz backoff scoring: Good-Turing counts, exactly normalised weights, all of the corpus.
 
-The model is of order two over words and an end token, with a beginning as the
-first context. A seen pair has d(c) * c / (c(h) + HELD), where d is the
-Good-Turing discount; any other has alpha(h) * P(w), and P is the discounted
-unigram, whose missing mass is that of the one unknown word. alpha(h) is what
-the pairs after h leave, over the unigram mass of what was not seen after h, so
-each context's probabilities add up to one. HELD keeps alpha above zero where
-all counts are too high for a discount.
-
-Nothing of the model has to fit in one place. Documents become blocks of about
-BLOCK_BYTES, stored by block number as dictionaries of word hashes and token
-numbers. Counting sends each block's distinct words and pairs, sorted and
-packed, to shards of the hash space; shards add them up, store them (the count
-tables) and answer each block with the totals for just what it sent. Backoff
-sums travel the same way and are stored as well. Blocks then score their own
-tokens. Words and pairs are merged inside a block before they travel, so a word
-or pair that fills the corpus is one number for each block.
-
-Words are told apart by 64-bit hashes: with a billion different words the
-expected number of equal hashes is 0.03.
+The model is of any order over words and an end token, with beginnings as the
+first context. A seen n-gram has d(c) * c / (c(h) + HELD), where d is its
+order's Good-Turing discount; any other has alpha(h) times the probability by
+the shorter context, down to discounted unigrams, whose missing mass is that of
+the one unknown word. alpha(h) is what the n-grams after h leave, over the
+shorter context's mass of what was not seen after h, so each context's
+probabilities add up to one. HELD keeps alpha above zero where all counts are
+too high for a discount.
+
+Blocks send their n-grams to shards (see ngrams), which add up the counts, store
+them as tables partitioned by role and level, and answer each block with the
+totals of what it sent. Orders go one after the other, and the longest in
+PASSES ranges of keys, so that little is on the way at a time. Of a context,
+blocks then send whole numbers only: how many n-grams after it were seen one to
+DISCOUNTED times, and the same of their shorter n-grams. Each n-gram is told of
+by one block, the first that trained on it. From their sums the shard makes the
+backoff weight, stores it and answers the blocks that need it. Weights are made
+for contexts that some held-out document holds: no other token backs off.
+Blocks then score their own tokens, from the shortest context to the longest.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import chunks, groups, partitions, release, rows_a_batch, scratch_path, written
-from millrace.llm.tokens import mix, pack, unpack, words
+from millrace.llm.common import bucketed, dropped, release, rows_a_batch, written
+from millrace.llm.ngrams import ANSWER, END, SENT, Block, block_schema, joined, make_blocks, rows_of, sent_rows, shard_bits, shard_groups, to_shards, with_answers
+from millrace.llm.tokens import pack, pack_ints, unpack, unpack_ints
 
-BLOCK_BYTES, CHUNK_BYTES = 4 << 20, 1 << 20
-#: Blocks, or packed parts of them, in an Arrow batch.
-BATCH_ROWS = 2
-#: Token occurrences for each shard, about.
-SHARD_TOKENS = 4 << 20
+ORDER = 3
+#: Ranges of keys that an order above the second is counted in.
+PASSES = 2
+#: Rows of an Arrow batch: blocks, and slices of them.
+BLOCK_ROWS, SLICE_ROWS = 2, 256
 #: Counts up to this one are discounted.
 DISCOUNTED = 5
 HELD = 0.01
-BEGIN, END = np.uint64(0x626567696E), np.uint64(0x656E64)
 
-
-def _planes(x: np.ndarray) -> bytes:
-    """Numbers as byte planes, which compress well where high bytes are zero."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-
-
-def _from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
-
-
-def pair_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix(mix(context + np.uint64(7)) * np.uint64(3) + word)
-
-
-class Block:
-    """A block's documents: each token's number in the dictionary, and the pairs that the tokens make."""
-
-    def __init__(self, vocabulary: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, held_out: np.ndarray):
-        self.vocabulary, self.tokens, self.held_out = vocabulary, tokens, held_out
-        self.doc = np.repeat(np.arange(len(lengths)), lengths)
-        self.trains = ~held_out[self.doc]
-        # The number after the last word stands for the beginning.
-        self.context = np.empty(len(tokens), tokens.dtype)
-        self.context[1:] = tokens[:-1]
-        self.context[np.cumsum(lengths) - lengths] = len(vocabulary)
-        hashes = np.append(vocabulary, BEGIN)
-        self.pairs, self.first, self.pair = np.unique(pair_keys(hashes[self.context], vocabulary[tokens]), return_index=True, return_inverse=True)
-
-    def word_counts(self) -> np.ndarray:
-        return np.bincount(self.tokens[self.trains], minlength=len(self.vocabulary))
-
-    def pair_counts(self) -> np.ndarray:
-        return np.bincount(self.pair[self.trains], minlength=len(self.pairs))
+MODEL = "role string, level int, shard int, block bigint, keys binary, data binary, stats array<bigint>"
+_SCHEMA = pa.schema([("role", pa.string()), ("level", pa.int32()), ("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("data", pa.binary()), ("stats", pa.list_(pa.int64()))])
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -91,217 +58,222 @@ def discounts(n: list[int]) -> np.ndarray:
     return np.array(out)
 
 
+def discounted(d: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """d(c) * c."""
+    return np.where(c <= DISCOUNTED, np.append(0.0, d)[np.minimum(c, DISCOUNTED)], 1.0) * c
+
+
 class Unigrams:
     """P(w) by count; what the discounts free belongs to the unknown word."""
 
     def __init__(self, counts_of_counts: list[int], total: int):
         self.d = discounts(counts_of_counts)
-        freed = sum(n * r * (1 - d) for r, (n, d) in enumerate(zip(counts_of_counts, self.d, strict=False), 1)) or 0.5
-        kept = total - sum(n * r * (1 - d) for r, (n, d) in enumerate(zip(counts_of_counts, self.d, strict=False), 1))
-        self.total, self.unknown = kept + freed, freed / (kept + freed)
+        cut = sum(n * r * (1 - d) for r, (n, d) in enumerate(zip(counts_of_counts, self.d, strict=False), 1))
+        freed = cut or 0.5
+        self.total, self.unknown = total - cut + freed, freed / (total - cut + freed)
 
     def __call__(self, c: np.ndarray) -> np.ndarray:
         return np.where(c > 0, discounted(self.d, c) / self.total, self.unknown)
 
 
-def discounted(d: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """d(c) * c."""
-    return np.where(c <= DISCOUNTED, np.append(0.0, d)[np.minimum(c, DISCOUNTED)], 1.0) * c
-
-
-BLOCKS = "block bigint, ids binary, held_out binary, lengths binary, vocabulary binary, tokens binary"
-
-
-def _make_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple] = []
-    size = made = 0
-    partition = TaskContext.get().partitionId()
-
-    def flush() -> pa.RecordBatch:
-        ids, out, hashes, lengths = (np.concatenate(c) for c in zip(*held, strict=True))
-        vocabulary, tokens = np.unique(hashes, return_inverse=True)
-        return pa.RecordBatch.from_pydict({"block": pa.array([partition << 24 | made], pa.int64()), "ids": [ids.astype("<i8").tobytes()], "held_out": [out.tobytes()], "lengths": [lengths.astype("<i4").tobytes()], "vocabulary": [pack(vocabulary)], "tokens": [_planes(tokens)]})
-
-    for batch in (part for whole in batches if whole.num_rows for part in chunks(whole, 0, CHUNK_BYTES)):
-        hashes, offsets = words(batch.column(0))
-        n = np.diff(offsets)
-        tokens = np.full(len(hashes) + len(n), END, np.uint64)
-        tokens[np.arange(len(hashes)) + np.repeat(np.arange(len(n)), n)] = hashes
-        held.append((batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False), tokens, n + 1))
-        size += batch.column(0).nbytes
-        if size >= BLOCK_BYTES:
-            yield flush()
-            held, size, made = [], 0, made + 1
-    if held:
-        yield flush()
-
-
-def _block(row: dict) -> Block:
-    return Block(unpack(row["vocabulary"]), _from_planes(row["tokens"]).astype("<i8"), np.frombuffer(row["lengths"], "<i4").astype("<i8"), np.frombuffer(row["held_out"], bool))
-
-
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            yield {name: batch.column(name)[i].as_py() for name in batch.schema.names}
-
-
-def _slices(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
-    """(shard, from, to) of sorted keys by their leading bits; empty ones are left out."""
-    edge = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-    return [(s, int(a), int(b)) for s, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a]
-
-
-COUNTED = "role string, level int, shard int, block bigint, keys binary, counts binary, stats array<bigint>"
+def _model_row(role: str, level: int, shard: int, block: int | None, keys: bytes | None, data: bytes, stats: list[int] | None = None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict(dict(zip(_SCHEMA.names, ([role], [level], [shard], [block], [keys], [data], [stats]), strict=True)), _SCHEMA)
 
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a shard: the count table, and to each block the totals of its keys, doubled, plus one where the block is the first to train on the key."""
-    for group in groups(batches, ["level", "shard"]):
+    """Of a shard: the count table, and to each block for each of its keys 4 times the total, plus 2 where a held-out document has it, plus 1 where the block is the first to train on it."""
+    for group in shard_groups(batches):
         level, shard = group["level"][0].as_py(), group["shard"][0].as_py()
         parts = [unpack(k) for k in group["keys"].to_pylist()]
-        counts = np.concatenate([_from_planes(c) for c in group["counts"].to_pylist()]).astype("<i8")
+        ends = np.cumsum([len(p) for p in parts])
         keys = np.concatenate(parts)
+        sent = np.concatenate([unpack_ints(c) for c in group["data"].to_pylist()])
         order = np.argsort(keys, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
-        total = np.add.reduceat(counts[order], first)
-        place = np.where(counts[order] > 0, np.arange(len(keys)), len(keys))
-        owner = np.minimum.reduceat(place, first)
+        ordered = keys[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = ordered[1:] != ordered[:-1]
+        first = np.flatnonzero(new)
+        sent = sent[order]
+        total = np.add.reduceat(sent >> 1, first)
+        value = total * 4 + 2 * np.bitwise_or.reduceat(sent & 1, first)
+        owner = np.minimum.reduceat(np.where(sent > 1, np.arange(len(keys)), len(keys)), first)
         answer = np.empty(len(keys), "<i8")
-        answer[order] = np.repeat(total * 2, np.diff(np.append(first, len(keys))))
+        answer[order] = np.repeat(value, np.diff(np.append(first, len(keys))))
         answer[order[owner[owner < len(keys)]]] += 1
         seen = total > 0
-        of_counts = np.bincount(np.minimum(total[seen], DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2]
-        stats = [*of_counts.tolist(), int(total.sum()), int(seen.sum())]
-        schema = pa.schema([("role", pa.string()), ("level", pa.int32()), ("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("stats", pa.list_(pa.int64()))])
-        yield pa.RecordBatch.from_pydict({"role": ["model"], "level": [level], "shard": [shard], "block": [None], "keys": [pack(keys[order][first][seen])], "counts": [_planes(total[seen])], "stats": [stats]}, schema)
-        ends = np.cumsum([len(p) for p in parts])
-        for block, end, p in zip(group["block"].to_pylist(), ends, parts, strict=True):
-            yield pa.RecordBatch.from_pydict({"role": ["answer"], "level": [level], "shard": [shard], "block": [block], "keys": [None], "counts": [_planes(answer[end - len(p) : end])], "stats": [None]}, schema)
-
-
-def _join_answers(answers: list[dict], level: int) -> np.ndarray:
-    own = sorted((a for a in answers if a["level"] == level), key=lambda a: a["shard"])
-    return np.concatenate([_from_planes(a["data"]) for a in own]).astype("<i8") if own else np.zeros(0, "<i8")
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        stats = [*np.bincount(np.minimum(total[seen], DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2].tolist(), int(total.sum()), int(seen.sum())]
+        yield _model_row("model", level, shard, None, pack(ordered[first][seen]), pack_ints(total[seen]), stats)
+        for block, a, b in zip(group["block"].to_pylist(), np.append(0, ends[:-1]), ends, strict=True):
+            yield _model_row("answer", level, shard, block, None, pack_ints(answer[a:b]))
+
+
+class Counted(Block):
+    """A block with the corpus's counts of its n-grams: for each order `count`, `own` and `held`."""
+
+    def __init__(self, row: dict, order: int):
+        super().__init__(row, order)
+        answers = [joined(row["answers"], m) for m in range(1, order + 1)]
+        self.count = [None, *[a >> 2 for a in answers]]
+        self.own = [None, *[(a & 1) > 0 for a in answers]]
+        self.held = [None, *[(a & 2) > 0 for a in answers]]
+        # BEGIN comes as often as END; as an n-gram it was never sent as trained on.
+        documents = self.count[1][np.searchsorted(self.keys[1], END)]
+        for m in range(1, order):
+            at = self.number[m][self.begins[0]]
+            self.count[m][at], self.held[m][at] = documents, True
+
+    def needed(self, m: int) -> np.ndarray:
+        """The contexts of m words, seen in training, that some token here backs off from."""
+        unseen = self.real & (self.count[m + 1][self.number[m + 1]] == 0)
+        out = np.zeros(len(self.keys[m]), bool)
+        out[self.number[m][self.before[unseen]]] = True
+        return out & (self.count[m] > 0)
+
+    def context_sums(self, m: int) -> np.ndarray:
+        """A column for each context of m words: numbers of its own n-grams by count 1 to DISCOUNTED, the same of their shorter n-grams' counts, the sum of those, and counts of the context and of its last m - 1 words."""
+        n = len(self.keys[m])
+        at = self.place[m + 1][self.own[m + 1]]
+        context, c, low = self.number[m][self.before[at]], self.count[m + 1][self.own[m + 1]], self.count[m][self.number[m][at]]
+        rows = [np.bincount(context[x == r], minlength=n) for x in (c, low) for r in range(1, DISCOUNTED + 1)]
+        rows.append(np.bincount(context, low, n).astype("<i8"))
+        tells = self.own[m].copy()
+        tells[self.number[m][self.begins[0]]] = True
+        rows.append(np.where(tells, self.count[m], 0))
+        below = np.zeros(n, "<i8")
+        if m > 1:
+            below[self.number[m]] = self.count[m - 1][self.number[m - 1]]
+        rows.append(np.where(tells, below, 0))
+        return np.array(rows)
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row.
 
     Documents whose CRC-32 of the id, as text, is 1 modulo 5 are held out of
-    training; a null id's text is empty, so it trains. Null text: the end token
-    only. Repeated rows count as often as they come. Without any training
+    training; a null id's text is empty, so it trains. Ids may be of any type
+    that casts to text. Null text: the end token only. Repeated rows count as
+    often as they come. A very long text is a block of its own, which one task
+    holds (some 200 bytes a word). Ties need no rule. Without any training
     document every word is unknown. An empty table gives no rows. Other columns
-    are never read.
+    are never read, so their names can't clash.
     """
+    if order < 2:
+        raise ValueError("the order is 2 or more")
     spark = docs.sparkSession
-    buckets = partitions(spark)
-    ident = F.col(id_col).cast("bigint")
+    kind = dict(docs.dtypes)[id_col]
     held_out = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 5 == 1
-    # The one id that no number stands for is a null, marked by the smallest.
-    plain = docs.select(F.col(text_col).alias("text"), F.coalesce(ident, F.lit(-(1 << 63)).cast("bigint")).alias("id"), held_out.alias("held_out"))
-    name = f"millrace_blocks_{uuid.uuid4().hex}"
-    plain.mapInArrow(_make_blocks, BLOCKS).write.format("parquet").bucketBy(buckets, "block").option("path", scratch_path(spark, "blocks")).saveAsTable(name)
-    blocks = spark.table(name)
-    n_tokens = blocks.agg(F.sum(F.octet_length("tokens") / 4)).first()[0] or 0
-    bits = max(1, (int(n_tokens) // SHARD_TOKENS).bit_length())
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            block = _block(row)
-            for level, keys, counts in ((1, block.vocabulary, block.word_counts()), (2, block.pairs, block.pair_counts())):
-                cut = _slices(keys, bits)
-                yield pa.RecordBatch.from_pydict({"level": pa.array([level] * len(cut), pa.int32()), "shard": pa.array([s for s, _, _ in cut], pa.int32()), "block": pa.array([row["block"]] * len(cut), pa.int64()), "keys": pa.array([pack(keys[a:b]) for _, a, b in cut], pa.binary()), "counts": pa.array([_planes(counts[a:b]) for _, a, b in cut], pa.binary())})
-
-    sent = blocks.mapInArrow(send, "level int, shard int, block bigint, keys binary, counts binary")
-    sent = sent.repartition(buckets, "level", "shard").sortWithinPartitions("level", "shard", "block")
-    with rows_a_batch(spark, BATCH_ROWS):
-        counted = written(sent.mapInArrow(_add_up, COUNTED), "katz-counts", partition_by="role")
-    del sent  # else its shuffle files stay
-    release(spark)
-    stats = {r.level: r.s for r in counted.filter("role = 'model'").groupBy("level").agg(F.array(*[F.sum(F.col("stats")[i]) for i in range(DISCOUNTED + 3)]).alias("s")).collect()}
-    *ones, n_train, n_kinds = [int(x) for x in stats.get(1, [0] * (DISCOUNTED + 3))]
-    pair_d = discounts([int(x) for x in stats.get(2, [0] * (DISCOUNTED + 3))][: DISCOUNTED + 1])
+    plain = docs.select(F.col(text_col).alias("text"), F.lit(0).cast("bigint").alias("salt"), held_out.alias("mark"), F.struct(F.col(id_col).alias("id")).alias("carried"))
+    result = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    with rows_a_batch(spark, 1000):
+        made = plain.mapInArrow(make_blocks, block_schema(f"struct<id:{kind}>"))
+        with bucketed(made, "blocks", "block") as blocks:
+            return _score(blocks, order, result).withColumnRenamed("doc_id", id_col)
+
+
+def _score(blocks: DataFrame, order: int, result: str) -> DataFrame:
+    spark = blocks.sparkSession
+    tokens = blocks.select("lengths").mapInArrow(_sizes, "n bigint").agg(F.sum("n")).first()[0] or 0
+    bits = shard_bits(tokens)
+
+    def counting(levels: list[int], part: int, parts: int):
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in rows_of(batches):
+                block = Block(row, max(levels))
+                marks = block.marks[block.doc]
+                for m in levels:
+                    cut = block.slices(m, bits, None, part, parts)
+                    sent = 2 * np.bincount(block.number[m][block.real & ~marks], minlength=len(block.keys[m]))
+                    sent[block.number[m][marks]] |= 1
+                    yield sent_rows(row["block"], m, block.keys[m], cut, lambda a, b: pack_ints(sent[a:b]))  # noqa: B023
+
+        return send
+
+    tables = []
+    steps = [([1, 2], 0, 1)] + [([m], p, PASSES) for m in range(3, order + 1) for p in range(PASSES)]
+    for levels, part, parts in steps:
+        with rows_a_batch(spark, BLOCK_ROWS):
+            sent = blocks.select("block", "marks", "lengths", "vocabulary", "tokens").mapInArrow(counting(levels, part, parts), SENT)
+            counted = written(to_shards(sent).mapInArrow(_add_up, MODEL), "katz-counts", partition_by="role")
+        tables.append(counted)
+        del sent  # else its shuffle files stay
+        release(spark)
+    every = tables[0]
+    for t in tables[1:]:
+        every = every.union(t)
+    stats = {r.level: [int(x) for x in r.s] for r in every.filter("role = 'model'").groupBy("level").agg(F.array(*[F.sum(F.col("stats")[i]) for i in range(DISCOUNTED + 3)]).alias("s")).collect()}
+    zeros = [0] * (DISCOUNTED + 3)
+    *ones, n_train, n_kinds = stats.get(1, zeros)
     unigrams = Unigrams(ones, n_train)
+    d = [None, unigrams.d, *[discounts(stats.get(m, zeros)[: DISCOUNTED + 1]) for m in range(2, order + 1)]]
 
-    answers = counted.filter("role = 'answer'").select("block", "level", "shard", F.col("counts").alias("data")).repartition(buckets, "block").groupBy("block").agg(F.collect_list(F.struct("level", "shard", "data")).alias("answers"))
-    answered = blocks.join(answers, "block")
+    answers = every.filter("role = 'answer'").select("level", "shard", "block", "data")
+    answered = with_answers(blocks, answers)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            block = _block(row)
-            c, answer = _join_answers(row["answers"], 1) >> 1, _join_answers(row["answers"], 2)
-            own = np.flatnonzero(answer & 1)
-            context, word = block.context[block.first[own]], block.tokens[block.first[own]]
-            n = len(block.vocabulary) + 1
-            used = np.bincount(context, discounted(pair_d, answer[own] >> 1), n)
-            covered = np.bincount(context, unigrams(c[word]), n)
-            follows = np.bincount(block.context[block.trains], minlength=n)
-            unseen = block.context[(answer[block.pair] >> 1) == 0]
-            needed = np.bincount(unseen, minlength=n) > 0
-            keys = np.append(block.vocabulary, BEGIN)
-            keep = np.flatnonzero((follows > 0) | needed)
-            keep = keep[np.argsort(keys[keep])]
-            for s, a, b in _slices(keys[keep], bits):
-                part = keep[a:b]
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int32()), "block": pa.array([row["block"]], pa.int64()), "keys": pa.array([pack(keys[part])], pa.binary()), "follows": pa.array([_planes(follows[part])], pa.binary()), "used": pa.array([used[part].tobytes()], pa.binary()), "covered": pa.array([covered[part].tobytes()], pa.binary()), "needed": pa.array([needed[part].tobytes()], pa.binary())})
+        for row in rows_of(batches):
+            block = Counted(row, order)
+            for m in range(1, order):
+                sums, needed = block.context_sums(m), block.needed(m)
+                chosen = np.flatnonzero(needed | (block.held[m] & (sums != 0).any(axis=0)))
+                sums = np.vstack([sums, needed])[:, chosen]
+                yield sent_rows(row["block"], m, block.keys[m][chosen], block.slices(m, bits, chosen), lambda a, b: pack_ints(sums[:, a:b].ravel()))  # noqa: B023
 
     def back_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(batches, ["shard"]):
-            shard = group["shard"][0].as_py()
+        r = np.arange(1, DISCOUNTED + 1)
+        for group in shard_groups(batches):
+            m, shard = group["level"][0].as_py(), group["shard"][0].as_py()
             parts = [unpack(k) for k in group["keys"].to_pylist()]
+            sent = np.concatenate([unpack_ints(x).reshape(-1, len(p)) for x, p in zip(group["data"].to_pylist(), parts, strict=True)], axis=1)
             keys, place = np.unique(np.concatenate(parts), return_inverse=True)
-            follows, used, covered = (np.bincount(place, np.concatenate(x), len(keys)) for x in ([_from_planes(f) for f in group["follows"].to_pylist()], [np.frombuffer(u) for u in group["used"].to_pylist()], [np.frombuffer(u) for u in group["covered"].to_pylist()]))
-            # A context that training never saw leaves everything to the unigrams.
-            alpha = np.where(follows > 0, (1 - used / (follows + HELD)) / (1 - covered), 1.0)
-            schema = pa.schema([("role", pa.string()), ("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("data", pa.binary())])
-            yield pa.RecordBatch.from_pydict({"role": ["model"], "shard": [shard], "block": [None], "keys": [pack(keys)], "data": [alpha.tobytes()]}, schema)
-            at = 0
-            for block, p, need in zip(group["block"].to_pylist(), parts, group["needed"].to_pylist(), strict=True):
-                need = np.frombuffer(need, bool)
-                yield pa.RecordBatch.from_pydict({"role": ["answer"], "shard": [shard], "block": [block], "keys": [pack(p[need])], "data": [alpha[place[at : at + len(p)]][need].tobytes()]}, schema)
-                at += len(p)
-
-    weights = answered.mapInArrow(weigh, "shard int, block bigint, keys binary, follows binary, used binary, covered binary, needed binary")
-    weights = weights.repartition(buckets, "shard").sortWithinPartitions("shard", "block")
-    with rows_a_batch(spark, BATCH_ROWS):
-        backoff = written(weights.mapInArrow(back_off, "role string, shard int, block bigint, keys binary, data binary"), "katz-backoff", partition_by="role")
+            sums = [np.bincount(place, row, len(keys)) for row in sent[: 2 * DISCOUNTED + 1]]
+            follows, below = np.zeros(len(keys), "<i8"), np.zeros(len(keys), "<i8")
+            np.maximum.at(follows, place, sent[-3])
+            np.maximum.at(below, place, sent[-2])
+            left = r * (1 - d[m + 1]) @ np.array(sums[:DISCOUNTED])
+            covered = sums[-1] - r * (1 - d[m]) @ np.array(sums[DISCOUNTED:-1])
+            whole = unigrams.total if m == 1 else below + HELD
+            alpha = (left + HELD) / (follows + HELD) * whole / (whole - covered)
+            yield _model_row("model", m, shard, None, pack(keys), alpha.tobytes())
+            ends = np.cumsum([len(p) for p in parts])
+            for block, a, b in zip(group["block"].to_pylist(), np.append(0, ends[:-1]), ends, strict=True):
+                wanted = place[a:b][sent[-1, a:b] > 0]
+                if len(wanted):
+                    yield _model_row("answer", m, shard, block, None, alpha[wanted].tobytes())
+
+    with rows_a_batch(spark, BLOCK_ROWS):
+        weights = answered.select("block", "marks", "lengths", "vocabulary", "tokens", "answers").mapInArrow(weigh, SENT)
+        backoff = written(to_shards(weights).mapInArrow(back_off, MODEL), "katz-backoff", partition_by="role")
     del weights
     release(spark)
-    alphas = backoff.filter("role = 'answer'").select("block", "shard", "keys", "data").repartition(buckets, "block").groupBy("block").agg(F.collect_list(F.struct("shard", "keys", "data")).alias("alphas"))
+    # Levels of weights count on from those of counts, so that one list holds both.
+    weighed = backoff.filter("role = 'answer'").select((F.col("level") + order).alias("level"), "shard", "block", "data")
 
     def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         floor = n_train + 0.5 * (n_kinds + 1)
-        for row in _rows(batches):
-            block = _block(row)
-            c, pairs = _join_answers(row["answers"], 1) >> 1, _join_answers(row["answers"], 2) >> 1
-            parts = sorted(row["alphas"] or (), key=lambda a: a["shard"])
-            alpha = np.ones(len(block.vocabulary) + 1)
-            keys = np.concatenate([unpack(a["keys"]) for a in parts]) if parts else np.zeros(0, np.uint64)
-            if len(keys):
-                # Words are in order of their hashes; only the beginning stands apart.
-                found = np.minimum(np.searchsorted(block.vocabulary, keys), len(block.vocabulary) - 1)
-                alpha[np.where(keys == BEGIN, len(block.vocabulary), found)] = np.concatenate([np.frombuffer(a["data"]) for a in parts])
-            # The beginning is followed once in each training document, as is what ends it.
-            end = np.searchsorted(block.vocabulary, END)
-            follows = np.append(c, c[end])
-            count = pairs[block.pair]
-            p = np.where(count > 0, discounted(pair_d, count) / (follows[block.context] + HELD), alpha[block.context] * unigrams(c[block.tokens]))
-            n_docs = len(block.held_out)
-            known = c[block.tokens] > 0
-            ids = np.frombuffer(row["ids"], "<i8")
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": pa.array(ids, mask=ids == -(1 << 63)),
-                "held_out": block.held_out,
-                "n_tokens": np.bincount(block.doc, minlength=n_docs),
-                "n_known": np.bincount(block.doc, known, n_docs).astype("<i8"),
-                "train_tokens": np.full(n_docs, n_train),
-                "base_score": np.bincount(block.doc, np.log10((c[block.tokens] + 0.5) / floor), n_docs),
-                "score": np.bincount(block.doc, np.log10(p), n_docs),
-            })
-
-    scored = answered.join(alphas, "block", "left").mapInArrow(evaluate, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
-    with rows_a_batch(spark, BATCH_ROWS):
-        scored = written(scored, "katz-scores")
-    spark.sql(f"drop table if exists {name}")
-    return scored.withColumnRenamed("doc_id", id_col)
+        for row in rows_of(batches, ("carried",)):
+            block = Counted(row, order)
+            at = np.flatnonzero(block.real)
+            c = block.count[1][block.number[1][at]]
+            p = unigrams(c)
+            for m in range(2, order + 1):
+                context = block.number[m - 1][block.before[at]]
+                count = block.count[m][block.number[m][at]]
+                alpha = np.ones(len(block.keys[m - 1]))
+                own = sorted((a for a in row["answers"] if a["level"] == order + m - 1), key=lambda a: a["shard"])
+                if own:
+                    alpha[block.needed(m - 1)] = np.concatenate([np.frombuffer(a["data"]) for a in own])
+                p = np.where(count > 0, discounted(d[m], count) / (block.count[m - 1][context] + HELD), alpha[context] * p)
+            n, doc = len(block.marks), block.doc[at]
+            sums = lambda x: np.bincount(doc, x, n)  # noqa: B023, E731
+            columns = [row["carried"].values.flatten()[0], block.marks, sums(None), sums(c > 0).astype("<i8"), np.full(n, n_train), sums(np.log10((c + 0.5) / floor)), sums(np.log10(p))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in columns], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    with rows_a_batch(spark, BLOCK_ROWS):
+        scored = written(with_answers(blocks, answers.union(weighed)).mapInArrow(evaluate, result), "katz-scores")
+    dropped(*tables, backoff)
+    return scored
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for row in rows_of(batches):
+        yield pa.RecordBatch.from_pydict({"n": [int(unpack_ints(row["lengths"]).sum())]})

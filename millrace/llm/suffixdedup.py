@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import chunks, dropped, groups, partitions, release, written
 from millrace.llm.orderminhash import small
-from millrace.llm.tokens import _BASE, _INVERSE, _VALUE, _powers, mix
+from millrace.llm.tokens import mix
 
 LENGTH, GRAM = 200, 32
 BATCH_BYTES = 2 << 20
@@ -39,6 +39,18 @@ SHARD_BYTES, HOT = 3 << 19, 4000
 BROADCAST_GROUPS = 2_000_000
 
 
+#: k-gram hashes are polynomials modulo 2^64, short enough for that modulus; equal ones only bring strings together that are then compared.
+_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_VALUE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
+
+
+def _powers(n: int, base: np.uint64) -> np.ndarray:
+    out = np.full(n + 1, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
 class _Tables:
     up = _powers(0, _BASE)
     down = _powers(0, _INVERSE)

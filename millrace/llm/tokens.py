@@ -1,17 +1,23 @@
-"""Words as 64-bit hashes, computed over whole Arrow text buffers with numpy."""
+"""Words as 64-bit hashes, computed over whole Arrow text buffers with numpy, and packed arrays of numbers."""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_VALUE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
-_LOWER = _VALUE.copy()
-_LOWER[65:91] = _VALUE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+_SAME = np.arange(256, dtype=np.uint8)
+_LOWER = _SAME.copy()
+_LOWER[65:91] += 32
+#: What is left of eight bytes read at once when 0 to 8 of them belong to the word.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words of more bytes are hashed one by one.
+LONG = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -23,54 +29,73 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int, base: np.uint64) -> np.ndarray:
-    out = np.full(n + 1, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-class _Tables:
-    up = _powers(0, _BASE)
-    down = _powers(0, _INVERSE)
-
-
 def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, offsets): text i has the words offsets[i] to offsets[i + 1]. Null text: no words.
 
     Words are stretches without space or code points 9 to 13; with `lower`, A to
-    Z count as a to z. A word's hash is a polynomial in its bytes modulo 2^64,
-    taken from prefix sums of the whole buffer, then scrambled with its length.
+    Z count as a to z. The hash chains scrambles of eight bytes at a time, from
+    the word's length on; words of more than LONG bytes take BLAKE2b.
     """
     texts = texts.cast(pa.large_binary())
     if texts.null_count:
-        texts = pa.compute.fill_null(texts, b"")
+        texts = pc.fill_null(texts, b"")
     n = len(texts)
     bounds = np.frombuffer(texts.buffers()[1], "<i8")[texts.offset : texts.offset + n + 1]
     data = np.frombuffer(texts.buffers()[2], np.uint8)[bounds[0] : bounds[-1]] if n and texts.buffers()[2] is not None else np.zeros(0, np.uint8)
     bounds = bounds - bounds[0] if n else np.zeros(1, "<i8")
     size = len(data)
-    if size >= len(_Tables.up):
-        _Tables.up, _Tables.down = _powers(size, _BASE), _powers(size, _INVERSE)
     inside = ~_SPACE[data]
     # A position starts a word if the one before is white space or belongs to another text.
     cut = np.zeros(size + 1, bool)
     cut[bounds] = True
     start = inside.copy()
     start[1:] &= ~inside[:-1] | cut[1:size]
-    end = inside.copy()
+    end = inside
     end[:-1] &= ~inside[1:] | cut[1:size]
     a, b = np.flatnonzero(start), np.flatnonzero(end) + 1
-    sums = np.zeros(size + 1, np.uint64)
-    np.cumsum((_LOWER if lower else _VALUE)[data] * _Tables.up[:size], out=sums[1:])
-    hashes = mix((sums[b] - sums[a]) * _Tables.down[a] + mix((b - a).astype(np.uint64)))
-    return hashes, np.searchsorted(a, bounds).astype("<i8")
+    return _hashes((_LOWER if lower else _SAME)[data], a, b), np.searchsorted(a, bounds).astype("<i8")
+
+
+def _hashes(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    wide = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    size = b - a
+    h = mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    rows = np.flatnonzero(size <= LONG)
+    for at in range(0, LONG, 8):
+        rows = rows[size[rows] > at]
+        if not len(rows):
+            break
+        h[rows] = mix(h[rows] ^ (wide[a[rows] + at] & _MASK[np.minimum(size[rows] - at, 8)]))
+    for i in np.flatnonzero(size > LONG):
+        h[i] = int.from_bytes(hashlib.blake2b(data[a[i] : b[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """Numbers as byte planes, lowest bytes first, compressed: high planes are mostly zero."""
+    raw = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(raw.tobytes())
 
 
 def pack(x: np.ndarray) -> bytes:
-    """Sorted unsigned 64-bit numbers as differences in byte planes, so that block compression drops the empty ones."""
-    return np.ascontiguousarray(np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Sorted unsigned 64-bit numbers, as the planes of their differences."""
+    return _planes(np.diff(x, prepend=np.uint64(0)), 8)
 
 
 def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(unpack_ints(data).view(np.uint64), dtype=np.uint64)
+
+
+def pack_ints(x: np.ndarray) -> bytes:
+    """Numbers from 0 on, in as many planes as the largest needs."""
+    return _planes(x, max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1)
+
+
+def unpack_ints(data: bytes) -> np.ndarray:
+    width = data[0]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<i8").ravel()
