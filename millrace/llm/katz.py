@@ -35,10 +35,10 @@ from millrace.llm.ngrams import ANSWER, END, SENT, Block, block_schema, joined,
 from millrace.llm.tokens import pack, pack_ints, unpack, unpack_ints
 
 ORDER = 3
-#: Ranges of keys that an order above the second is counted in.
+#: Ranges of keys that an order above the second is counted in, and that weights are made in.
 PASSES = 2
-#: Rows of an Arrow batch: blocks, and slices of them.
-BLOCK_ROWS, SLICE_ROWS = 2, 256
+#: Blocks, or slices of them, in an Arrow batch.
+BLOCK_ROWS = 2
 #: Counts up to this one are discounted.
 DISCOUNTED = 5
 HELD = 0.01
@@ -209,14 +209,17 @@ def _score(blocks: DataFrame, order: int, result: str) -> DataFrame:
     answers = every.filter("role = 'answer'").select("level", "shard", "block", "data")
     answered = with_answers(blocks, answers)
 
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in rows_of(batches):
-            block = Counted(row, order)
-            for m in range(1, order):
-                sums, needed = block.context_sums(m), block.needed(m)
-                chosen = np.flatnonzero(needed | (block.held[m] & (sums != 0).any(axis=0)))
-                sums = np.vstack([sums, needed])[:, chosen]
-                yield sent_rows(row["block"], m, block.keys[m][chosen], block.slices(m, bits, chosen), lambda a, b: pack_ints(sums[:, a:b].ravel()))  # noqa: B023
+    def weighing(part: int):
+        def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in rows_of(batches):
+                block = Counted(row, order)
+                for m in range(1, order):
+                    sums, needed = block.context_sums(m), block.needed(m)
+                    chosen = np.flatnonzero(needed | (block.held[m] & (sums != 0).any(axis=0)))
+                    sums = np.vstack([sums, needed])[:, chosen]
+                    yield sent_rows(row["block"], m, block.keys[m][chosen], block.slices(m, bits, chosen, part, PASSES), lambda a, b: pack_ints(sums[:, a:b].ravel()))  # noqa: B023
+
+        return weigh
 
     def back_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = np.arange(1, DISCOUNTED + 1)
@@ -240,13 +243,15 @@ def _score(blocks: DataFrame, order: int, result: str) -> DataFrame:
                 if len(wanted):
                     yield _model_row("answer", m, shard, block, None, alpha[wanted].tobytes())
 
-    with rows_a_batch(spark, BLOCK_ROWS):
-        weights = answered.select("block", "marks", "lengths", "vocabulary", "tokens", "answers").mapInArrow(weigh, SENT)
-        backoff = written(to_shards(weights).mapInArrow(back_off, MODEL), "katz-backoff", partition_by="role")
-    del weights
-    release(spark)
     # Levels of weights count on from those of counts, so that one list holds both.
-    weighed = backoff.filter("role = 'answer'").select((F.col("level") + order).alias("level"), "shard", "block", "data")
+    found = answers
+    for part in range(PASSES):
+        with rows_a_batch(spark, BLOCK_ROWS):
+            weights = answered.select("block", "marks", "lengths", "vocabulary", "tokens", "answers").mapInArrow(weighing(part), SENT)
+            tables.append(written(to_shards(weights).mapInArrow(back_off, MODEL), "katz-backoff", partition_by="role"))
+        found = found.union(tables[-1].filter("role = 'answer'").select((F.col("level") + order).alias("level"), "shard", "block", "data"))
+        del weights
+        release(spark)
 
     def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         floor = n_train + 0.5 * (n_kinds + 1)
@@ -269,8 +274,8 @@ def _score(blocks: DataFrame, order: int, result: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in columns], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     with rows_a_batch(spark, BLOCK_ROWS):
-        scored = written(with_answers(blocks, answers.union(weighed)).mapInArrow(evaluate, result), "katz-scores")
-    dropped(*tables, backoff)
+        scored = written(with_answers(blocks, found).mapInArrow(evaluate, result), "katz-scores")
+    dropped(*tables)
     return scored
 
 

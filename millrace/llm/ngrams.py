@@ -28,7 +28,7 @@ from millrace.llm.tokens import mix, pack, pack_ints, unpack, unpack_ints, words
 
 BLOCK_BYTES, CHUNK_BYTES = 4 << 20, 1 << 20
 #: Tokens for each shard, about.
-SHARD_TOKENS = 1 << 20
+SHARD_TOKENS = 2 << 20
 BEGIN, END = np.uint64(0x626567696E), np.uint64(0x656E64)
 
 

@@ -18,6 +18,7 @@ _LOWER[65:91] += 32
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 #: Words of more bytes are hashed one by one.
 LONG = 64
+_COMPRESS, _EXPAND = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -76,7 +77,7 @@ def _hashes(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _planes(x: np.ndarray, width: int) -> bytes:
     """Numbers as byte planes, lowest bytes first, compressed: high planes are mostly zero."""
     raw = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
-    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(raw.tobytes())
+    return bytes([width]) + _COMPRESS.compress(raw.tobytes())
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -95,7 +96,7 @@ def pack_ints(x: np.ndarray) -> bytes:
 
 def unpack_ints(data: bytes) -> np.ndarray:
     width = data[0]
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(width, -1)
+    planes = np.frombuffer(_EXPAND.decompress(memoryview(data)[1:]), np.uint8).reshape(width, -1)
     out = np.zeros((planes.shape[1], 8), np.uint8)
     out[:, :width] = planes.T
     return out.view("<i8").ravel()
