@@ -101,6 +101,15 @@ def rows_a_batch(spark: SparkSession, n: int, most_bytes: int = 4 << 20) -> Iter
             spark.conf.set(name, value)
 
 
+#: Narrow tables up to this many rows (16 MB) are broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for broadcast if a count shows that it is small; else left to a shuffle join."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

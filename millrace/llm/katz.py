@@ -129,20 +129,23 @@ class Counted(Block):
         out[self.number[m][self.before[unseen]]] = True
         return out & (self.count[m] > 0)
 
-    def context_sums(self, m: int) -> np.ndarray:
-        """A column for each context of m words: numbers of its own n-grams by count 1 to DISCOUNTED, the same of their shorter n-grams' counts, the sum of those, and counts of the context and of its last m - 1 words."""
-        n = len(self.keys[m])
+    def context_sums(self, m: int, lo: int, hi: int) -> np.ndarray:
+        """A column for each context of m words from number lo to hi: numbers of its own n-grams by count 1 to DISCOUNTED, the same of their shorter n-grams' counts, the sum of those, and counts of the context and of its last m - 1 words."""
+        n = hi - lo
         at = self.place[m + 1][self.own[m + 1]]
-        context, c, low = self.number[m][self.before[at]], self.count[m + 1][self.own[m + 1]], self.count[m][self.number[m][at]]
+        context, c = self.number[m][self.before[at]] - lo, self.count[m + 1][self.own[m + 1]]
+        here = (context >= 0) & (context < n)
+        at, context, c = at[here], context[here], c[here]
+        low = self.count[m][self.number[m][at]]
         rows = [np.bincount(context[x == r], minlength=n) for x in (c, low) for r in range(1, DISCOUNTED + 1)]
         rows.append(np.bincount(context, low, n).astype("<i8"))
         tells = self.own[m].copy()
         tells[self.number[m][self.begins[0]]] = True
-        rows.append(np.where(tells, self.count[m], 0))
-        below = np.zeros(n, "<i8")
+        rows.append(np.where(tells, self.count[m], 0)[lo:hi])
+        below = np.zeros(len(tells), "<i8")
         if m > 1:
             below[self.number[m]] = self.count[m - 1][self.number[m - 1]]
-        rows.append(np.where(tells, below, 0))
+        rows.append(np.where(tells, below, 0)[lo:hi])
         return np.array(rows)
 
 
@@ -214,10 +217,14 @@ def _score(blocks: DataFrame, order: int, result: str) -> DataFrame:
             for row in rows_of(batches):
                 block = Counted(row, order)
                 for m in range(1, order):
-                    sums, needed = block.context_sums(m), block.needed(m)
-                    chosen = np.flatnonzero(needed | (block.held[m] & (sums != 0).any(axis=0)))
+                    cut = block.slices(m, bits, None, part, PASSES)
+                    if not cut:
+                        continue
+                    lo, hi = cut[0][1], cut[-1][2]
+                    sums, needed = block.context_sums(m, lo, hi), block.needed(m)[lo:hi]
+                    chosen = np.flatnonzero(needed | (block.held[m][lo:hi] & (sums != 0).any(axis=0)))
                     sums = np.vstack([sums, needed])[:, chosen]
-                    yield sent_rows(row["block"], m, block.keys[m][chosen], block.slices(m, bits, chosen, part, PASSES), lambda a, b: pack_ints(sums[:, a:b].ravel()))  # noqa: B023
+                    yield sent_rows(row["block"], m, block.keys[m][lo:hi][chosen], block.slices(m, bits, lo + chosen, part, PASSES), lambda a, b: pack_ints(sums[:, a:b].ravel()))  # noqa: B023
 
         return weigh
 

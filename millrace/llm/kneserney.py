@@ -1,244 +1,345 @@
 """Quality by an interpolated modified Kneser-Ney model of trusted text, one for each language.
 
 Training takes at most `train_docs` trusted documents of each language, in order
-of the hash of their id; that and the number of languages bound the model's
-size, and with it the broadcast and the rows that the driver sees. Counts and continuation counts are partial
-aggregates over n-gram keys, and lower orders reach higher ones by joins on
-those keys, so training is sharded by key. Every fifth document of a language
-sets its threshold, a quantile of their length-shrunk mean log probability; the
-others train. A language with fewer than five trusted documents has no
-threshold; `Model.unjudged` names those with some.
-
-Scoring reads each document once, whole, and looks each token up from the
-longest n-gram down: an n-gram of the model has its interpolated probability,
-any other the backoff weight of its context times that of the shorter one.
+of the hash of their id. Counts are partial aggregates over n-grams. The longest
+order has plain counts; a shorter n-gram counts the different words before it,
+except after a beginning, before which nothing stands: there counts stay plain.
+The model is a table by order and shard of the key space: an n-gram's count and,
+as a context, its total and how many n-grams after it count one, two, and three
+or more. Only discounts, a few numbers for each language, reach the driver.
+
+Scoring joins counts shard by shard (see ngrams): blocks of documents send their
+n-grams' keys, a shard's part of the model answers with whole numbers, and each
+block makes its tokens' probabilities from the shortest order to the longest.
+Documents go in WAVES by hash, so that one wave's keys are on the way at a time.
+Languages never meet: words are told apart by language as well.
+
+Every fifth drawn document of a language sets its threshold instead of training:
+the quantile of their perplexities. A language with fewer than five trusted
+documents has no threshold; `Model.unjudged` names those with some.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import chunks, dropped, partitions, written
-from millrace.llm.tokens import mix, words
+from millrace.llm.common import bucketed, chunks, dropped, partitions, release, rows_a_batch, small, written
+from millrace.llm.ngrams import ANSWER, BEGIN, END, SENT, Block, block_schema, make_blocks, pair_keys, rows_of, salted, sent_rows, shard_bits, shard_groups, to_shards, with_answers
+from millrace.llm.tokens import pack, pack_ints, unpack, unpack_ints, words
 
 ORDER = 3
 TRAIN_DOCS = 2000
-#: Tokens' worth of the language's mean that a document's score is shrunk by, so that a few words can't reject it.
-PRIOR_TOKENS = 20.0
-#: Share of held-out trusted documents above the threshold, and how far below it a document must be to go, in log10 a token.
-QUANTILE, SLACK = 0.01, 0.15
-BEGIN, END = (np.uint64(x) for x in (0x42454749, 0x454E44))
+#: Share of a language's held-out trusted documents whose perplexity is at the threshold or below.
+QUANTILE = 0.995
+WAVES = 4
 BATCH_BYTES = 2 << 20
+BLOCK_ROWS = 2
+#: Numbers of an n-gram of a shorter order: its count, and as a context its total and its n-grams that count 1, 2, 3 or more.
+NUMBERS = 5
+TABLE = "level int, shard int, block bigint, keys binary, data binary"
 
 
-def _lang_key(lang: str | None) -> int:
-    import hashlib
-
+def lang_salt(lang: str | None) -> int:
+    """What tells a language's words apart; null is a language of its own."""
     return int.from_bytes(hashlib.md5(("=" + lang if lang is not None else "").encode()).digest()[:8], "little") >> 1
 
 
-def contexts(hashes: np.ndarray, offsets: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """(columns oldest word to predicted word, document of each token); texts end in END and begin after BEGINs."""
-    n = np.diff(offsets)
-    doc = np.repeat(np.arange(len(n)), n + 1)
-    first = np.concatenate([[0], np.cumsum(n + 1)])
-    token = np.full(len(doc), END, np.uint64)
-    place = np.arange(len(hashes)) + np.repeat(np.arange(len(n)), n)
-    token[place] = hashes
-    columns = [token]
-    for back in range(1, order):
-        before = np.full(len(doc), BEGIN, np.uint64)
-        before[back:] = token[:-back] if back else token
-        before[np.arange(len(doc)) - first[:-1][doc] < back] = BEGIN
-        columns.insert(0, before)
-    return columns, doc
+def lang_key(lang: str | None) -> int:
+    """The key of a language's beginning, by which its model is known."""
+    return int(salted(np.array([BEGIN]), np.array([lang_salt(lang)], np.uint64))[0])
+
 
+@dataclass
+class Language:
+    """discounts[m]: those of order m for counts 1, 2, and 3 or more. Of single words: total count, kinds, and kinds that count 1, 2, 3 or more."""
 
-def gram_keys(columns: list[np.ndarray], lang: np.ndarray) -> np.ndarray:
-    """One number for the n-gram of a language that the columns hold."""
-    key = mix(lang + np.uint64(len(columns)))
-    for c in columns:
-        key = mix(key * np.uint64(3) + c)
-    return key
+    discounts: list[list[float]]
+    total: int
+    kinds: int
+    by_count: list[int]
 
 
 @dataclass
 class Model:
-    """For each order the sorted keys and log10 probabilities of its n-grams, and keys and log10 backoff weights of contexts."""
+    """The stored table, cut by the keys' leading `bits`, and each language's numbers by lang_key()."""
 
     order: int
-    grams: list[tuple[np.ndarray, np.ndarray]]
-    backoff: list[tuple[np.ndarray, np.ndarray]]
-    unknown: dict[int, float]
-    means: dict[int, float]
-    thresholds: dict[int, float]
-    shared: object
+    bits: int
+    table: DataFrame
+    languages: dict[int, Language]
+    #: Highest log10 perplexity that is kept.
+    limits: dict[int, float] = field(default_factory=dict)
     #: Languages with trusted documents but no threshold, and how many were drawn: all their documents are kept.
     unjudged: dict[str | None, int] = field(default_factory=dict)
 
-    def share(self, spark: SparkSession) -> None:
-        """Send the tables to the executors, once for all uses."""
-        self.shared = spark.sparkContext.broadcast((self.order, self.grams, self.backoff, self.unknown))
-
-    def token_scores(self, columns: list[np.ndarray], lang: np.ndarray) -> np.ndarray:
-        """log10 probability of each token; languages without a model give nan."""
-        known = np.array(sorted(self.unknown), np.uint64)
-        values = np.array([self.unknown[int(k)] for k in known] + [np.nan])
-        at = np.searchsorted(known, lang) if len(known) else np.zeros(len(lang), int)
-        at = np.where((at < len(known)) & (known[np.minimum(at, len(known) - 1)] == lang), at, len(known)) if len(known) else at
-        score = values[at]
-        for n in range(1, self.order + 1):
-            here = columns[self.order - n :]
-            if n > 1:
-                score = score + _find(self.backoff[n - 1], gram_keys(here[:-1], lang), np.zeros(len(score)))
-            score = _find(self.grams[n - 1], gram_keys(here, lang), score)
-        return score
-
-
-def _find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, otherwise: np.ndarray) -> np.ndarray:
-    held, values = table
-    if not len(held):
-        return otherwise
-    at = np.minimum(np.searchsorted(held, keys), len(held) - 1)
-    return np.where(held[at] == keys, values[at], otherwise)
-
-
-def _discounts(counts: DataFrame) -> DataFrame:
-    """Modified Kneser-Ney discounts by language from counts of counts; where those are too few, halves and wholes below the count."""
-    n = [F.sum(F.when(F.col("c") == r, 1).otherwise(0)).cast("double") for r in (1, 2, 3, 4)]
-    table = counts.groupBy("lang").agg(*[x.alias(f"n{r}") for r, x in enumerate(n, 1)])
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-    out = {}
+    def drop(self) -> None:
+        dropped(self.table)
+
+
+def kn_discounts(n: list[int]) -> list[float]:
+    """Modified Kneser-Ney discounts from the numbers of n-grams that count 1 to 4; where those give none in (0, count), half the count."""
+    out = []
     for r in (1, 2, 3):
-        d = r - (r + 1) * y * F.col(f"n{r + 1}") / F.col(f"n{r}")
-        fine = (F.col("n1") > 0) & (F.col(f"n{r}") > 0)
-        out[f"d{r}"] = F.when(fine, F.when((d > 0) & (d < r), d)).otherwise(None)
-    return table.select("lang", *[F.coalesce(v, F.lit(0.5 * int(k[1]))).alias(k) for k, v in out.items()])
-
-
-def _estimate(counts: DataFrame, order: int, lower: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(n-grams with p, contexts with gamma) of an order from its counts (lang, w.., c) and the order below."""
-    w = [f"w{i}" for i in range(ORDER - order, ORDER)]
-    counts = counts.join(F.broadcast(_discounts(counts)), "lang")
-    d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-    counts = counts.withColumn("d", d)
-    context = ["lang", *w[:-1]]
-    totals = counts.groupBy(*context).agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("gamma"), F.count("*").alias("kinds"))
-    grams = counts.join(totals, context)
-    below = F.lit(1.0) / (F.col("kinds") + 1) if lower is None else F.col("p_low")
-    if lower is not None:
-        grams = grams.join(lower.withColumnRenamed("p", "p_low"), ["lang", *w[1:]])
-    grams = grams.select("lang", *w, ((F.col("c") - F.col("d")) / F.col("total") + F.col("gamma") * below).alias("p"))
-    return written(grams, f"kn-grams-{order}"), totals.select(*context, "gamma", "kinds")
+        d = r - (r + 1) * n[0] / (n[0] + 2 * n[1]) * n[r] / n[r - 1] if n[0] and n[r - 1] else 0.0
+        out.append(d if 0 < d < r else 0.5 * r)
+    return out
+
+
+def _token_grams(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
+    """(lang, w0 .. w(order-1)): a row for each word and end of (text, salt), after the words or beginnings before it."""
+    for batch in (part for whole in batches if whole.num_rows for part in chunks(whole, 0, BATCH_BYTES)):
+        hashes, offsets = words(batch.column(0))
+        n = np.diff(offsets)
+        doc = np.repeat(np.arange(len(n)), n + 1)
+        place = np.arange(len(doc)) - (offsets[:-1] + np.arange(len(n)))[doc]
+        token = np.full(len(doc), END, np.uint64)
+        token[place < n[doc]] = hashes
+        salt = batch.column(1).to_numpy().view(np.uint64)[doc]
+        token, begin = salted(token, salt), salted(np.full(len(doc), BEGIN), salt)
+        columns = [np.where(place >= back, np.roll(token, back), begin) for back in range(order - 1, -1, -1)]
+        yield pa.RecordBatch.from_pydict({"lang": begin.view("<i8")} | {f"w{i}": c.view("<i8") for i, c in enumerate(columns)})
+
+
+def _counts(tokens: DataFrame, order: int) -> dict[int, DataFrame]:
+    """For each order (lang, w.., c): plain counts of the longest, counts of different words before it of a shorter n-gram, plain ones after a beginning."""
+    w = [f"w{i}" for i in range(order)]
+    levels = {order: written(tokens.groupBy("lang", *w).agg(F.count("*").alias("c")), "kn-counts")}
+    for m in range(order - 1, 0, -1):
+        own = w[order - m :]
+        c = F.sum(F.when(F.col(own[0]) == F.col("lang"), F.col("c")).otherwise(1))
+        levels[m] = written(levels[m + 1].groupBy("lang", *own).agg(c.alias("c")), "kn-counts")
+    return levels
+
+
+def _by_count(c: str = "c") -> list:
+    return [F.count(F.when(F.col(c) == 1, 1)), F.count(F.when(F.col(c) == 2, 1)), F.count(F.when(F.col(c) >= 3, 1))]
+
+
+def _table(levels: dict[int, DataFrame], order: int, bits: int) -> DataFrame:
+    """The model, a row for each order and shard."""
+
+    def keyed(df: DataFrame, m: int, columns: list[str]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                first, *rest = (batch.column(c).to_numpy().view(np.uint64) for c in columns)
+                for x in rest:
+                    first = pair_keys(first, x)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, m, "<i4")), pa.array(first.view("<i8")), *batch.columns[len(columns) :]], ["level", "key", "c", "total", "n1", "n2", "n3"])
+
+        return df.mapInArrow(run, "level int, key bigint, c bigint, total bigint, n1 bigint, n2 bigint, n3 bigint")
+
+    w = [f"w{i}" for i in range(order)]
+    none = F.lit(0).cast("bigint")
+    rows = None
+    for m, counts in levels.items():
+        own = w[order - m :]
+        found = keyed(counts.select(*own, "c", *[none.alias(x) for x in ("total", "n1", "n2", "n3")]), m, own)
+        if m > 1:
+            context = counts.groupBy("lang", *own[:-1]).agg(F.sum("c").alias("total"), *[x.alias(f"n{r}") for r, x in enumerate(_by_count(), 1)])
+            found = found.union(keyed(context.select(*own[:-1], none.alias("c"), "total", "n1", "n2", "n3"), m - 1, own[:-1]))
+        rows = found if rows is None else rows.union(found)
+    rows = rows.withColumn("shard", F.shiftrightunsigned("key", 64 - bits).cast("int"))
+    rows = rows.repartition(partitions(rows.sparkSession), "level", "shard").sortWithinPartitions("level", "shard", "key")
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in shard_groups(batches):
+            keys = group["key"].to_numpy().view(np.uint64)
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            numbers = np.array([np.add.reduceat(group[c].to_numpy(), first) for c in ("c", "total", "n1", "n2", "n3")])
+            yield pa.RecordBatch.from_pydict({"level": pa.array([group["level"][0].as_py()], pa.int32()), "shard": pa.array([group["shard"][0].as_py()], pa.int32()), "block": pa.array([-1], pa.int64()), "keys": [pack(keys[first])], "data": [pack_ints(numbers.ravel())]})
+
+    return written(rows.mapInArrow(store, TABLE), "kn-model", partition_by="level")
 
 
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> Model:
-    """The models of all languages with trusted documents (quality 1)."""
-    spark = docs.sparkSession
-    good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
-    there = docs.filter(F.col(text_col).isNotNull()).select(id_col, F.col(lang_col).alias("l")).join(good, id_col).distinct()
-    there = there.withColumn("m", F.md5(F.col(id_col).cast("string"))).withColumn("deal", F.pmod(F.xxhash64(id_col), F.lit(partitions(spark))))
-    # First within a part of the language, so that no task ranks all of it.
-    for keys in (["l", "deal"], ["l"]):
-        there = there.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("m", id_col))).filter(F.col("rank") <= train_docs)
-    chosen = written(there.select(F.col(id_col).alias("chosen"), "l", "rank"), "trusted-ids")
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null")
-    trusted = found.join(F.broadcast(chosen), (F.col("id") == F.col("chosen")) & F.col("lang").eqNullSafe(F.col("l")))
-    trusted = written(trusted.select("text", "lang", (F.col("rank") % 5 == 0).alias("held_out")), "trusted")
-
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches if whole.num_rows for part in chunks(whole, 0, BATCH_BYTES)):
-            columns, doc = contexts(*words(batch.column(0)), order)
-            langs = np.array([_lang_key(x) for x in batch.column(1).to_pylist()], "<i8")[doc]
-            yield pa.RecordBatch.from_pydict({"lang": langs} | {f"w{i}": c.view("<i8") for i, c in enumerate(columns)})
+    """The models of all languages with trusted documents (quality 1).
 
+    Null texts, null ids and labels without a document train nothing; a null
+    language is one of its own. Repeated rows of a drawn id all train. Very long
+    texts train whole. Documents that tie for the last place go by id. Empty
+    tables give a model that keeps everything. Other columns are never read.
+    """
+    good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_good")).distinct()
+    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("_lang")).filter("text is not null")
+    there = found.join(good, found["_id"] == good["_good"]).select("_id", "_lang").distinct()
+    there = there.withColumn("_m", F.md5(F.col("_id").cast("string"))).withColumn("_deal", F.pmod(F.xxhash64("_id"), F.lit(partitions(docs.sparkSession))))
+    # First within a part of the language, so that no task ranks all of it.
+    for keys in (["_lang", "_deal"], ["_lang"]):
+        there = there.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("_m", "_id"))).filter(F.col("_rank") <= train_docs)
+    chosen = written(there.select(F.col("_id").alias("_chosen"), F.col("_lang").alias("_l"), "_rank"), "trusted-ids")
+    trusted = found.join(small(chosen), (F.col("_id") == F.col("_chosen")) & F.col("_lang").eqNullSafe(F.col("_l")))
+    trusted = written(trusted.select("text", F.col("_lang").alias("lang"), (F.col("_rank") % 5 == 0).alias("held_out")), "trusted")
+    source = _salted(trusted.filter("not held_out"), "text", "lang").repartition(partitions(docs.sparkSession))
     schema = "lang bigint, " + ", ".join(f"w{i} bigint" for i in range(order))
-    source = trusted.filter("not held_out").select("text", "lang").repartition(partitions(spark))
-    levels = {order: written(source.mapInArrow(grams, schema).groupBy("lang", *[f"w{i}" for i in range(order)]).agg(F.count("*").alias("c")), "kn-counts")}
-    for n in range(order - 1, 0, -1):
-        # A shorter n-gram counts the different words before it.
-        levels[n] = written(levels[n + 1].groupBy("lang", *[f"w{i}" for i in range(order - n, order)]).agg(F.count("*").alias("c")), "kn-counts")
-    lower, tables, weights, unknown = None, [], [], {}
-    for n in range(1, order + 1):
-        w = [f"w{i}" for i in range(order - n, order)]
-        lower, totals = _estimate(levels[n], n, lower)
-        tables.append(_table(lower, w, "p"))
-        weights.append(_table(totals, w[:-1], "gamma"))
-        if n == 1:
-            unknown = {r.lang % (1 << 64): float(np.log10(r.gamma / (r.kinds + 1))) for r in totals.collect()}
-    dropped(lower, *levels.values())
-    model = Model(order, tables, weights, unknown, {}, {}, None)
-    model.share(spark)
-    held = written(_scored(trusted.filter("held_out").select("text", "lang"), model, ["lang"], "text", "lang", False).filter("log10_p is not null").select("lang", "n_tokens", "log10_p"), "held-out")
-    mean = held.groupBy("lang").agg((F.sum("log10_p") / F.sum("n_tokens")).alias("mean"))
-    model.means = {_lang_key(r.lang): r.mean for r in mean.collect()}
-    shrunk = (F.col("log10_p") + PRIOR_TOKENS * F.col("mean")) / (F.col("n_tokens") + PRIOR_TOKENS)
-    limits = held.withColumnRenamed("lang", "l").join(F.broadcast(mean), F.col("l").eqNullSafe(F.col("lang"))).groupBy("lang").agg(F.percentile(shrunk, F.lit(quantile)).alias("t"))
-    model.thresholds = {_lang_key(r.lang): r.t - SLACK for r in limits.collect()}
-    model.unjudged = {r.lang: r["count"] for r in trusted.groupBy("lang").count().collect() if _lang_key(r.lang) not in model.thresholds}
+    levels = _counts(source.mapInArrow(lambda batches: _token_grams(batches, order), schema), order)
+    numbers: dict[int, dict[int, tuple]] = {}
+    for m, counts in levels.items():
+        four = [F.count(F.when(F.col("c") == r, 1)) for r in (1, 2, 3, 4)]
+        for r in counts.groupBy("lang").agg(F.array(*four).alias("n"), F.sum("c").alias("total"), F.count("*").alias("kinds"), F.array(*_by_count()).alias("by")).collect():
+            numbers.setdefault(r.lang % (1 << 64), {})[m] = r
+    languages = {k: Language([[0.0] * 3, *[kn_discounts(by[m].n) for m in range(1, order + 1)]], by[1].total, by[1].kinds, by[1].by) for k, by in numbers.items()}
+    bits = shard_bits(sum(by[order].total for by in numbers.values()))
+    model = Model(order, bits, _table(levels, order, bits), languages)
+    dropped(*levels.values())
+    held = _scored(trusted.filter("held_out"), model, ["lang"], "text", "lang", waves=1)
+    limits = held.filter("log10_p is not null").groupBy("lang").agg(F.percentile(-F.col("log10_p") / F.col("n_tokens"), F.lit(quantile)).alias("t")).collect()
+    model.limits = {lang_key(r.lang): r.t for r in limits}
+    model.unjudged = {r.lang: r["count"] for r in trusted.groupBy("lang").count().collect() if lang_key(r.lang) not in model.limits}
+    dropped(chosen, trusted, held)
     return model
 
 
-def _table(df: DataFrame, columns: list[str], value: str) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and log10 values of a table of the model; executors make the keys, 16 bytes a row come to the driver.
-
-    `train_docs` and the number of languages bound the rows: a table has one for each training token at most.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lang, *held = (batch.column(c).to_numpy().view(np.uint64) for c in ["lang", *columns])
-            yield pa.RecordBatch.from_pydict({"key": gram_keys(held, lang).view("<i8"), "v": np.log10(batch.column(value).to_numpy())})
-
-    rows = df.select("lang", *columns, value).mapInArrow(run, "key bigint, v double").toArrow()
-    keys, values = rows["key"].to_numpy().view(np.uint64), rows["v"].to_numpy()
-    order = np.argsort(keys)
-    return keys[order], values[order]
-
-
-def _scored(docs: DataFrame, model: Model, columns: list[str], text_col: str, lang_col: str, only_kept: bool | None) -> DataFrame:
-    sent, means, thresholds = model.shared, model.means, model.thresholds
-    kinds = dict(docs.dtypes)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(*sent.value, means, thresholds, None)
-        for batch in (part for whole in batches if whole.num_rows for part in chunks(whole, 0, BATCH_BYTES)):
-            cols, doc = contexts(*words(batch.column(0)), model.order)
-            keys = [_lang_key(x) for x in batch.column(1).to_pylist()]
-            score = model.token_scores(cols, np.array(keys, np.uint64)[doc])
-            total = np.bincount(doc, score, batch.num_rows)
-            n = np.bincount(doc, minlength=batch.num_rows)
-            mean = np.array([model.means.get(k, np.nan) for k in keys])
-            shrunk = (total + PRIOR_TOKENS * mean) / (n + PRIOR_TOKENS)
-            limit = np.array([model.thresholds.get(k, np.nan) for k in keys])
-            kept = ~(shrunk < limit)  # without a model for the language, it stays
+def _salted(docs: DataFrame, text_col: str, lang_col: str, *more) -> DataFrame:
+    """(text, salt, ..): the salt is lang_salt() in SQL."""
+    plain = F.coalesce(F.concat(F.lit("="), F.col(lang_col)), F.lit(""))
+    low = [F.substring(F.md5(plain), 2 * i + 1, 2) for i in range(7, -1, -1)]  # little-endian bytes
+    value = F.conv(F.concat(*low), 16, 10).cast("decimal(20,0)")
+    salt = F.floor(value / 2).cast("bigint")
+    return docs.select(F.col(text_col).alias("text"), salt.alias("salt"), *more)
+
+
+class Scores:
+    """log10 probabilities of a block's tokens from the answers to its keys."""
+
+    def __init__(self, languages: dict[int, Language], order: int):
+        self.order = order
+        self.known = np.array(sorted(languages), np.uint64)
+        own = [languages[int(k)] for k in self.known]
+        self.discounts = np.array([[[0.0, *d] for d in x.discounts] for x in own]).reshape(-1, order + 1, 4)
+        self.total = np.array([x.total for x in own], "f8")
+        freed = np.array([np.dot(x.discounts[1], x.by_count) for x in own])
+        self.unknown = freed / self.total / (np.array([x.kinds for x in own]) + 1) if own else freed
+
+    def __call__(self, block: Block, numbers: list[np.ndarray | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 probability, document) of each word and end; nan where the language has no model."""
+        at = np.flatnonzero(block.real)
+        doc = block.doc[at]
+        out = np.full(len(at), np.nan)
+        begin = block.keys[1][block.number[1][block.begins]]
+        spot = np.minimum(np.searchsorted(self.known, begin), max(0, len(self.known) - 1))
+        fits = self.known[spot] == begin if len(self.known) else np.zeros(len(begin), bool)
+        chosen = fits[doc]
+        at, lang = at[chosen], spot[doc[chosen]]
+        c = numbers[1][0][block.number[1][at]]
+        p = (c - self.discounts[lang, 1, np.minimum(c, 3)]) / self.total[lang] + self.unknown[lang]
+        for m in range(2, self.order + 1):
+            c = numbers[m][0][block.number[m][at]]
+            total, *kinds = numbers[m - 1][1:, block.number[m - 1][block.before[at]]]
+            d = self.discounts[lang, m]
+            freed = sum(d[:, r] * k for r, k in enumerate(kinds, 1))
+            seen = np.maximum(total, 1)
+            p = np.where(total > 0, (c - self.discounts[lang, m, np.minimum(c, 3)] + freed * p) / seen, p)
+        out[chosen] = np.log10(p)
+        return out, doc
+
+
+def _scored(docs: DataFrame, model: Model, columns: list[str], text_col: str, lang_col: str, waves: int = WAVES) -> DataFrame:
+    """The columns, n_tokens, log10_p, perplexity, threshold and kept of each row, as a stored table."""
+    spark, kinds = docs.sparkSession, dict(docs.dtypes)
+    carried = f"struct<{','.join(f'c{i}:{kinds[c]}' for i, c in enumerate(columns))}>"
+    plain = _salted(docs, text_col, lang_col, F.lit(False).alias("mark"), F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)]).alias("carried"))
+    result = ", ".join(f"c{i} {kinds[c]}" for i, c in enumerate(columns)) + ", n_tokens bigint, log10_p double, perplexity double, threshold double, kept boolean"
+    limits, order = model.limits, model.order
+    scores = Scores(model.languages, order)
+    tables = []
+
+    def lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in shard_groups(batches):
+            level, shard = group["level"][0].as_py(), group["shard"][0].as_py()
+            held, numbers, n = np.zeros(0, np.uint64), None, 1 if level == order else NUMBERS
+            for block, keys, data in zip(group["block"].to_pylist(), group["keys"], group["data"], strict=True):
+                keys = unpack(keys.as_py())
+                if block < 0:
+                    held, numbers = keys, unpack_ints(data.as_py()).reshape(NUMBERS, -1)[:n]
+                    continue
+                found = np.zeros((n, len(keys)), "<i8")
+                if len(held):
+                    spot = np.minimum(np.searchsorted(held, keys), len(held) - 1)
+                    hit = held[spot] == keys
+                    found[:, hit] = numbers[:, spot[hit]]
+                yield pa.RecordBatch.from_pydict({"level": pa.array([level], pa.int32()), "shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int64()), "data": [pack_ints(found.ravel())]})
+
+    def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches, ("carried",)):
+            block = Block(row, order)
+            numbers = [None]
+            for m in range(1, order + 1):
+                own = sorted((a for a in row["answers"] if a["level"] == m), key=lambda a: a["shard"])
+                numbers.append(np.concatenate([unpack_ints(a["data"]).reshape(1 if m == order else NUMBERS, -1) for a in own], axis=1))
+            score, doc = scores(block, numbers)
+            docs = len(block.marks)
+            total, n = np.bincount(doc, score, docs), np.bincount(doc, minlength=docs)
+            limit = np.array([limits.get(int(k), np.nan) for k in block.keys[1][block.number[1][block.begins]]])
             real = lambda v: pa.array(v, pa.float64(), mask=np.isnan(v))
-            out = {"n_tokens": pa.array(n), "log10_p": real(total), "shrunk": real(shrunk), "perplexity": real(10 ** np.minimum(300, -total / n)), "threshold": real(limit), "kept": pa.array(kept)}
-            rows = pa.RecordBatch.from_arrays([*batch.columns[2:], *([] if only_kept else out.values())], [*columns, *([] if only_kept else out)])
-            yield rows.filter(pa.array(kept)) if only_kept else rows
-
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns)
-    if not only_kept:
-        schema += ", n_tokens bigint, log10_p double, shrunk double, perplexity double, threshold double, kept boolean"
-    return docs.select(docs[text_col].alias("_text"), docs[lang_col].alias("_lang"), *columns).mapInArrow(run, schema)
+            measured = [pa.array(n), real(total), real(10 ** np.minimum(300, -total / n)), real(10 ** np.minimum(300, limit)), pa.array(~(-total / n > limit))]
+            yield pa.RecordBatch.from_arrays([*row["carried"].values.flatten(), *measured], [*[f"c{i}" for i in range(len(columns))], "n_tokens", "log10_p", "perplexity", "threshold", "kept"])
+
+    for wave in range(waves):
+        part = plain if waves == 1 else plain.filter(F.pmod(F.xxhash64("text", "carried", F.lit(3)), F.lit(waves)) == wave)
+        with rows_a_batch(spark, 1000):
+            made = part.mapInArrow(make_blocks, block_schema(carried))
+            with bucketed(made, "kn_blocks", "block") as blocks:
+                tokens = blocks.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
+                bits = max(model.bits, shard_bits(tokens // 2))
+
+                def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                    for row in rows_of(batches):
+                        block = Block(row, order)
+                        for m in range(1, order + 1):
+                            yield sent_rows(row["block"], m, block.keys[m], block.slices(m, bits), lambda a, b: None)  # noqa: B023
+
+                def recut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                    for row in rows_of(batches):
+                        keys, numbers = unpack(row["keys"]), unpack_ints(row["data"]).reshape(NUMBERS, -1)
+                        edge = np.searchsorted(keys >> np.uint64(64 - bits), np.arange(row["shard"] << (bits - model_bits), ((row["shard"] + 1) << (bits - model_bits)) + 1, dtype=np.uint64))  # noqa: B023
+                        cut = [((row["shard"] << (bits - model_bits)) + s, int(a), int(b)) for s, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a]  # noqa: B023
+                        yield sent_rows(-1, row["level"], keys, cut, lambda a, b: pack_ints(numbers[:, a:b].ravel()))  # noqa: B023
+
+                model_bits = model.bits
+                with rows_a_batch(spark, BLOCK_ROWS):
+                    sent = blocks.select("block", "marks", "lengths", "vocabulary", "tokens").mapInArrow(send, SENT)
+                    both = sent.union(model.table.select("level", "shard", "block", "keys", "data").mapInArrow(recut, SENT))
+                    answers = written(to_shards(both).mapInArrow(lookup, ANSWER), "kn-answers")
+                    del sent, both
+                    release(spark)
+                    tables.append(written(with_answers(blocks, answers).mapInArrow(evaluate, result), "kn-scores"))
+                dropped(answers)
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.union(t)
+    out = out.withColumnsRenamed({f"c{i}": c for i, c in enumerate(columns)})
+    if len(tables) == 1:
+        out.millrace_path = tables[0].millrace_path
+    return out
 
 
 def judge(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(doc_id, lang, n_tokens, log10_p, shrunk, perplexity, threshold, kept), a row for each row.
+    """(doc_id, lang, n_tokens, log10_p, perplexity, threshold, kept), a row for each row.
 
     Null text: as empty, judged on its end token. A language without trusted
-    text, null included unless trained: null scores, kept. Repeats get equal
-    rows; an empty table gives none. Other columns are never read.
+    text, null included unless trained: null scores, kept. A perplexity equal to
+    the threshold is kept. Very long texts are judged whole, by one task.
+    Repeats get equal rows; an empty table gives none. Other columns are never
+    read, so their names can't clash.
     """
-    return _scored(docs, model, list(dict.fromkeys([id_col, lang_col])), text_col, lang_col, None)
+    return _scored(docs, model, list(dict.fromkeys([id_col, lang_col])), text_col, lang_col)
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows that the model keeps, with all their columns; rows are dropped where they are scored."""
-    return _scored(docs, model, docs.columns, text_col, lang_col, True)
+    """The rows that judge() keeps, with all their columns.
+
+    A verdict depends on language and text alone, so the rejected ones' hashes
+    tell which rows go, whatever their ids. Nulls, repeats, empty and very long
+    texts: as in judge(). Extra columns of any name are carried.
+    """
+    hashed = F.concat(*[F.md5(F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))) for c in (lang_col, text_col)])
+    lean = docs.select(hashed.alias("h"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    gone = written(_scored(lean, model, ["h"], "text", "lang").filter("not kept").select(F.col("h").alias("_rejected_h")).distinct(), "rejected")
+    return docs.join(small(gone), hashed == F.col("_rejected_h"), "left_anti")

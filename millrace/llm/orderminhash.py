@@ -41,15 +41,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import chunks, components, dropped, groups, partitions, written
+from millrace.llm.common import chunks, components, dropped, groups, partitions, small, written
 from millrace.llm.tokens import mix, words
 
 K, PICKED, SKETCHES, THRESHOLD = 3, 2, 80, 0.8
 #: Texts of up to this many words are sketched by pairs of words.
 SHORT = 40
 BATCH_BYTES = 2 << 20
-#: Id tables up to this many rows (16 MB) are broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 500_000
 #: Bins of the word counts that rule out pairs of a bucket.
 BINS = 256
 #: Members of a bucket above which its pairs are dealt out in blocks.
@@ -179,11 +177,6 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> bool:
     return banded_distance(a, b, most) <= most
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if a count shows that it is small; else left to a shuffle join."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def _tags(family: int, n: int) -> np.ndarray:
     return mix(np.arange(n, dtype=np.uint64) + np.uint64(family << 32))
 

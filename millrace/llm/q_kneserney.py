@@ -9,4 +9,7 @@ from millrace.llm.kneserney import judge, train
 
 def op4_kneserney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return judge(docs, train(docs, labels))
+    model = train(docs, labels)
+    judged = judge(docs, model)
+    model.drop()
+    return judged

@@ -27,8 +27,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import chunks, dropped, groups, partitions, release, written
-from millrace.llm.orderminhash import small
+from millrace.llm.common import chunks, dropped, groups, partitions, release, small, written
 from millrace.llm.tokens import mix
 
 LENGTH, GRAM = 200, 32

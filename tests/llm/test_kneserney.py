@@ -1,10 +1,14 @@
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from millrace.llm import kneserney as KN
+from millrace.llm import ngrams as N
 from millrace.llm.q_kneserney import op4_kneserney
-from millrace.llm.tokens import words
 
 SF = "/root/testdata/sf0.01"
 
@@ -19,44 +23,90 @@ def model(tables):
     return KN.train(*tables, train_docs=200)
 
 
-def test_probabilities_add_up(model, tables):
-    """Over the words of the language and one unknown, after contexts seen and unseen."""
-    lang = KN._lang_key("en")
-    texts = [r.text for r in tables[0].filter("lang = 'en'").limit(400).collect()]
-    hashes, _ = words(pa.array(texts))
-    vocabulary = np.unique(np.concatenate([hashes, np.array([KN.END], np.uint64)]))
-    one = KN.gram_keys([vocabulary], np.full(len(vocabulary), lang, np.uint64))
-    vocabulary = vocabulary[np.isin(one, model.grams[0][0])]
-    # The sample holds most of the vocabulary; what is missing only lowers the sum.
-    unknown = np.array([12345], np.uint64)
-    tokens = np.concatenate([vocabulary, unknown])
-    for context in ([KN.BEGIN, KN.BEGIN], [hashes[3], hashes[4]], [hashes[10], unknown[0]], [unknown[0], hashes[1]]):
-        columns = [np.full(len(tokens), c, np.uint64) for c in context] + [tokens]
-        total = (10 ** model.token_scores(columns, np.full(len(tokens), lang, np.uint64))).sum()
-        assert 0.8 < total <= 1 + 1e-9
-
-
-def test_small_model_is_exactly_normalised(spark):
-    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(["a b a c", "a b b", "c a b d", "d d a", "b a c a b"] * 3)], "doc_id bigint, text string, lang string")
-    labels = docs.selectExpr("doc_id", "1 as quality", "0 as toxic")
-    model = KN.train(docs, labels)
-    hashes, _ = words(pa.array(["a b c d"]))
-    tokens = np.concatenate([hashes, np.array([KN.END, 99], np.uint64)])
-    lang = np.full(len(tokens), KN._lang_key("en"), np.uint64)
-    for u in [*tokens, KN.BEGIN]:
-        for v in tokens:
-            total = (10 ** model.token_scores([np.full(len(tokens), u), np.full(len(tokens), v), tokens], lang)).sum()
-            assert abs(total - 1) < 1e-9
+class Plain:
+    """One language's model in dictionaries, from the definitions."""
+
+    def __init__(self, texts, order):
+        self.order = order
+        raw = [None] + [Counter() for _ in range(order)]
+        for t in texts:
+            for h, w in self.steps(t):
+                for m in range(1, order + 1):
+                    raw[m][(*h[order - m :], w)] += 1
+        before = defaultdict(set)
+        for m in range(2, order + 1):
+            for g in raw[m]:
+                before[g[1:]].add(g[0])
+        self.c = [None] + [{g: raw[m][g] if m == order or g[0] is None else len(before[g]) for g in raw[m]} for m in range(1, order + 1)]
+        self.d = [None] + [KN.kn_discounts([sum(x == r for x in c.values()) for r in (1, 2, 3, 4)]) for c in self.c[1:]]
+        self.after = defaultdict(list)
+        for m in range(1, order + 1):
+            for g, c in self.c[m].items():
+                self.after[m, g[:-1]].append(c)
+
+    @staticmethod
+    def tokens(t):
+        return [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda x: x.group().lower(), t or "")), ()]
+
+    def steps(self, t):
+        padded = [None] * (self.order - 1) + self.tokens(t)
+        return [(tuple(padded[i : i + self.order - 1]), w) for i, w in enumerate(padded[self.order - 1 :])]
+
+    def p(self, h, w):
+        m = len(h) + 1
+        low = self.p(h[1:], w) if h else 1 / (len(self.c[1]) + 1)
+        after = self.after.get((m, h))
+        if not after:
+            return low
+        c = self.c[m].get((*h, w), 0)
+        freed = sum(self.d[m][min(x, 3) - 1] for x in after)
+        return (c - (self.d[m][min(c, 3) - 1] if c else 0) + freed * low) / sum(after)
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_equals_dictionaries(spark, monkeypatch, order):
+    monkeypatch.setattr(N, "BLOCK_BYTES", 600)
+    monkeypatch.setattr(N, "CHUNK_BYTES", 300)
+    monkeypatch.setattr(N, "SHARD_TOKENS", 200)
+    r = random.Random(9)
+    text = lambda: " ".join(r.choice(["The", "of", "and", "to", f"w{r.randrange(40)}", "É"]) for _ in range(r.randint(0, 30)))
+    rows = [(i, text(), r.choice(["en", "de", None]), 1) for i in range(150)] + [(400, None, "en", 1), (401, "the " * 2000, "de", 1), (402, "never seen", "en", 1), (403, "the of", "xx", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, block int").repartition(3)
+    labels = docs.filter("doc_id < 120").selectExpr("doc_id", "1 as quality", "0 as toxic")
+    model = KN.train(docs, labels, order=order)
+    ids = sorted(range(120), key=lambda i: __import__("hashlib").md5(str(i).encode()).hexdigest())
+    by = {x[0]: x for x in rows}
+    plain, held = {}, {}
+    for lang in ("en", "de", None):
+        drawn = [i for i in ids if by[i][2] == lang]
+        plain[lang] = Plain([by[i][1] for k, i in enumerate(drawn, 1) if k % 5], order)
+        held[lang] = [by[i][1] for k, i in enumerate(drawn, 1) if k % 5 == 0]
+        words = [*[w for (w,) in plain[lang].c[1]], "unknown"]
+        for m, h in list(plain[lang].after)[:: max(1, len(plain[lang].after) // 50)]:
+            assert sum(plain[lang].p(h, w) for w in words) == pytest.approx(1, abs=1e-9)
+    score = lambda lang, t: sum(math.log10(plain[lang].p(h, w)) for h, w in plain[lang].steps(t))
+    got = {x.doc_id: x for x in KN.judge(docs, model).collect()}
+    assert len(got) == len(rows) and got[403].log10_p is None and got[403].kept
+    for i, t, lang, _ in rows[:-1]:
+        n = len(Plain.tokens(t))
+        assert got[i].n_tokens == n and got[i].log10_p == pytest.approx(score(lang, t), rel=1e-9)
+        assert got[i].perplexity == pytest.approx(10 ** min(300, -score(lang, t) / n), rel=1e-8)
+        ranked = sorted(-score(lang, x) / len(Plain.tokens(x)) for x in held[lang])
+        at = KN.QUANTILE * (len(ranked) - 1)
+        limit = ranked[int(at)] + (at - int(at)) * (ranked[min(int(at) + 1, len(ranked) - 1)] - ranked[int(at)])
+        assert got[i].threshold == pytest.approx(10**limit, rel=1e-8) and got[i].kept == (got[i].perplexity <= got[i].threshold)
+    assert {x.doc_id for x in KN.accepted(docs, model).collect()} == {i for i, x in got.items() if x.kept}
 
 
 def test_keeps_clean_and_rejects_junk(model, tables):
     got = KN.judge(tables[0], model).join(tables[1], "doc_id").toPandas()
-    assert got[got.quality == 1].kept.mean() > 0.98
-    assert got[got.quality == 0].kept.mean() < 0.5
+    assert got[got.quality == 1].kept.mean() > 0.985
+    assert got[got.quality == 0].kept.mean() < 0.25
 
 
 def test_odd_rows(spark, model):
-    rows = [(1, None, "en", 5), (1, "", "en", 5), (2, "the of", None, 5), (None, "the and of", "en", 5), (3, "x " * 50_000, "en", 5), (4, "the", "xx", 5)]
+    junk = " ".join(f"q{i}" for i in range(50_000))
+    rows = [(1, None, "en", 5), (1, "", "en", 5), (2, "the of", None, 5), (None, "the and of", "en", 5), (3, junk, "en", 5), (4, "the", "xx", 5)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, kept int")
     got = KN.judge(df, model).collect()
     assert len(got) == 6
@@ -78,7 +128,7 @@ def test_a_rare_language_keeps_its_filter(spark):
     docs = spark.createDataFrame([(i, text(x), x) for i, x in enumerate(langs)] + [(9000, "zz " * 60, "bb"), (9001, "zz " * 60, "cc")], "doc_id bigint, text string, lang string")
     labels = docs.filter("doc_id < 9000").selectExpr("doc_id", "1 as quality")
     model = KN.train(docs, labels, train_docs=30)
-    assert {KN._lang_key("aa"), KN._lang_key("bb")} == set(model.thresholds) and model.unjudged == {"cc": 3}
+    assert {KN.lang_key("aa"), KN.lang_key("bb")} == set(model.limits) and model.unjudged == {"cc": 3}
     kept = {x.doc_id: x.kept for x in KN.judge(docs, model).filter("lang <> 'aa'").collect()}
     assert not kept[9000] and kept[9001] and sum(kept[i] for i in range(1800, 1830)) >= 28
 
