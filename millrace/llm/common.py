@@ -7,7 +7,7 @@ import gc
 import tempfile
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,23 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """The name, with underscores until no column has it; names are the same in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def set_aside(docs: DataFrame, *used: str) -> tuple[DataFrame, list[str], Callable[[DataFrame], DataFrame]]:
+    """(docs with all but the used columns renamed, the new names, what restores names and order afterwards): no name can clash then."""
+    rest = [c for c in docs.columns if c not in used]
+    named = {c: c if c in used else f"carried_{rest.index(c)}" for c in docs.columns}
+    quoted = lambda c: "`" + c.replace("`", "``") + "`"
+    apart = docs.select(*[F.col(quoted(c)).alias(named[c]) for c in docs.columns])
+    return apart, [named[c] for c in rest], lambda df: df.select(*[F.col(named[c]).alias(c) for c in docs.columns])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset and all run in one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import bucketed, chunks, dropped, partitions, release, rows_a_batch, small, written
+from millrace.llm.common import bucketed, chunks, dropped, fresh, partitions, release, rows_a_batch, small, written
 from millrace.llm.ngrams import ANSWER, BEGIN, END, SENT, Block, block_schema, make_blocks, pair_keys, rows_of, salted, sent_rows, shard_bits, shard_groups, to_shards, with_answers
 from millrace.llm.tokens import pack, pack_ints, unpack, unpack_ints, words
 
@@ -39,6 +39,10 @@ TRAIN_DOCS = 2000
 #: Share of a language's held-out trusted documents whose perplexity is at the threshold or below.
 QUANTILE = 0.995
 WAVES = 4
+#: Parts of a language whose first documents are ranked together.
+RANKED = 16
+#: Tokens for each shard of the stored model, about.
+MODEL_TOKENS = 128 << 10
 BATCH_BYTES = 2 << 20
 BLOCK_ROWS = 2
 #: Numbers of an n-gram of a shorter order: its count, and as a context its total and its n-grams that count 1, 2, 3 or more.
@@ -169,10 +173,13 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, orde
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_good")).distinct()
     found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("_lang")).filter("text is not null")
     there = found.join(good, found["_id"] == good["_good"]).select("_id", "_lang").distinct()
-    there = there.withColumn("_m", F.md5(F.col("_id").cast("string"))).withColumn("_deal", F.pmod(F.xxhash64("_id"), F.lit(partitions(docs.sparkSession))))
-    # First within a part of the language, so that no task ranks all of it.
-    for keys in (["_lang", "_deal"], ["_lang"]):
-        there = there.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("_m", "_id"))).filter(F.col("_rank") <= train_docs)
+    there = there.withColumn("_m", F.md5(F.col("_id").cast("string")))
+    # First within many parts of a language, then within ever fewer, so that no task ranks more than RANKED parts' firsts.
+    parts = partitions(docs.sparkSession)
+    while parts:
+        there = there.withColumn("_deal", F.pmod(F.xxhash64("_id"), F.lit(parts)))
+        there = there.withColumn("_rank", F.row_number().over(Window.partitionBy("_lang", "_deal").orderBy("_m", "_id"))).filter(F.col("_rank") <= train_docs)
+        parts = 0 if parts == 1 else -(-parts // RANKED)
     chosen = written(there.select(F.col("_id").alias("_chosen"), F.col("_lang").alias("_l"), "_rank"), "trusted-ids")
     trusted = found.join(small(chosen), (F.col("_id") == F.col("_chosen")) & F.col("_lang").eqNullSafe(F.col("_l")))
     trusted = written(trusted.select("text", F.col("_lang").alias("lang"), (F.col("_rank") % 5 == 0).alias("held_out")), "trusted")
@@ -185,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, orde
         for r in counts.groupBy("lang").agg(F.array(*four).alias("n"), F.sum("c").alias("total"), F.count("*").alias("kinds"), F.array(*_by_count()).alias("by")).collect():
             numbers.setdefault(r.lang % (1 << 64), {})[m] = r
     languages = {k: Language([[0.0] * 3, *[kn_discounts(by[m].n) for m in range(1, order + 1)]], by[1].total, by[1].kinds, by[1].by) for k, by in numbers.items()}
-    bits = shard_bits(sum(by[order].total for by in numbers.values()))
+    bits = shard_bits(sum(by[order].total for by in numbers.values()), MODEL_TOKENS)
     model = Model(order, bits, _table(levels, order, bits), languages)
     dropped(*levels.values())
     held = _scored(trusted.filter("held_out"), model, ["lang"], "text", "lang", waves=1)
@@ -341,5 +348,6 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text", lang_col: st
     """
     hashed = F.concat(*[F.md5(F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))) for c in (lang_col, text_col)])
     lean = docs.select(hashed.alias("h"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    gone = written(_scored(lean, model, ["h"], "text", "lang").filter("not kept").select(F.col("h").alias("_rejected_h")).distinct(), "rejected")
-    return docs.join(small(gone), hashed == F.col("_rejected_h"), "left_anti")
+    name = fresh("rejected", docs.columns)
+    gone = written(_scored(lean, model, ["h"], "text", "lang").filter("not kept").select(F.col("h").alias(name)).distinct(), "rejected")
+    return docs.join(small(gone), hashed == F.col(name), "left_anti")

@@ -159,5 +159,6 @@ def joined(answers: list[dict] | None, level: int) -> np.ndarray | None:
     return np.concatenate([unpack_ints(a["data"]) for a in own]) if own else None
 
 
-def shard_bits(tokens: int) -> int:
-    return max(2, (int(tokens) // SHARD_TOKENS).bit_length())
+def shard_bits(tokens: int, each: int | None = None) -> int:
+    """How many leading bits make shards of about that many tokens each."""
+    return max(2, (int(tokens) // (each or SHARD_TOKENS)).bit_length())

@@ -346,11 +346,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     class null, kept. Other columns are never read. An empty table gives no rows.
     """
     sk = sketches(docs, id_col, text_col, threshold, k, picked, n_sketches)
-    classes = sk.groupBy("h").agg(F.min("id").alias("rep"))
-    members = written(sk.join(classes, "h").groupBy("id").agg(F.min("rep").alias("rep")), "members")
+    # Stored, so that both sides of the joins by text are plain exchanges, which AQE splits where many rows share a text.
+    classes = written(sk.groupBy("h").agg(F.min("id").alias("rep")), "classes")
+    members = written(sk.select("id", "h").join(classes, "h").groupBy("id").agg(F.min("rep").alias("rep")), "members")
     reps = sk.join(classes.select("h", F.col("rep").alias("id")), ["h", "id"], "left_semi").groupBy("id").agg(F.min(F.struct("h", "n", "keys", "bins")).alias("s"))
     reps = written(reps.select("id", "s.n", "s.keys", "s.bins"), "reps")
-    dropped(sk)
+    dropped(sk, classes)
     rows = written(reps.select(F.explode("keys").alias("key"), "id", "n"), "buckets")
     heads = rows.groupBy("key").agg(F.min(F.struct("id", "n")).alias("head"), F.count("*").alias("size")).filter("size > 1")
     multi = written(rows.join(heads.select("key", F.col("head.id").alias("pivot"), F.col("head.n").alias("pivot_n")), "key"), "shared-buckets")
