@@ -26,9 +26,11 @@ Most alignments are spared:
 3. All pairs of a bucket that are still in different components, and whose
    lengths allow the threshold, are compared by their word counts in BINS bins.
    These bound the words in common from above, so that no pair which the
-   threshold allows is lost; pairs that pass are aligned. A passage that many
-   documents share fills buckets with unlike ones, which the counts tell apart
-   without making a row for each pair.
+   threshold allows is lost. A passage that many documents share fills buckets
+   with unlike ones, which the counts tell apart without making a row for each
+   pair. In ROUNDS rounds each document is aligned with just the one that it is
+   nearest to by counts, and links make components, so that a large group is one
+   before the last round aligns every pair that is still open.
 """
 
 from __future__ import annotations
@@ -52,6 +54,8 @@ BATCH_BYTES = 2 << 20
 BINS = 256
 #: Members of a bucket above which its pairs are dealt out in blocks.
 COMMON = 4096
+#: Rounds in which each document is aligned with its nearest one of another component, before all pairs that are left.
+ROUNDS = 2
 #: Members that share one copy of their pivot's words.
 GROUP = 64
 
@@ -282,8 +286,8 @@ def verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, thre
     return links
 
 
-def candidates(rows: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b), a > b, of members of a bucket that differ in label and may reach the threshold by lengths and word counts.
+def candidates(rows: DataFrame, threshold: float, nearest: bool = False) -> DataFrame:
+    """The pairs (a, b), a > b, of members of a bucket that differ in label and may reach the threshold by lengths and word counts; with `nearest` one for each document, that whose counts are nearest.
 
     rows has key, id, n, label, bins and c, the blocks that the bucket's members
     are dealt to; each pair of blocks is a unit of work.
@@ -299,8 +303,9 @@ def candidates(rows: DataFrame, threshold: float) -> DataFrame:
         new = np.ones(len(n), bool)
         new[1:] = np.any(group[1:] != group[:-1], axis=1)
         run = np.cumsum(new)
+        best, other = np.full(len(n), np.inf), np.zeros(len(n), "<i8")
         # Rows of a group go by length: each is compared with the one s places on, until the lengths part.
-        left, found, s = np.arange(len(n)), [], 0
+        left, found, s = np.arange(len(n)), [np.zeros((0, 2), "<i8")], 0
         while len(left):
             s += 1
             left = left[left + s < len(n)]
@@ -314,9 +319,18 @@ def candidates(rows: DataFrame, threshold: float) -> DataFrame:
                 apart = (np.maximum(bins[u], bins[v]) - np.minimum(bins[u], bins[v])).sum(axis=1, dtype="<i8")
                 # Words in common: (n + n - apart) / 2 at most; the threshold needs the longer length less its edits.
                 good = apart <= n[u] + n[v] - 2 * (n[v] - ((1 - threshold) * n[v] + 1e-9).astype("<i8"))
-                found.append(np.column_stack([np.maximum(ids[u[good]], ids[v[good]]), np.minimum(ids[u[good]], ids[v[good]])]))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), "<i8")
-        return pa.RecordBatch.from_pydict({"a": pairs[:, 0].copy(), "b": pairs[:, 1].copy()})
+                u, v, score = u[good], v[good], apart[good] / n[v[good]]
+                if not nearest:
+                    found.append(np.column_stack([ids[u], ids[v]]))
+                    continue
+                for p, q in ((u, v), (v, u)):
+                    nearer = score < best[p]
+                    best[p[nearer]], other[p[nearer]] = score[nearer], ids[q[nearer]]
+        if nearest:
+            has = np.isfinite(best)
+            return pa.RecordBatch.from_pydict({"a": ids[has], "b": other[has], "score": best[has]})
+        pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+        return pa.RecordBatch.from_pydict({"a": pairs[:, 1].copy(), "b": pairs[:, 0].copy(), "score": np.zeros(len(pairs))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -335,7 +349,10 @@ def candidates(rows: DataFrame, threshold: float) -> DataFrame:
             yield passing(held)
 
     dealt = dealt.repartition(partitions(rows.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "n")
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+    pairs = dealt.mapInArrow(run, "a bigint, b bigint, score double")
+    if nearest:
+        pairs = pairs.groupBy("a").agg(F.min(F.struct("score", "b")).alias("s")).select(F.greatest("a", "s.b").alias("a"), F.least("a", "s.b").alias("b"))
+    return pairs.select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, k: int = K, picked: int = PICKED, n_sketches: int = SKETCHES) -> DataFrame:
@@ -359,19 +376,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     fits = lambda m, n: F.least(m, n) >= F.greatest(m, n) * F.lit(threshold) - F.lit(1e-9)
     votes = multi.filter((F.col("id") != F.col("pivot")) & fits(F.col("n"), F.col("pivot_n"))).groupBy("id", "pivot").agg(F.count("*").alias("votes"))
-    first = votes.groupBy("id").agg(F.max(F.struct("votes", (-F.col("pivot")).alias("p"))).alias("best")).select(F.col("id").alias("a"), (-F.col("best.p")).alias("b"))
+    first = written(votes.groupBy("id").agg(F.max(F.struct("votes", (-F.col("pivot")).alias("p"))).alias("best")).select(F.col("id").alias("a"), (-F.col("best.p")).alias("b")), "first-pairs")
     links = verified(docs, first, id_col, text_col, threshold)
+    tried = first.select("a", "b")
     reached = written(components(links), "components")
-
-    label = lambda df: df.join(reached.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-    labelled = label(multi.select("key", "id", "n"))
-    mixed = labelled.groupBy("key").agg(F.count_distinct("label").alias("labels"), F.ceil(F.count("*") / COMMON).alias("c")).filter("labels > 1").select("key", "c")
-    open_rows = labelled.join(mixed, "key").join(reps.select("id", "bins"), "id")
-    rest = candidates(open_rows, threshold)
-    rest = written(rest.join(first, ["a", "b"], "left_anti"), "rest")
-    more = verified(docs, rest, id_col, text_col, threshold)
-    if more.limit(1).count():
-        reached = written(components(links.union(more)), "components")
+    open_rows = multi
+    for step in range(ROUNDS + 1):
+        labels = small(reached.withColumnRenamed("node", "id"))
+        labelled = open_rows.select("key", "id", "n").join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+        mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / COMMON).alias("c")).filter("low < high").select("key", "c")
+        # A bucket whose members are one component stays so: later rounds read the others only.
+        open_rows = written(labelled.join(small(written(mixed, "open-keys")), "key"), "open-buckets")
+        near = candidates(open_rows.join(reps.select("id", "bins"), "id"), threshold, step < ROUNDS)
+        rest = written(near.join(tried, ["a", "b"], "left_anti"), "rest")
+        if rest.limit(1).count():
+            more = verified(docs, rest, id_col, text_col, threshold)
+            tried = tried.union(rest)
+            if more.limit(1).count():
+                links = links.union(more)
+                reached = written(components(links), "components")
 
     found = members.join(reached.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("class_id"))
     ids = docs.select(F.col(id_col).cast("bigint").alias("doc_id")).distinct()

@@ -7,6 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from millrace.llm import common as C
 from millrace.llm import orderminhash as O
 from millrace.llm.q_orderminhash import op6_orderminhash
 from millrace.llm.tokens import pack, unpack, words
@@ -77,10 +78,10 @@ def brute(rows):
     return label
 
 
-@pytest.mark.parametrize(("limit", "common"), [(O.BROADCAST_ROWS, 64), (0, 4), (0, 1)])
+@pytest.mark.parametrize(("limit", "common"), [(C.BROADCAST_ROWS, 64), (0, 4), (0, 1)])
 def test_equals_brute_force(spark, monkeypatch, limit, common):
     monkeypatch.setattr(O, "COMMON", common)
-    monkeypatch.setattr(O.small, "__defaults__", (limit,))
+    monkeypatch.setattr(C.small, "__defaults__", (limit,))
     rows = corpus()
     got = {r.doc_id: (r.class_id, r.kept) for r in O.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     want = {i: (c, i == c) for i, c in brute(rows).items()}
