@@ -50,8 +50,8 @@ K, PICKED, SKETCHES, THRESHOLD = 3, 2, 80, 0.8
 #: Texts of up to this many words are sketched by pairs of words.
 SHORT = 40
 BATCH_BYTES = 2 << 20
-#: Bins of the word counts that rule out pairs of a bucket.
-BINS = 256
+#: Bins of the word counts that rule out pairs of a bucket, and how many of them are first compared as one.
+BINS, FOLD = 1024, 4
 #: Members of a bucket above which its pairs are dealt out in blocks.
 COMMON = 4096
 #: Rounds in which each document is aligned with its nearest one of another component, before all pairs that are left.
@@ -223,11 +223,16 @@ def bucket_keys(hashes: np.ndarray, offsets: np.ndarray, threshold: float = THRE
     return [np.unique(np.concatenate(x)) if x else np.zeros(0, np.uint64) for x in out]
 
 
-def word_counts(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A row for each document: its words by bin, 255 at most."""
-    docs = len(offsets) - 1
-    at = np.repeat(np.arange(docs), np.diff(offsets)) * BINS + (hashes % np.uint64(BINS)).astype("<i8")
-    return np.minimum(np.bincount(at, minlength=docs * BINS), 255).astype(np.uint8).reshape(docs, BINS)
+def word_counts(hashes: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """For each document its words by bin, 255 at most, a byte each."""
+    out = []
+    for at in range(0, len(offsets) - 1, 512):
+        bounds = offsets[at : at + 513]
+        docs = len(bounds) - 1
+        cell = np.repeat(np.arange(docs), np.diff(bounds)) * BINS + (hashes[bounds[0] : bounds[-1]] % np.uint64(BINS)).astype("<i8")
+        rows = np.minimum(np.bincount(cell, minlength=docs * BINS), 255).astype(np.uint8).reshape(docs, BINS)
+        out += [x.tobytes() for x in rows]
+    return out
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, threshold: float, k: int, picked: int, n_sketches: int) -> DataFrame:
@@ -237,7 +242,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, threshold: float, k: i
         for batch in (part for whole in batches if whole.num_rows for part in chunks(whole, 1, BATCH_BYTES)):
             hashes, offsets = words(batch.column(1), lower=False)
             keys = [x.view("<i8") for x in bucket_keys(hashes, offsets, threshold, k, picked, n_sketches)]
-            bins = pa.array([x.tobytes() for x in word_counts(hashes, offsets)], pa.binary())
+            bins = pa.array(word_counts(hashes, offsets), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(offsets)), pa.array(keys, pa.list_(pa.int64())), bins], ["id", "h", "n", "keys", "bins"])
 
     plain = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.md5(text_col).alias("h")).filter("id is not null and text is not null")
@@ -250,7 +255,7 @@ def beside(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, group:
     Those are one task's unit of work; a text travels once for each of them.
     """
     counts = pairs.groupBy("b").agg(F.ceil(F.count("*") / group).alias("c"))
-    pairs = pairs.join(counts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("c")).alias("g"))
+    pairs = written(pairs.join(counts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("c")).alias("g")), "dealt-pairs")
     needed = pairs.select(F.col("a").alias("doc"), "b", "g", F.lit(1).alias("role")).union(pairs.select(F.col("b").alias("doc"), "b", "g", F.lit(0).alias("role")).distinct())
     needed = written(needed, "needed")
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text")).filter("text is not null")
@@ -299,7 +304,8 @@ def candidates(rows: DataFrame, threshold: float, nearest: bool = False) -> Data
     def passing(t: pa.Table) -> pa.RecordBatch:
         group = np.column_stack([t[c].to_numpy() for c in ("key", "i", "j")])
         part, n, ids, label = (t[c].to_numpy() for c in ("part", "n", "id", "label"))
-        bins = np.frombuffer(b"".join(t["bins"].to_pylist()), np.uint8).reshape(-1, BINS)
+        fine = np.frombuffer(b"".join(t["bins"].to_pylist()), np.uint8).reshape(-1, BINS)
+        coarse = fine.reshape(-1, FOLD, BINS // FOLD).sum(axis=1, dtype=np.uint16)
         new = np.ones(len(n), bool)
         new[1:] = np.any(group[1:] != group[:-1], axis=1)
         run = np.cumsum(new)
@@ -316,10 +322,13 @@ def candidates(rows: DataFrame, threshold: float, nearest: bool = False) -> Data
             x, y = left[test], right[test]
             for at in range(0, len(x), 8192):
                 u, v = x[at : at + 8192], y[at : at + 8192]
-                apart = (np.maximum(bins[u], bins[v]) - np.minimum(bins[u], bins[v])).sum(axis=1, dtype="<i8")
                 # Words in common: (n + n - apart) / 2 at most; the threshold needs the longer length less its edits.
-                good = apart <= n[u] + n[v] - 2 * (n[v] - ((1 - threshold) * n[v] + 1e-9).astype("<i8"))
-                u, v, score = u[good], v[good], apart[good] / n[v[good]]
+                most = n[u] + n[v] - 2 * (n[v] - ((1 - threshold) * n[v] + 1e-9).astype("<i8"))
+                for bins in (coarse, fine):
+                    apart = (np.maximum(bins[u], bins[v]) - np.minimum(bins[u], bins[v])).sum(axis=1, dtype="<i8")
+                    good = apart <= most
+                    u, v, apart, most = u[good], v[good], apart[good], most[good]
+                score = apart / n[v]
                 if not nearest:
                     found.append(np.column_stack([ids[u], ids[v]]))
                     continue
