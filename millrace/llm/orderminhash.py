@@ -208,19 +208,25 @@ def left_out(hashes: np.ndarray) -> np.ndarray:
     return np.unique(np.array(keys, np.uint64))
 
 
+def families(n: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By numbers of words: who has sketches of k-mers, of pairs of words, and keys with words left out. Two texts whose lengths allow the threshold have one in common at least."""
+    tiny = one_edit(threshold)
+    least = lambda longest: threshold * (longest + 1) - 1e-9  # words that the other text of a longer one has
+    return n >= least(SHORT), (n <= SHORT) & (n >= least(tiny)), (n > 0) & (n <= tiny)
+
+
 def bucket_keys(hashes: np.ndarray, offsets: np.ndarray, threshold: float = THRESHOLD, k: int = K, picked: int = PICKED, n_sketches: int = SKETCHES) -> list[np.ndarray]:
-    """Each document's bucket keys. Two texts whose lengths allow the threshold have those of one family at least."""
+    """Each document's bucket keys: n_sketches for each of the first two families that it belongs to, in order, then those of the third."""
     n = np.diff(offsets)
-    tiny = one_edit(threshold)
+    long, short, tiny = families(n, threshold)
     out: list[list[np.ndarray]] = [[] for _ in n]
-    least = lambda longest: threshold * (longest + 1) - 1e-9  # words that the other text of a longer one has
-    for family, size, chosen in ((1, k, n >= least(SHORT)), (2, min(2, k), (n <= SHORT) & (n >= least(tiny)))):
+    for family, size, chosen in ((1, k, long), (2, min(2, k), short)):
         has, rows = sketch(*kmers(*_only(hashes, offsets, chosen), size), n_sketches, picked)
         for i, row in zip(has, mix(rows ^ _tags(family, n_sketches)), strict=True):
             out[i].append(row)
-    for i in np.flatnonzero((n > 0) & (n <= tiny)):
+    for i in np.flatnonzero(tiny):
         out[i].append(mix(left_out(hashes[offsets[i] : offsets[i + 1]]) ^ _tags(3, 1)))
-    return [np.unique(np.concatenate(x)) if x else np.zeros(0, np.uint64) for x in out]
+    return [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in out]
 
 
 def word_counts(hashes: np.ndarray, offsets: np.ndarray) -> list[bytes]:
@@ -291,20 +297,29 @@ def verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, thre
     return links
 
 
-def candidates(rows: DataFrame, threshold: float, nearest: bool = False) -> DataFrame:
+def candidates(rows: DataFrame, threshold: float, n_sketches: int, nearest: bool = False) -> DataFrame:
     """The pairs (a, b), a > b, of members of a bucket that differ in label and may reach the threshold by lengths and word counts; with `nearest` one for each document, that whose counts are nearest.
 
-    rows has key, id, n, label, bins and c, the blocks that the bucket's members
-    are dealt to; each pair of blocks is a unit of work.
+    rows has key, id, n, label, bins, all the id's keys, and c, the blocks that
+    the bucket's members are dealt to; each pair of blocks is a unit of work. A
+    pair that agrees on several sketches is told of in the first one's bucket.
     """
     part = F.pmod(F.xxhash64("id"), F.col("c"))
-    dealt = rows.select("key", "id", "n", "label", "bins", part.alias("part"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("c") - 1)).alias("q"))
-    dealt = dealt.select("key", F.least("part", "q").alias("i"), F.greatest("part", "q").alias("j"), "part", "n", "id", "label", "bins")
+    dealt = rows.select("key", "id", "n", "label", "bins", "keys", part.alias("part"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("c") - 1)).alias("q"))
+    dealt = dealt.select("key", F.least("part", "q").alias("i"), F.greatest("part", "q").alias("j"), "part", "n", "id", "label", "bins", "keys")
 
     def passing(t: pa.Table) -> pa.RecordBatch:
         group = np.column_stack([t[c].to_numpy() for c in ("key", "i", "j")])
         part, n, ids, label = (t[c].to_numpy() for c in ("part", "n", "id", "label"))
         fine = np.frombuffer(b"".join(t["bins"].to_pylist()), np.uint8).reshape(-1, BINS)
+        key = group[:, 0].view(np.uint64)
+        slots = np.zeros((len(n), 2 * n_sketches), np.uint64)
+        column = t["keys"].combine_chunks()
+        flat, at = column.flatten().to_numpy().view(np.uint64), column.offsets.to_numpy()[:-1] - column.offsets[0].as_py()
+        for side, has in enumerate(families(n, threshold)[:2]):
+            where = np.flatnonzero(has)
+            slots[where[:, None], side * n_sketches + np.arange(n_sketches)] = flat[at[where, None] + np.arange(n_sketches)]
+            at = at + n_sketches * has
         coarse = fine.reshape(-1, FOLD, BINS // FOLD).sum(axis=1, dtype=np.uint16)
         new = np.ones(len(n), bool)
         new[1:] = np.any(group[1:] != group[:-1], axis=1)
@@ -320,13 +335,16 @@ def candidates(rows: DataFrame, threshold: float, nearest: bool = False) -> Data
             left, right = left[go], right[go]
             test = (label[left] != label[right]) & ((group[left, 1] == group[left, 2]) | (part[left] != part[right]))
             x, y = left[test], right[test]
-            for at in range(0, len(x), 8192):
-                u, v = x[at : at + 8192], y[at : at + 8192]
+            for start in range(0, len(x), 8192):
+                u, v = x[start : start + 8192], y[start : start + 8192]
                 # Words in common: (n + n - apart) / 2 at most; the threshold needs the longer length less its edits.
                 most = n[u] + n[v] - 2 * (n[v] - ((1 - threshold) * n[v] + 1e-9).astype("<i8"))
                 for bins in (coarse, fine):
                     apart = (np.maximum(bins[u], bins[v]) - np.minimum(bins[u], bins[v])).sum(axis=1, dtype="<i8")
                     good = apart <= most
+                    if bins is coarse:
+                        same = (slots[u] == slots[v]) & (slots[u] != 0)
+                        good &= ~same.any(axis=1) | (slots[u, same.argmax(axis=1)] == key[u])
                     u, v, apart, most = u[good], v[good], apart[good], most[good]
                 score = apart / n[v]
                 if not nearest:
@@ -396,7 +414,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / COMMON).alias("c")).filter("low < high").select("key", "c")
         # A bucket whose members are one component stays so: later rounds read the others only.
         open_rows = written(labelled.join(small(written(mixed, "open-keys")), "key"), "open-buckets")
-        near = candidates(open_rows.join(reps.select("id", "bins"), "id"), threshold, step < ROUNDS)
+        near = candidates(open_rows.join(reps.select("id", "bins", "keys"), "id"), threshold, n_sketches, step < ROUNDS)
         rest = written(near.join(tried, ["a", "b"], "left_anti"), "rest")
         if rest.limit(1).count():
             more = verified(docs, rest, id_col, text_col, threshold)
