@@ -1,10 +1,10 @@
 """Mixing sources to target weights.
 
 Every document gets a hash-random key. Within its source, documents are ranged
-by that key: the key's leading bits name a range, ranges are summed, and a
-running sum over the small table of ranges gives each range its offset. Inside
+by that key: the key's leading digits name a range, ranges are summed, and
+running sums over the ranges, level by level, give each range its offset. Inside
 a range a window finishes the prefix sum, so a hot source is as many tasks as
-it has ranges. The prefix sum decides how often a document is taken: whole
+it has ranges, and no task sums more than 16 ** PART ranges. The prefix sum decides how often a document is taken: whole
 epochs first, then documents in key order until the source's budget is spent;
 the document on the edge gives just the words that are missing.
 """
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import WORD, written
 
-#: Rows that a key range holds on average; ranges are counted from the table.
-RANGE_ROWS = 2000
+#: Rows that a key range holds at most on average, and digits of ranges that one window sums over.
+RANGE_ROWS, PART = 2000, 3
 
 
 def targets(sizes: DataFrame, weights: list[float], ratio: float, cap: float) -> DataFrame:
@@ -45,14 +45,32 @@ def targets(sizes: DataFrame, weights: list[float], ratio: float, cap: float) ->
     return ranked.select(*sizes.columns, F.when(F.col("_holds").isNull(), F.col("_cap")).otherwise(F.least("_cap", F.col("_holds") * F.col("_w"))).alias("target"))
 
 
+def offsets(cells: DataFrame, digits: int) -> DataFrame:
+    """cells with _offset, what the ranges before theirs in the source sum to.
+
+    A window sums the ranges that share all but the last PART digits, 16 ** PART
+    rows at most; the sums of those groups are ranges of fewer digits.
+    """
+    short = max(0, digits - PART)
+    group = F.substring("_range", 1, short)
+    upto = Window.partitionBy("_place", "_group").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    inside = cells.withColumn("_group", group).withColumn("_offset", F.coalesce(F.sum("_cell").over(upto), F.lit(0)))
+    if not short:
+        return inside.drop("_group")
+    above = cells.groupBy("_place", group.alias("_range")).agg(F.sum("_cell").alias("_cell"))
+    above = offsets(above, short).select("_place", F.col("_range").alias("_group"), F.col("_offset").alias("_before"))
+    return inside.join(above, ["_place", "_group"]).withColumn("_offset", F.col("_offset") + F.col("_before")).drop("_group", "_before")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: list[float] = (3, 1, 2), ratio: float = 1.5, cap: float = 2.0, seed: int = 17, keep: list[str] = ()) -> DataFrame:
     """Each document with size, source_size, target and taken (words the mix takes, repeats counted).
 
     Null text: size 0, taken 0. Null source: a source of its own, last. Null or
     repeated ids: the key hashes text too, and rows that still tie are alike.
     Sources without words have target 0. No document is taken above
-    ceil(cap) times. An empty table gives no rows. `keep` names further columns
-    to carry; others are dropped at once, so their names can't clash.
+    ceil(cap) times. Very long texts are counted whole. An empty table gives no rows. `keep` names further columns
+    to carry, which must not have the names of results (ValueError); others are
+    dropped at once, so their names can't clash.
     """
     if set(keep) & {"size", "source_size", "target", "taken"}:
         raise ValueError("a kept column has the name of a result")
@@ -62,13 +80,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     base = docs.select(*columns, F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), key.alias("_key"), place.alias("_place"))
     lean = written(base.select(id_col, source_col, "size", "_key", "_place"), "mix-sizes")
     rows = lean.count()
-    digits = max(1, math.ceil(math.log(max(1, rows / RANGE_ROWS), 16)) + 1)
+    # A range's name is the key's first digits, of 16 kinds each; sums of ranges go up digit by digit, PART digits at a time.
+    digits = max(1, math.ceil(math.log(max(1, rows / RANGE_ROWS), 16)))
     cell = F.substring("_key", 1, digits)
     cells = lean.groupBy("_place", cell.alias("_range")).agg(F.first(source_col).alias("source"), F.sum("size").alias("_cell"))
+    cells = written(cells, "mix-ranges")
     totals = cells.groupBy("_place").agg(F.first("source").alias("source"), F.sum("_cell").alias("source_size"))
     goal = targets(totals, list(weights), ratio, cap).select("_place", "source_size", "target")
-    upto = Window.partitionBy("_place").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("_offset", F.coalesce(F.sum("_cell").over(upto), F.lit(0))).join(goal, "_place").select("_place", "_range", "_offset", "source_size", "target")
+    cells = offsets(cells, digits).join(goal, "_place").select("_place", "_range", "_offset", "source_size", "target")
     inside = Window.partitionBy("_place", "_range").orderBy("_key", id_col, "size").rowsBetween(Window.unboundedPreceding, 0)
     run = (base if keep else lean).withColumn("_range", cell).withColumn("_run", F.sum("size").over(inside))
     joined = run.join(cells, ["_place", "_range"])

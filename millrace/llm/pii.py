@@ -2,16 +2,18 @@
 
 Base spans are those of four fixed patterns. Between them, a semi-Markov CRF
 looks for what the patterns miss: a phone number without its plus sign, a mail
-address written with "at" and "dot". A segment is a whole span of tokens, and
+address written with "at" and "dot", a secret such as the value of a token or
+password. A segment is a whole span of tokens, and
 its features look at the whole of it (digits, check sum, brackets, the word
 before), which no token-wise model can. Dynamic programming over segments of at
-most MAX_TOKENS tokens, and over spelt addresses of any length, chooses
+most MAX_TOKENS tokens, and over spelt addresses and unbroken runs of any length, chooses
 boundaries and kinds jointly. Text without a
 digit or another trigger nearby can only be outside, so the programme runs over
 windows around triggers; the windows' results are those of the whole text.
 
 The model is fitted on windows generated by rule (TRAIN_WINDOWS, fixed seed),
-by exact gradients of the conditional likelihood.
+by exact gradients of the conditional likelihood, in a task of its own, once for
+each session.
 """
 
 from __future__ import annotations
@@ -25,11 +27,13 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.common import chunks
 
 KINDS = ("email", "ip", "card", "phone")
+#: The model's kinds: those of the base patterns, and one more.
+MODEL_KINDS = (*KINDS, "secret")
 
 # --- base patterns -----------------------------------------------------------
 # Possessive forms of the fixed patterns: the same matches, without backtracking over long runs.
@@ -83,7 +87,7 @@ MAX_TOKENS = 14
 #: Characters of context on each side of a trigger.
 MARGIN = 48
 TRAIN_WINDOWS, EPOCHS = 260, 30
-LABELS = ("outside", *KINDS)
+LABELS = ("outside", *MODEL_KINDS)
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s|.", re.S)
 _TRIGGER = re.compile(r"[0-9]|@|[\[(] ?at ?[\])]|\sdot\s")
 _OBFUSCATED = re.compile(r"[\w.%+-]+ ?[\[(] ?at ?[\])] ?[\w-]+(?:(?: ?[\[(] ?dot ?[\])] ?|\.)[\w-]+)+|[\w.%+-]+ at [\w-]+(?: dot [\w-]+)+")
@@ -93,7 +97,10 @@ _SPOKEN = re.compile(r"[\w-]++(?: dot [\w-]++)++")
 _GOES_ON = re.compile(r"(?: ?[\[(] ?dot ?[\])] ?|\.| dot )\w")
 _AREA = re.compile(r"\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}")
 _GROUPS = re.compile(r"[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4}")
-_HINTS = {"phone": {"phone", "tel", "call", "fax", "mobile"}, "card": {"card", "visa", "credit", "mastercard"}, "email": {"mail", "email", "contact"}, "ip": {"ip", "host", "address", "server"}}
+_HINTS = {"phone": {"phone", "tel", "call", "fax", "mobile"}, "card": {"card", "visa", "credit", "mastercard"}, "email": {"mail", "email", "contact"}, "ip": {"ip", "host", "address", "server"}, "secret": {"token", "key", "secret", "password", "passwd", "pwd", "auth", "bearer", "apikey"}}
+#: An unbroken run that may be a secret.
+_RUN = re.compile(r"(?<![\w+/-])[A-Za-z0-9_+/-]{12,}={0,2}(?![\w+/=-])")
+_ASSIGNED = re.compile(r"[=:]\s?[\"']?$")
 
 
 def spelt(text: str, a: int, b: int) -> list[tuple[int, int]]:
@@ -116,6 +123,12 @@ def spelt(text: str, a: int, b: int) -> list[tuple[int, int]]:
     return out
 
 
+def whole_runs(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """Runs of any length between a and b that hold a letter and a digit."""
+    found = [(m.start(), m.end()) for m in _RUN.finditer(text, a, b)]
+    return [(x, y) for x, y in found if any(c.isdigit() for c in text[x:y]) and any(c.isalpha() for c in text[x:y])]
+
+
 def features(text: str, a: int, b: int) -> list[str]:
     """What a segment is scored by: all of it, its neighbours and the word before."""
     s = text[a:b]
@@ -142,6 +155,10 @@ def features(text: str, a: int, b: int) -> list[str]:
         out.append("sum-holds" if luhn(digits) else "sum-fails")
     if s.count(".") == 3:
         out.append("three-dots")
+    if (m := _RUN.match(text, a)) and m.end() == b:
+        out.append(f"run{min(len(s) // 8, 5)}")
+        if _ASSIGNED.search(text, max(0, a - 4), a):
+            out.append("assigned")
     words = re.findall(r"[a-z]+", text[max(0, a - 16) : a].lower())
     if words:
         out += [f"hint-{k}" for k, v in _HINTS.items() if words[-1] in v]
@@ -167,9 +184,10 @@ class Window:
                     if f[1] not in ("digits0", "digits1", "digits2", "digits3", "digits4", "digits5", "digits6") or "spelt-address" in f:
                         self.segments[j].append((i, f, x, y))
         starts, ends = {x: i for i, (x, _) in enumerate(marks)}, {y: j for j, (_, y) in enumerate(marks, 1)}
-        for x, y in spelt(text, a, b):
+        offered = {(x, y) for at in self.segments for _, _, x, y in at}
+        for x, y in sorted({*spelt(text, a, b), *whole_runs(text, a, b)} - offered):
             i, j = starts.get(x), ends.get(y)
-            if i is not None and j is not None and j - i > MAX_TOKENS:
+            if i is not None and j is not None:
                 self.segments[j].append((i, features(text, x, y), x, y))
 
     def score(self, w: dict[tuple[str, str], float], f: list[str], kind: str) -> float:
@@ -185,7 +203,7 @@ class Window:
                 if "outside" not in cell or v > cell["outside"][0]:
                     cell["outside"] = (v, back)
             for i, f, x, e in self.segments[j]:
-                for kind in KINDS:
+                for kind in MODEL_KINDS:
                     own = self.score(w, f, kind)
                     for y, (s, back) in alpha[i].items():
                         v = s + own + w.get(("follows", f"{y}>{kind}"), 0.0)
@@ -207,7 +225,7 @@ class Window:
             for i, f, x, e in self.segments[j]:
                 if (x, e) in inside:
                     covered.update(range(i + 1, j + 1))
-                arcs += [(i, j, k, self.score(w, f, k), f, inside.get((x, e)) == k) for k in KINDS]
+                arcs += [(i, j, k, self.score(w, f, k), f, inside.get((x, e)) == k) for k in MODEL_KINDS]
             arcs.append((j - 1, j, "outside", 0.0, [], False))
         arcs.sort(key=lambda t: t[1])
         follow = {(y, k): w.get(("follows", f"{y}>{k}"), 0.0) for y in LABELS for k in LABELS}
@@ -278,7 +296,9 @@ def training_windows(n: int, seed: int) -> list[tuple[str, set[tuple[int, int, s
         return dot.join([word() for _ in range(r.choice([1, 1, 2]))] + [r.choice(["com", "org", "net", f"co{dot}uk"])])
 
     def entity() -> tuple[str, str]:
-        k = r.randrange(6)
+        k = r.randrange(7)
+        if k == 6:
+            return r.choice([lambda: hashlib.sha1(digits(9).encode()).hexdigest()[: r.choice([32, 40])], lambda: "".join(r.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789") for _ in range(r.randint(16, 44))) + "7", lambda: f"{r.choice(['sk', 'pk', 'gh'])}_{hashlib.md5(digits(9).encode()).hexdigest()}"])(), "secret"
         if k == 0:
             return f"({digits(3)}) {digits(3)}-{digits(4)}", "phone"
         if k == 1:
@@ -293,7 +313,7 @@ def training_windows(n: int, seed: int) -> list[tuple[str, set[tuple[int, int, s
         return ".".join(str(r.randrange(256)) for _ in range(4)), "ip"
 
     def other() -> str:
-        return r.choice([lambda: card(False), lambda: card(False), lambda: digits(r.randint(7, 13)), lambda: f"{r.randint(1990, 2030)}-{digits(2)}-{digits(2)}", lambda: f"{digits(2)},{digits(3)},{digits(3)}", lambda: f'"{hashlib.md5(digits(9).encode()).hexdigest()}"', lambda: f"version {digits(1)}.{digits(1)}.{digits(1)}", lambda: f"{digits(2)} dot {word()}", lambda: f"{digits(3)} {digits(3)} {digits(2)}", lambda: digits(20)])()
+        return r.choice([lambda: card(False), lambda: card(False), lambda: digits(r.randint(7, 13)), lambda: f"{r.randint(1990, 2030)}-{digits(2)}-{digits(2)}", lambda: f"{digits(2)},{digits(3)},{digits(3)}", lambda: f'"{hashlib.md5(digits(9).encode()).hexdigest()}"', lambda: f"commit {hashlib.sha1(digits(9).encode()).hexdigest()}", lambda: f"/{word()}-{digits(4)}/{word()}-{digits(2)}", lambda: f"version {digits(1)}.{digits(1)}.{digits(1)}", lambda: f"{digits(2)} dot {word()}", lambda: f"{digits(3)} {digits(3)} {digits(2)}", lambda: digits(20)])()
 
     out = []
     for _ in range(n):
@@ -310,6 +330,13 @@ def training_windows(n: int, seed: int) -> list[tuple[str, set[tuple[int, int, s
             if kind:
                 spans.add((at + len(hint), at + len(hint) + len(s), kind))
             tail = r.choice([" ", " ", ", ", ". ", "!! ", "\n"])
+            if kind == "secret":
+                # A secret is told by what it is assigned to; the same run without that is none.
+                spans.discard((at + len(hint), at + len(hint) + len(s), kind))
+                hint = r.choice(sorted(_HINTS["secret"])) + r.choice([" = ", ": ", "=", ":"])
+                quote = r.choice(["", '"', "'"])
+                hint, tail = hint + quote, quote + tail
+                spans.add((at + len(hint), at + len(hint) + len(s), kind))
             parts.append(hint + s + tail)
             at += len(hint) + len(s) + len(tail)
         out.append(("".join(parts), spans))
@@ -339,6 +366,23 @@ def trained() -> tuple[tuple[tuple[str, str], float], ...]:
     return tuple(sorted(w.items()))
 
 
+_fitted: dict[tuple[str, str], float] = {}
+
+
+def fitted(spark: SparkSession) -> dict[tuple[str, str], float]:
+    """The weights of trained(), made by one task and kept; some hundred numbers come to the driver."""
+    if not _fitted:
+
+        def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _ in batches:
+                weights = trained()
+                yield pa.RecordBatch.from_pydict({"kind": [k for (k, _), _ in weights], "feature": [f for (_, f), _ in weights], "weight": [w for _, w in weights]})
+
+        rows = spark.range(0, 1, 1, 1).mapInArrow(fit, "kind string, feature string, weight double").collect()
+        _fitted.update({(r.kind, r.feature): r.weight for r in rows})
+    return dict(_fitted)
+
+
 def added_spans(text: str, base: list[tuple[int, int, str]], w: dict) -> list[tuple[int, int, str]]:
     """Spans that the model finds between base spans."""
     walls, end = [], 0
@@ -350,7 +394,7 @@ def added_spans(text: str, base: list[tuple[int, int, str]], w: dict) -> list[tu
     out = []
     for a, b in walls:
         at = a
-        whole = spelt(text, a, b) if _TRIGGER.search(text, a, b) else []
+        whole = sorted(spelt(text, a, b)) if _TRIGGER.search(text, a, b) else []
         starts = [x for x, _ in whole]
         while m := _TRIGGER.search(text, at, b):
             lo, hi = max(a, m.start() - MARGIN), min(b, m.end() + MARGIN)
@@ -380,7 +424,7 @@ def all_spans(text: str, w: dict) -> tuple[list[tuple[int, int, str]], list[tupl
     """(base spans, all spans), both by start, then kind."""
     base = base_spans(text)
     added = added_spans(text, base, w) if _TRIGGER.search(text) else []
-    return base, sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2])))
+    return base, sorted(base + added, key=lambda s: (s[0], MODEL_KINDS.index(s[2])))
 
 
 def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
@@ -397,22 +441,26 @@ def _label(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
-COUNTS = "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_spans string, spans string, masked string"
+COUNTS = "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, n_spans bigint, base_spans string, spans string, masked string"
 BATCH_BYTES = 8 << 20
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
-    """Per row: counts of base spans, base spans and all spans as kind:start:end lists, and the masked text.
-
-    No shuffle: one Arrow pass over the columns it reads. The weights (a few
-    dozen numbers) go with the function. Null text: as empty, masked null.
-    Repeated rows give repeated results, an empty table none. `keep` names
-    further columns to carry; others are dropped.
+    """Per row: counts of base spans and of all spans, base spans and all spans as kind:start:end lists, and the masked text.
+
+    No shuffle: one Arrow pass over the columns it reads. The weights (some
+    hundred numbers) go with the function. Null text: as empty, masked null.
+    Very long texts are read whole, in windows around what may be personal.
+    Spans that start together go by kind as listed; of segmentations that score
+    alike the one with fewer segments so far stays. Repeated rows give repeated
+    results, an empty table none. `keep` names further columns to carry, which
+    must not have the names of results (ValueError); others are dropped.
     """
-    weights = dict(trained())
+    weights = fitted(docs.sparkSession)
     columns = list(dict.fromkeys([id_col, *keep]))
     kinds = dict(docs.dtypes)
-    if {*columns} & {"n_email", "n_ip", "n_card", "n_phone", "base_spans", "spans", "masked"}:
+    results = [c.split()[0] for c in COUNTS.split(", ")]
+    if {c.lower() for c in columns} & {*results}:
         raise ValueError("a kept column has the name of a result")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -420,8 +468,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
             texts = batch.column(0).to_pylist()
             found = [all_spans(t or "", weights) for t in texts]
             counts = {f"n_{k}": pa.array([sum(s[2] == k for s in base) for base, _ in found], pa.int64()) for k in KINDS}
-            more = {"base_spans": [_label(b) for b, _ in found], "spans": [_label(s) for _, s in found], "masked": pa.array([None if t is None else masked(t, s) for t, (_, s) in zip(texts, found, strict=True)], pa.string())}
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *[pa.array(v) for v in (counts | more).values()]], [*columns, *counts, *more])
+            more = {"n_spans": pa.array([len(x) for _, x in found], pa.int64()), "base_spans": [_label(b) for b, _ in found], "spans": [_label(s) for _, s in found], "masked": pa.array([None if t is None else masked(t, s) for t, (_, s) in zip(texts, found, strict=True)], pa.string())}
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *[v if isinstance(v, pa.Array) else pa.array(v) for v in (counts | more).values()]], [*columns, *counts, *more])
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", " + COUNTS
     return docs.select(docs[text_col].alias("_text"), *columns).mapInArrow(run, schema)

@@ -68,3 +68,13 @@ def test_sql(spark):
     con.sql(f"create view documents as from '{sf}/documents.parquet'")
     assert sorted(map(tuple, op2_mixing(spark, sf).collect())) == sorted(con.sql(SQL).fetchall())
     assert hashlib.md5(b"").hexdigest()  # the key's hash is MD5 in both engines
+
+
+@pytest.mark.parametrize("part", [1, 2])
+def test_ranges_of_many_levels(spark, monkeypatch, part):
+    """However many digits ranges have, and however few a window sums, the mix is the same."""
+    docs = spark.createDataFrame([(i, "w " * (i % 13), f"s{i % 3}" if i % 7 else None) for i in range(900)], "doc_id bigint, text string, source string")
+    want = sorted(map(str, mixing.mix(docs).collect()))
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 1)
+    monkeypatch.setattr(mixing, "PART", part)
+    assert sorted(map(str, mixing.mix(docs).collect())) == want
