@@ -44,7 +44,8 @@ RANKED = 16
 #: Tokens for each shard of the stored model, about.
 MODEL_TOKENS = 128 << 10
 BATCH_BYTES = 2 << 20
-BLOCK_ROWS = 2
+#: Bytes of text in a block, blocks or slices of them in an Arrow batch, and tokens that are scored at once.
+BLOCK_BYTES, BLOCK_ROWS, PIECE = 3 << 19, 1, 1 << 17
 #: Numbers of an n-gram of a shorter order: its count, and as a context its total and its n-grams that count 1, 2, 3 or more.
 NUMBERS = 5
 TABLE = "level int, shard int, block bigint, keys binary, data binary"
@@ -232,19 +233,21 @@ class Scores:
         begin = block.keys[1][block.number[1][block.begins]]
         spot = np.minimum(np.searchsorted(self.known, begin), max(0, len(self.known) - 1))
         fits = self.known[spot] == begin if len(self.known) else np.zeros(len(begin), bool)
-        chosen = fits[doc]
-        at, lang = at[chosen], spot[doc[chosen]]
+        for start in range(0, len(at), PIECE):
+            piece = np.arange(start, min(len(at), start + PIECE))
+            piece = piece[fits[doc[piece]]]
+            out[piece] = np.log10(self._probability(block, numbers, at[piece], spot[doc[piece]]))
+        return out, doc
+
+    def _probability(self, block: Block, numbers: list[np.ndarray | None], at: np.ndarray, lang: np.ndarray) -> np.ndarray:
         c = numbers[1][0][block.number[1][at]]
         p = (c - self.discounts[lang, 1, np.minimum(c, 3)]) / self.total[lang] + self.unknown[lang]
         for m in range(2, self.order + 1):
             c = numbers[m][0][block.number[m][at]]
             total, *kinds = numbers[m - 1][1:, block.number[m - 1][block.before[at]]]
-            d = self.discounts[lang, m]
-            freed = sum(d[:, r] * k for r, k in enumerate(kinds, 1))
-            seen = np.maximum(total, 1)
-            p = np.where(total > 0, (c - self.discounts[lang, m, np.minimum(c, 3)] + freed * p) / seen, p)
-        out[chosen] = np.log10(p)
-        return out, doc
+            freed = sum(self.discounts[lang, m, r] * k for r, k in enumerate(kinds, 1))
+            p = np.where(total > 0, (c - self.discounts[lang, m, np.minimum(c, 3)] + freed * p) / np.maximum(total, 1), p)
+        return p
 
 
 def _scored(docs: DataFrame, model: Model, columns: list[str], text_col: str, lang_col: str, waves: int = WAVES) -> DataFrame:
@@ -291,7 +294,7 @@ def _scored(docs: DataFrame, model: Model, columns: list[str], text_col: str, la
     for wave in range(waves):
         part = plain if waves == 1 else plain.filter(F.pmod(F.xxhash64("text", "carried", F.lit(3)), F.lit(waves)) == wave)
         with rows_a_batch(spark, 1000):
-            made = part.mapInArrow(make_blocks, block_schema(carried))
+            made = part.mapInArrow(lambda batches: make_blocks(batches, BLOCK_BYTES), block_schema(carried))
             with bucketed(made, "kn_blocks", "block") as blocks:
                 tokens = blocks.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
                 bits = max(model.bits, shard_bits(tokens // 2))

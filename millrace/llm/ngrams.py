@@ -87,8 +87,9 @@ def block_schema(carried: str) -> str:
     return f"block bigint, carried array<{carried}>, marks binary, lengths binary, vocabulary binary, tokens binary"
 
 
-def make_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def make_blocks(batches: Iterator[pa.RecordBatch], block_bytes: int | None = None) -> Iterator[pa.RecordBatch]:
     """Blocks from (text, salt, mark, carried). Words, BEGIN and END are told apart by salt as well."""
+    block_bytes = block_bytes or BLOCK_BYTES
     held: list[tuple] = []
     size = made = 0
     partition = TaskContext.get().partitionId()
@@ -112,7 +113,7 @@ def make_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             stream = salted(stream, np.repeat(salt, n + 2))
         held.append((batch.column(3), batch.column(2).to_numpy(zero_copy_only=False), n + 2, stream))
         size += pc.sum(pc.binary_length(batch.column(0))).as_py() or 0
-        if size >= BLOCK_BYTES:
+        if size >= block_bytes:
             yield flush()
             held, size, made = [], 0, made + 1
     if held:
