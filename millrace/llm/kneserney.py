@@ -131,14 +131,20 @@ def _table(levels: dict[int, DataFrame], order: int, bits: int) -> DataFrame:
     """The model, a row for each order and shard."""
 
     def keyed(df: DataFrame, m: int, columns: list[str]) -> DataFrame:
+        """Slices of packed keys and numbers by shard, so that few rows travel."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                first, *rest = (batch.column(c).to_numpy().view(np.uint64) for c in columns)
+                keys, *rest = (batch.column(c).to_numpy().view(np.uint64) for c in columns)
                 for x in rest:
-                    first = pair_keys(first, x)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, m, "<i4")), pa.array(first.view("<i8")), *batch.columns[len(columns) :]], ["level", "key", "c", "total", "n1", "n2", "n3"])
+                    keys = pair_keys(keys, x)
+                by = np.argsort(keys)
+                keys, numbers = keys[by], np.array([c.to_numpy() for c in batch.columns[len(columns) :]])[:, by]
+                edge = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+                cut = [(s, int(a), int(b)) for s, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a]
+                yield sent_rows(-1, m, keys, cut, lambda a, b: pack_ints(numbers[:, a:b].ravel()))  # noqa: B023
 
-        return df.mapInArrow(run, "level int, key bigint, c bigint, total bigint, n1 bigint, n2 bigint, n3 bigint")
+        return df.mapInArrow(run, SENT)
 
     w = [f"w{i}" for i in range(order)]
     none = F.lit(0).cast("bigint")
@@ -150,16 +156,17 @@ def _table(levels: dict[int, DataFrame], order: int, bits: int) -> DataFrame:
             context = counts.groupBy("lang", *own[:-1]).agg(F.sum("c").alias("total"), *[x.alias(f"n{r}") for r, x in enumerate(_by_count(), 1)])
             found = found.union(keyed(context.select(*own[:-1], none.alias("c"), "total", "n1", "n2", "n3"), m - 1, own[:-1]))
         rows = found if rows is None else rows.union(found)
-    rows = rows.withColumn("shard", F.shiftrightunsigned("key", 64 - bits).cast("int"))
-    rows = rows.repartition(partitions(rows.sparkSession), "level", "shard").sortWithinPartitions("level", "shard", "key")
-
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in shard_groups(batches):
-            keys = group["key"].to_numpy().view(np.uint64)
+            keys = np.concatenate([unpack(x) for x in group["keys"].to_pylist()])
+            numbers = np.concatenate([unpack_ints(x).reshape(NUMBERS, -1) for x in group["data"].to_pylist()], axis=1)
+            by = np.argsort(keys)
+            keys = keys[by]
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            numbers = np.array([np.add.reduceat(group[c].to_numpy(), first) for c in ("c", "total", "n1", "n2", "n3")])
+            numbers = np.add.reduceat(numbers[:, by], first, axis=1)
             yield pa.RecordBatch.from_pydict({"level": pa.array([group["level"][0].as_py()], pa.int32()), "shard": pa.array([group["shard"][0].as_py()], pa.int32()), "block": pa.array([-1], pa.int64()), "keys": [pack(keys[first])], "data": [pack_ints(numbers.ravel())]})
 
+    rows = to_shards(rows)
     return written(rows.mapInArrow(store, TABLE), "kn-model", partition_by="level")
 
 

@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 from millrace.llm.common import chunks
 
 MARK = "▁"
-#: Stretches that a worker keeps; then the cache starts anew.
-CACHE = 600_000
+#: Stretches that a worker keeps in each of two turns; a stretch that a turn doesn't use goes.
+CACHE = 200_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -61,6 +61,7 @@ class Vocabulary:
         self.cuts = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
         self.stretch = re.compile(f"{MARK}+[^{MARK}]*") if self.cuts else re.compile("(?s).+")
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.wrong: set[str] = set()
 
     def agenda(self, text: str) -> list[int]:
@@ -104,12 +105,15 @@ class Vocabulary:
     def encode(self, texts: list[str], check: bool = True) -> tuple[list[np.ndarray], list[bool]]:
         """For each text its ids with begin and end, and whether the library agrees on all of its stretches."""
         split = [self.stretch.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        cache = self.cache
-        new = list({s for parts in split for s in parts if s not in cache})
-        if len(cache) + len(new) > CACHE:
-            cache.clear()
-            self.wrong.clear()
-            new = list({s for parts in split for s in parts})
+        new = {s for parts in split for s in parts if s not in self.cache}
+        if len(self.cache) + len(new) > CACHE:
+            # What was used since the last change stays one turn longer.
+            self.old, self.cache = self.cache, {}
+            self.wrong &= self.old.keys()
+            new = {s for parts in split for s in parts}
+        cache, old = self.cache, self.old
+        cache.update((s, old[s]) for s in new if s in old)
+        new = [s for s in new if s not in old]
         for at in range(0, len(new), 10_000):
             chunk = new[at : at + 10_000]
             own = [self.agenda(s) for s in chunk]
@@ -173,7 +177,7 @@ def load(path: str) -> Vocabulary:
 RESULT = "ids array<int>, decoded string, matches_library boolean"
 DIGEST = "n_tokens bigint, ids_sha256 string, decoded_sha256 string, matches_library boolean"
 #: Text that is worked on at once; a longer text is worked on alone.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def _run(path: str, digest: bool, check: bool):
