@@ -36,7 +36,7 @@ from millrace.llm.tokens import pack, pack_ints, unpack, unpack_ints, words
 
 ORDER = 3
 TRAIN_DOCS = 2000
-#: Share of a language's held-out trusted documents whose perplexity is at the threshold or below.
+#: Share of a language's held-out trusted documents whose perplexity is at the threshold or below; the threshold is the least of their perplexities for which it is reached.
 QUANTILE = 0.995
 WAVES = 4
 #: Parts of a language whose first documents are ranked together.
@@ -204,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, orde
     model = Model(order, bits, _table(levels, order, bits), languages)
     dropped(*levels.values())
     held = _scored(trusted.filter("held_out"), model, ["lang"], "text", "lang", waves=1)
-    limits = held.filter("log10_p is not null").groupBy("lang").agg(F.percentile(-F.col("log10_p") / F.col("n_tokens"), F.lit(quantile)).alias("t")).collect()
+    limits = held.filter("log10_p is not null").groupBy("lang").agg(F.expr(f"percentile_disc({float(quantile)!r}) within group (order by -log10_p / n_tokens)").alias("t")).collect()
     model.limits = {lang_key(r.lang): r.t for r in limits}
     model.unjudged = {r.lang: r["count"] for r in trusted.groupBy("lang").count().collect() if lang_key(r.lang) not in model.limits}
     dropped(chosen, trusted, held)

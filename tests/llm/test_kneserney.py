@@ -92,8 +92,7 @@ def test_equals_dictionaries(spark, monkeypatch, order):
         assert got[i].n_tokens == n and got[i].log10_p == pytest.approx(score(lang, t), rel=1e-9)
         assert got[i].perplexity == pytest.approx(10 ** min(300, -score(lang, t) / n), rel=1e-8)
         ranked = sorted(-score(lang, x) / len(Plain.tokens(x)) for x in held[lang])
-        at = KN.QUANTILE * (len(ranked) - 1)
-        limit = ranked[int(at)] + (at - int(at)) * (ranked[min(int(at) + 1, len(ranked) - 1)] - ranked[int(at)])
+        limit = ranked[math.ceil(KN.QUANTILE * len(ranked)) - 1]
         assert got[i].threshold == pytest.approx(10**limit, rel=1e-8) and got[i].kept == (got[i].perplexity <= got[i].threshold)
     assert {x.doc_id for x in KN.accepted(docs, model).collect()} == {i for i, x in got.items() if x.kept}
 
