@@ -3,8 +3,13 @@
 A vector is rotated at random (three rounds of random signs and a fast Hadamard
 transform) and hashed to the nearest of the 2d signed axes; `axes` such hashes
 name its bucket in a table. Multiprobe: a vector also looks into the buckets
-that lie next nearest. Each bucket's vectors are compared in one matrix
-product, in doubles, and only pairs at the threshold or above count.
+that lie next nearest. Only pairs at the threshold or above count, in doubles.
+
+What travels to the buckets is a draft: a byte for each component, the step
+between bytes, and the exact distance from the vector. The drafts of two
+vectors bound their cosine from both sides, which decides most pairs. Vectors
+with an undecided pair in a bucket go there once more, as doubles, to settle
+those pairs. Drafts are hashed too, so every task finds the same buckets.
 
 No pairs leave a bucket. A bucket gives each vector's number of links and a
 star for each connected piece, so its output is as long as the bucket. A pair
@@ -95,24 +100,59 @@ def met(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :1] == b).any(axis=1) | (b[:, :1] == a).any(axis=1)
 
 
+def drafts(u: np.ndarray) -> list[bytes]:
+    """Step and error (floats), then a byte for each component, of unit vectors; the error is rounded up."""
+    step = (np.abs(u).max(axis=1) / 127).astype("<f4")
+    whole = np.clip(np.rint(u / step[:, None].astype(float)), -127, 127)
+    error = np.sqrt(np.square(u - step[:, None].astype(float) * whole).sum(axis=1))
+    heads = np.stack([step, np.nextafter(error.astype("<f4"), np.float32(np.inf))], axis=1).astype("<f4")
+    return [h.tobytes() + c.tobytes() for h, c in zip(heads, whole.astype("i1"), strict=True)]
+
+
+class Drafts:
+    """Drafts read back: whole components as doubles, steps and errors."""
+
+    def __init__(self, raw: list[bytes], dim: int):
+        data = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, dim + 8)
+        heads = np.ascontiguousarray(data[:, :8]).view("<f4").astype(float)
+        self.whole, self.step, self.error = np.ascontiguousarray(data[:, 8:]).view("i1").astype(float), heads[:, 0], heads[:, 1]
+
+    def rows(self, at: np.ndarray) -> Drafts:
+        out = object.__new__(Drafts)
+        out.whole, out.step, out.error = self.whole[at], self.step[at], self.error[at]
+        return out
+
+    def vectors(self) -> np.ndarray:
+        return self.whole * self.step[:, None]
+
+
+#: Room for rounding where drafts decide; pairs this near are settled by doubles.
+ROUNDING = 1e-9
+
+
 def tile_links(hashed: Hash, table: int, stored: tuple, looking: tuple, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, second, none of an earlier bucket) of a tile: pairs at the threshold that are counted here.
+    """(first, second, decided) of a tile: pairs at the threshold, or not ruled out, that are counted here.
 
-    stored and looking: (ids, unit vectors, looks from its own bucket).
+    stored and looking: (ids, Drafts, looks from its own bucket). The products
+    are whole numbers, so a pair gets the same bounds in any company.
     """
-    s_ids, s_x, _ = stored
-    q_ids, q_x, q_own = looking
-    q, s = np.nonzero(q_x @ s_x.T >= threshold)
+    s_ids, s_d, _ = stored
+    q_ids, q_d, q_own = looking
+    cosine = (q_d.whole @ s_d.whole.T) * (q_d.step[:, None] * s_d.step)
+    off = q_d.error[:, None] + s_d.error + 3 * q_d.error[:, None] * s_d.error + ROUNDING
+    q, s = np.nonzero(cosine + off >= threshold)
     # Two vectors of one bucket see each other twice.
     keep = (q_ids[q] != s_ids[s]) & (~q_own[q] | (q_ids[q] < s_ids[s]))
     q, s = q[keep], s[keep]
+    decided = (cosine - off)[q, s] >= threshold
     if not len(q):
-        return q, s
+        return q, s, decided
     rows_q, q_at = np.unique(q, return_inverse=True)
     rows_s, s_at = np.unique(s, return_inverse=True)
+    x_q, x_s = q_d.rows(rows_q).vectors(), s_d.rows(rows_s).vectors()
     fresh = np.ones(len(q), bool)
     for t in range(table + 1):
-        cq, cs = hashed(q_x[rows_q], t), hashed(s_x[rows_s], t)
+        cq, cs = hashed(x_q, t), hashed(x_s, t)
         for at in range(0, len(q), 1 << 18):
             part = slice(at, at + (1 << 18))
             a, b = cq[q_at[part]], cs[s_at[part]]
@@ -122,7 +162,16 @@ def tile_links(hashed: Hash, table: int, stored: tuple, looking: tuple, threshol
                 # In this table both may look into the other's bucket; the smaller id's bucket counts.
                 back = (a[:, :1] == b).any(axis=1) & ~q_own[q[part]]
                 fresh[part] &= ~(back & (q_ids[q[part]] < s_ids[s[part]]))
-    return q[fresh], s[fresh]
+    return q[fresh], s[fresh], decided[fresh]
+
+
+def settled(x_q: np.ndarray, x_s: np.ndarray, q: np.ndarray, s: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs of positions have the cosine, by the unit vectors in doubles."""
+    out = np.zeros(len(q), bool)
+    for at in range(0, len(q), 1 << 14):
+        part = slice(at, at + (1 << 14))
+        out[part] = np.einsum("ij,ij->i", x_q[q[part]], x_s[s[part]]) >= threshold
+    return out
 
 
 def stars(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,17 +200,27 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     Null, zero and non-finite vectors link with nothing and stay. A repeated id
     counts once, with its least vector. A null id gets a row with no links, a
     null component and kept false. Vectors are compared within a dimension.
-    Equal vectors are one class with a count from the start, so copies cost
-    one row however many they are. An empty table gives no rows.
+    Equal vectors, by 128 bits of hash, are one class with a count from the
+    start, so copies cost one row however many they are. An empty table gives no rows.
     """
     spark = vectors.sparkSession
-    sound = written(usable(vectors, id_col, vector_col), "vectors")
-    classes = written(sound.groupBy("dim", "v").agg(F.min("id").alias("rep"), F.count("*").alias("w")), "classes")
+    sound = written(usable(vectors, id_col, vector_col).withColumns({"k1": F.xxhash64("v"), "k2": F.xxhash64(F.lit(1), "v")}), "vectors")
+    distinct = sound.groupBy("dim", "k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("w"), F.min("v").alias("v"))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            for dim in np.unique(dims):
+                part = batch.filter(pa.array(dims == dim))
+                u = unit(part.column("v").flatten().to_numpy().reshape(-1, int(dim)))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(drafts(u), pa.binary())], [*part.schema.names, "draft"])
+
+    classes = written(distinct.mapInArrow(draw, "dim int, k1 bigint, k2 bigint, rep bigint, w bigint, v array<double>, draft binary"), "classes")
     n = classes.count()
     axes = axes or min(3, max(1, math.ceil(math.log(max(1.0, n / BUCKET_ROWS)) / math.log(128))))
     tables, probes = TABLES[axes]
 
-    def hash_rows(with_vectors: bool):
+    def hash_rows(with_drafts: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             made: dict[int, Hash] = {}
             for batch in batches:
@@ -169,22 +228,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
                 for dim in np.unique(dims):
                     hashed = made.setdefault(int(dim), Hash(int(dim), axes, tables, probes))
                     part = batch.filter(pa.array(dims == dim))
-                    x = part.column("v").flatten().to_numpy().reshape(-1, int(dim))
-                    u = unit(x)
-                    raw = pa.array([r.tobytes() for r in x], pa.binary()) if with_vectors else None
+                    x = Drafts(part.column("draft").to_pylist(), int(dim)).vectors()
                     for t in range(tables):
-                        codes = hashed(u, t)
+                        codes = hashed(x, t)
                         for p in range(codes.shape[1]):
                             columns = {"dim": part.column("dim"), "t": np.full(len(x), t, "<i4"), "bucket": codes[:, p], "own": np.full(len(x), p == 0), "id": part.column("rep")}
-                            yield pa.RecordBatch.from_pydict(columns | ({"w": part.column("w"), "v": raw} if with_vectors else {}))
+                            yield pa.RecordBatch.from_pydict(columns | ({"w": part.column("w"), "draft": part.column("draft")} if with_drafts else {}))
 
         return run
 
     key = "dim int, t int, bucket bigint, own boolean, id bigint"
-    source = classes.repartition(partitions(spark))
+    source = classes.select("dim", "rep", "w", "draft").repartition(partitions(spark))
     counts = source.mapInArrow(hash_rows(False), key).groupBy("dim", "t", "bucket").agg(F.sum(F.col("own").cast("int")).alias("s"), F.count("*").alias("q"))
     big = written(counts.filter(F.col("q") > tile).select("dim", "t", "bucket", F.ceil(F.col("s") / tile).cast("int").alias("cs"), F.ceil(F.col("q") / tile).cast("int").alias("cq")), "big-buckets")
-    rows = source.mapInArrow(hash_rows(True), key + ", w bigint, v binary")
+    rows = source.mapInArrow(hash_rows(True), key + ", w bigint, draft binary")
     rows = rows.join(F.broadcast(big) if big.count() <= BROADCAST_BUCKETS else big, ["dim", "t", "bucket"], "left")
     cs, cq = F.greatest(F.col("cs"), F.lit(1)), F.greatest(F.col("cq"), F.lit(1))
     at = lambda role, i, j: F.struct(F.lit(role).alias("role"), i.cast("int").alias("i"), j.cast("int").alias("j"))
@@ -192,45 +249,61 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     as_stored = F.transform(F.sequence(F.lit(0), cq - 1), lambda x: at("s", i, x))
     as_looking = F.transform(F.sequence(F.lit(0), cs - 1), lambda x: at("q", x, j))
     tiles = F.when(F.col("cq").isNull(), F.array(F.when(F.col("own"), at("b", F.lit(0), F.lit(0))).otherwise(at("q", F.lit(0), F.lit(0))))).when(F.col("own"), F.concat(as_stored, as_looking)).otherwise(as_looking)
-    tiled = rows.select("dim", "t", "bucket", "own", "id", "w", "v", F.explode(tiles).alias("at")).select("dim", "t", "bucket", "own", "id", "w", "v", "at.*")
+    tiled = rows.select("dim", "t", "bucket", "own", "id", "w", "draft", F.explode(tiles).alias("at")).select("dim", "t", "bucket", "own", "id", "w", "draft", "at.*")
+    keys = ["dim", "t", "bucket", "i", "j"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links and stars of each tile; without vectors, also the rows that hold an undecided pair."""
         made: dict[int, Hash] = {}
-        out: list[tuple] = []
-        held = 0
-        for group in groups(batches, ["dim", "t", "bucket", "i", "j"]):
+        for group in groups(batches, keys):
             if group.num_rows < 2:
                 continue
             dim = group["dim"][0].as_py()
             hashed = made.setdefault(dim, Hash(dim, axes, tables, probes))
-            x = unit(np.frombuffer(b"".join(group["v"].to_pylist()), "<f8").reshape(-1, dim))
+            whole = Drafts(group["draft"].to_pylist(), dim)
             ids, w, own = group["id"].to_numpy(), group["w"].to_numpy(), group["own"].to_numpy()
             role = group["role"].to_numpy()
             s, q = np.flatnonzero(role != "q"), np.flatnonzero(role != "s")
             if not len(s) or not len(q):
                 continue
-            a, b = tile_links(hashed, group["t"][0].as_py(), (ids[s], x[s], own[s]), (ids[q], x[q], own[q]), threshold)
+            a, b, decided = tile_links(hashed, group["t"][0].as_py(), (ids[s], whole.rows(s), own[s]), (ids[q], whole.rows(q), own[q]), threshold)
+            a, b = q[a], s[b]
+            if "v" in group.column_names:
+                x = unit(group["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim))
+                a, b = a[~decided], b[~decided]
+                near = settled(x, x, a, b, threshold)
+                a, b = a[near], b[near]
+            elif len(a):
+                open_rows = np.unique(np.concatenate([a[~decided], b[~decided]]))
+                if len(open_rows):
+                    yield shaped(group.select([*keys, "role", "own", "id"]).take(open_rows), len(open_rows))
+                a, b = a[decided], b[decided]
             if len(a):
-                a, b = q[a], s[b]
                 n_links = np.bincount(a, w[b], len(ids)) + np.bincount(b, w[a], len(ids))
                 linked = np.flatnonzero(n_links)
                 node, root = stars(ids, a, b)
-                out.append((ids[linked], np.full(len(linked), -1), n_links[linked].astype("<i8"), np.zeros(len(linked), bool)))
-                out.append((node, root, np.zeros(len(node), "<i8"), np.ones(len(node), bool)))
-                held += len(linked) + len(node)
-            if held > 20_000:
-                yield pa.RecordBatch.from_pydict(dict(zip(("a", "b", "n", "edge"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
-                out, held = [], 0
-        if out:
-            yield pa.RecordBatch.from_pydict(dict(zip(("a", "b", "n", "edge"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+                yield shaped({"id": ids[linked], "n": n_links[linked].astype("<i8")}, len(linked))
+                yield shaped({"id": node, "root": root}, len(node))
 
-    keys = ["dim", "t", "bucket", "i", "j"]
-    dealt = tiled.repartition(partitions(spark), *keys).sortWithinPartitions(*keys)
-    found = written(dealt.mapInArrow(compare, "a bigint, b bigint, n bigint, edge boolean"), "links")
-    links = found.filter("not edge").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    reached = components(found.filter("edge").select("a", "b")).select(F.col("node").alias("rep"), "component")
-    result = classes.join(links, "rep", "left").join(reached, "rep", "left")
-    result = sound.join(result, ["dim", "v"]).select("id", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n"), F.coalesce("component", "rep").alias("component"))
+    found_columns = pa.schema([("dim", pa.int32()), ("t", pa.int32()), ("bucket", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("role", pa.string()), ("own", pa.bool_()), ("id", pa.int64()), ("n", pa.int64()), ("root", pa.int64())])
+
+    def shaped(columns: pa.Table | dict, n: int) -> pa.RecordBatch:
+        """The columns, with nulls for the rest: links have n, edges a root, undecided rows a role."""
+        have = {c: columns[c].combine_chunks() for c in columns.column_names} if isinstance(columns, pa.Table) else columns
+        return pa.RecordBatch.from_arrays([pa.array(have[f.name], f.type) if f.name in have else pa.nulls(n, f.type) for f in found_columns], schema=found_columns)
+
+    def compared(rows: DataFrame, name: str) -> DataFrame:
+        dealt = rows.repartition(partitions(spark), *keys).sortWithinPartitions(*keys)
+        return written(dealt.mapInArrow(compare, "dim int, t int, bucket bigint, i int, j int, role string, own boolean, id bigint, n bigint, root bigint"), name)
+
+    first = compared(tiled, "links")
+    undecided = first.filter("role is not null").select(*keys, "role", "own", "id")
+    second = compared(undecided.join(classes.select(F.col("rep").alias("id"), "w", "v", "draft"), "id"), "settled-links")
+    found = first.union(second)
+    links = found.filter("n is not null").groupBy(F.col("id").alias("rep")).agg(F.sum("n").alias("n"))
+    reached = components(found.filter("root is not null").select(F.col("id").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("rep"), "component")
+    result = classes.select("dim", "k1", "k2", "rep", "w").join(links, "rep", "left").join(reached, "rep", "left")
+    result = sound.select("id", "dim", "k1", "k2").join(result, ["dim", "k1", "k2"]).select("id", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n"), F.coalesce("component", "rep").alias("component"))
     ids = vectors.select(F.col(id_col).cast("bigint").alias("vec_id")).distinct()
     full = ids.join(result, ids["vec_id"] == result["id"], "left")
     component = F.coalesce("component", "vec_id")
