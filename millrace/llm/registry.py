@@ -19,7 +19,7 @@ QUERIES = {
     "op10_sharding": q_sharding.op10_sharding,
 }
 
-ORACLE_SQL = {"op2_mixing": q_mixing.SQL, "op3_katz": q_katz.SQL, "op5_crosspolytope": q_crosspolytope.SQL, "op8_vptree": q_vptree.SQL, "op10_sharding": q_sharding.SQL}
+ORACLE_SQL = {"op2_mixing": q_mixing.SQL, "op3_katz": q_katz.SQL, "op5_crosspolytope": q_crosspolytope.SQL, "op8_vptree": q_vptree.SQL, "op9_suffixdedup": q_suffixdedup.SQL, "op10_sharding": q_sharding.SQL}
 
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
