@@ -58,24 +58,34 @@ def rebalance(slot_map: DataFrame, sizes: DataFrame, n_shards: int) -> DataFrame
     slot goes to the shard whose gap holds the middle of the slot's stretch.
     Slots without rows stay. A slot larger than the mean stays alone in its
     shard: a slot is the unit that moves.
+
+    One shard's stretch is counted in units of 1 / (2 n_shards) bytes, so all
+    sums are whole numbers.
     """
+    everything = Window.partitionBy(F.lit(0))
     held = slot_map.join(F.broadcast(sizes.select("slot", "bytes")), "slot", "left").withColumn("bytes", F.coalesce("bytes", F.lit(0)))
-    held = held.withColumn("mean", F.sum("bytes").over(Window.partitionBy(F.lit(0))) / n_shards)
     in_shard = Window.partitionBy("shard").orderBy(F.desc("bytes"), "slot")
-    held = held.withColumn("run", F.sum("bytes").over(in_shard.rowsBetween(Window.unboundedPreceding, 0))).withColumn("first", F.row_number().over(in_shard) == 1)
-    held = held.withColumn("stays", F.col("first") | (F.col("bytes") == 0) | (F.col("run") <= F.col("mean")))
-    loads = held.groupBy("shard").agg(F.first("mean").alias("mean"), F.sum(F.when(F.col("stays"), F.col("bytes")).otherwise(0)).alias("load"))
-    across = Window.partitionBy(F.lit(0)).orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
-    gaps = loads.withColumn("gap", F.col("mean") - F.col("load")).filter("gap > 0").withColumn("upto", F.sum("gap").over(across))
-    gaps = gaps.select(F.col("shard").alias("to"), (F.col("upto") - F.col("gap")).alias("lo"), F.col("upto").alias("hi"))
-    movers = held.filter("not stays").withColumn("mid", F.sum("bytes").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("bytes"), "slot").rowsBetween(Window.unboundedPreceding, 0)) - F.col("bytes") / 2)
-    moved = movers.join(F.broadcast(gaps), (F.col("mid") >= F.col("lo")) & (F.col("mid") < F.col("hi")), "left").select("slot", "to")
-    return held.join(F.broadcast(moved), "slot", "left").select((F.col("version") + 1).alias("version"), "slot", F.coalesce("to", "shard").alias("shard"))
+    held = held.withColumn("total", F.sum("bytes").over(everything)).withColumn("run", F.sum("bytes").over(in_shard.rowsBetween(Window.unboundedPreceding, 0))).withColumn("place", F.row_number().over(in_shard))
+    held = held.withColumn("stays", (F.col("place") == 1) | (F.col("bytes") == 0) | (F.col("run") * n_shards <= F.col("total")))
+    movers = held.filter("not stays").withColumn("upto", F.sum("bytes").over(everything.orderBy(F.desc("bytes"), "slot").rowsBetween(Window.unboundedPreceding, 0)))
+    loads = held.groupBy("shard").agg(F.first("total").alias("total"), F.sum(F.when(F.col("stays"), F.col("bytes")).otherwise(0)).alias("load"))
+    shards = slot_map.sparkSession.range(0, n_shards, 1, 1).select(F.col("id").cast("int").alias("shard"))
+    loads = shards.join(loads, "shard", "left").select("shard", (F.coalesce("total", F.max("total").over(everything)) - F.coalesce("load", F.lit(0)) * n_shards).alias("gap"))
+    gaps = loads.filter("gap > 0").withColumn("upto", F.sum("gap").over(everything.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)))
+    # A gap's beginning and a slot's middle on one line: the last gap begun takes the slot.
+    line = gaps.select(((F.col("upto") - F.col("gap")) * 2).alias("at"), F.lit(None).cast("bigint").alias("slot"), F.col("shard").alias("to"))
+    line = line.union(movers.select(((F.col("upto") * 2 - F.col("bytes")) * n_shards).alias("at"), "slot", F.lit(None).cast("int").alias("to")))
+    begun = everything.orderBy("at", F.col("slot").isNotNull(), "slot").rowsBetween(Window.unboundedPreceding, 0)
+    moved = line.withColumn("to", F.last("to", ignorenulls=True).over(begun)).filter("slot is not null").select("slot", "to")
+    return held.join(F.broadcast(moved), "slot", "left").select((F.col("version") + 1).alias("version"), "slot", F.coalesce("to", "shard").cast("int").alias("shard"))
 
 
 def save_map(slot_map: DataFrame, path: str) -> None:
-    """Store a version beside the earlier ones; a stored version is never changed."""
-    slot_map.coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+    """Store a version beside the earlier ones; a stored version is never changed, and storing it again is an error."""
+    versions = [r.version for r in slot_map.select("version").distinct().limit(2).collect()]
+    if len(versions) != 1:
+        raise ValueError("a map to store has one version")
+    slot_map.drop("version").coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={versions[0]}")
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:

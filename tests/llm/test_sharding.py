@@ -1,6 +1,8 @@
 import zlib
 from collections import Counter
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from millrace.llm import sharding as S
@@ -22,6 +24,11 @@ def test_query_against_its_law(spark):
         slots = sorted(r.slot for r in rows if r.shard == shard)
         assert slots == list(range(len(slots)))
     assert any(r.grown_shard == 24 for r in rows)
+    assert len({(r.virtual_slot, r.balanced_shard) for r in rows}) == len({r.virtual_slot for r in rows})
+    load = lambda name: Counter({s: sum(r.size for r in rows if r[name] == s) for s in range(25)})
+    largest = max(Counter({v: sum(r.size for r in rows if r.virtual_slot == v) for v in {r.virtual_slot for r in rows}}).values())
+    mean = sum(r.size for r in rows) / 25
+    assert max(load("balanced_shard").values()) <= mean + largest < max(load("grown_shard").values()) + largest
 
 
 def test_key_and_count_decide(spark):
@@ -36,6 +43,9 @@ def test_growing_evenly_and_versions(spark):
     S.save_map(S.grow(S.load_map(spark, path), 4, 64), path)
     first, second = ({r.slot: r.shard for r in S.load_map(spark, path, v).collect()} for v in (1, 2))
     assert {r.version for r in S.load_map(spark, path).collect()} == {2}
+    with pytest.raises(AnalysisException):
+        S.save_map(S.first_map(spark, 4, 64), path)
+    assert S.load_map(spark, path, 1).count() == 64
     assert all(b in (first[s], 4) for s, b in second.items())
     assert sorted(Counter(second.values()).values()) == [12, 13, 13, 13, 13]
 
@@ -46,6 +56,8 @@ def test_rebalancing_moves_bytes_off_full_shards(spark):
     skewed = S.first_map(spark, 4, 256).withColumn("shard", F.when(F.col("slot") < 200, 0).otherwise(F.col("shard")).cast("int"))
     load = lambda m: [r[0] for r in m.join(sizes, "slot").groupBy("shard").agg(F.sum("bytes")).select("sum(bytes)").collect()]
     before, after = load(skewed), load(S.rebalance(skewed, sizes, 4))
+    one = S.rebalance(skewed.withColumn("shard", F.lit(0)), sizes, 4)
+    assert one.count() == 256 and sorted(r.shard for r in one.select("shard").distinct().collect()) == [0, 1, 2, 3]
     assert sum(before) == sum(after) and max(after) < 1.1 * sum(after) / 4 < max(before)
 
 
