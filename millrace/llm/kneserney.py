@@ -1,27 +1,35 @@
 """Quality by an interpolated modified Kneser-Ney model of trusted text, one for each language.
 
-Training takes at most `train_docs` trusted documents of each language, in order
-of the hash of their id. Counts are partial aggregates over n-grams. The longest
-order has plain counts; a shorter n-gram counts the different words before it,
-except after a beginning, before which nothing stands: there counts stay plain.
-The model is a table by order and shard of the key space: an n-gram's count and,
-as a context, its total and how many n-grams after it count one, two, and three
-or more. Only discounts, a few numbers for each language, reach the driver.
-
-Scoring joins counts shard by shard (see ngrams): blocks of documents send their
-n-grams' keys, a shard's part of the model answers with whole numbers, and each
-block makes its tokens' probabilities from the shortest order to the longest.
+Training takes all trusted documents of each language (`train_docs` bounds them,
+in order of the hash of their id, where a caller asks for it). The longest order
+has plain counts; a shorter n-gram counts the different words before it, except
+after a beginning, before which nothing stands: there counts stay plain. The
+model is a table by order and shard of the key space: an n-gram's count and, as
+a context, its total and how many n-grams after it count one, two, and three or
+more. Only discounts, a few numbers for each language, reach the driver.
+
+Orders are counted from the longest down (see ngrams). Blocks of documents send
+their n-grams' numbers; a shard adds them up, stores its part of the model, and
+answers with the count of each n-gram to the first block that sent it. So each
+n-gram is told of by one block, which adds it to the n-gram without its first
+word and to the context without its last when the next order is sent.
+
+Scoring joins counts shard by shard: blocks of documents send their n-grams'
+keys, a shard's part of the model answers with whole numbers, and each block
+makes its tokens' probabilities from the shortest order to the longest.
 Documents go in WAVES by hash, so that one wave's keys are on the way at a time.
 Languages never meet: words are told apart by language as well.
 
-Every fifth drawn document of a language sets its threshold instead of training:
-the quantile of their perplexities. A language with fewer than five trusted
-documents has no threshold; `Model.unjudged` names those with some.
+Every fifth trusted document of a language, in order of the hash of its id, sets
+its threshold instead of training: the quantile of all their perplexities. A
+language with fewer than five trusted documents has no threshold;
+`Model.unjudged` names those with some.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,25 +38,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import bucketed, chunks, dropped, fresh, partitions, release, rows_a_batch, small, written
-from millrace.llm.ngrams import ANSWER, BEGIN, END, SENT, Block, block_schema, make_blocks, pair_keys, rows_of, salted, sent_rows, shard_bits, shard_groups, to_shards, with_answers
-from millrace.llm.tokens import pack, pack_ints, unpack, unpack_ints, words
+from millrace.llm.common import bucketed, dropped, fresh, release, rows_a_batch, small, written
+from millrace.llm.mixing import offsets
+from millrace.llm.ngrams import ANSWER, BEGIN, SENT, Block, block_schema, joined, make_blocks, rows_of, salted, sent_rows, shard_bits, shard_groups, to_shards, with_answers
+from millrace.llm.tokens import pack, pack_ints, unpack, unpack_ints
 
 ORDER = 3
-TRAIN_DOCS = 2000
 #: Share of a language's held-out trusted documents whose perplexity is at the threshold or below; the threshold is the least of their perplexities for which it is reached.
 QUANTILE = 0.995
 WAVES = 4
-#: Parts of a language whose first documents are ranked together.
-RANKED = 16
-#: Tokens for each shard of the stored model, about.
-MODEL_TOKENS = 128 << 10
-BATCH_BYTES = 2 << 20
+#: Trusted documents that are ranked together, about.
+RANKED = 2000
+#: Training tokens for each shard of the stored model, about.
+MODEL_TOKENS = 512 << 10
 #: Bytes of text in a block, blocks or slices of them in an Arrow batch, and tokens that are scored at once.
 BLOCK_BYTES, BLOCK_ROWS, PIECE = 3 << 19, 1, 1 << 17
 #: Numbers of an n-gram of a shorter order: its count, and as a context its total and its n-grams that count 1, 2, 3 or more.
 NUMBERS = 5
 TABLE = "level int, shard int, block bigint, keys binary, data binary"
+COUNTED = "role string, " + TABLE
+STATS = "lang bigint, level int, n1 bigint, n2 bigint, n3 bigint, n4 bigint, total bigint, kinds bigint"
 
 
 def lang_salt(lang: str | None) -> int:
@@ -97,117 +106,154 @@ def kn_discounts(n: list[int]) -> list[float]:
     return out
 
 
-def _token_grams(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
-    """(lang, w0 .. w(order-1)): a row for each word and end of (text, salt), after the words or beginnings before it."""
-    for batch in (part for whole in batches if whole.num_rows for part in chunks(whole, 0, BATCH_BYTES)):
-        hashes, offsets = words(batch.column(0))
-        n = np.diff(offsets)
-        doc = np.repeat(np.arange(len(n)), n + 1)
-        place = np.arange(len(doc)) - (offsets[:-1] + np.arange(len(n)))[doc]
-        token = np.full(len(doc), END, np.uint64)
-        token[place < n[doc]] = hashes
-        salt = batch.column(1).to_numpy().view(np.uint64)[doc]
-        token, begin = salted(token, salt), salted(np.full(len(doc), BEGIN), salt)
-        columns = [np.where(place >= back, np.roll(token, back), begin) for back in range(order - 1, -1, -1)]
-        yield pa.RecordBatch.from_pydict({"lang": begin.view("<i8")} | {f"w{i}": c.view("<i8") for i, c in enumerate(columns)})
-
-
-def _counts(tokens: DataFrame, order: int) -> dict[int, DataFrame]:
-    """For each order (lang, w.., c): plain counts of the longest, counts of different words before it of a shorter n-gram, plain ones after a beginning."""
-    w = [f"w{i}" for i in range(order)]
-    levels = {order: written(tokens.groupBy("lang", *w).agg(F.count("*").alias("c")), "kn-counts")}
-    for m in range(order - 1, 0, -1):
-        own = w[order - m :]
-        c = F.sum(F.when(F.col(own[0]) == F.col("lang"), F.col("c")).otherwise(1))
-        levels[m] = written(levels[m + 1].groupBy("lang", *own).agg(c.alias("c")), "kn-counts")
-    return levels
-
-
-def _by_count(c: str = "c") -> list:
-    return [F.count(F.when(F.col(c) == 1, 1)), F.count(F.when(F.col(c) == 2, 1)), F.count(F.when(F.col(c) >= 3, 1))]
-
-
-def _table(levels: dict[int, DataFrame], order: int, bits: int) -> DataFrame:
-    """The model, a row for each order and shard."""
-
-    def keyed(df: DataFrame, m: int, columns: list[str]) -> DataFrame:
-        """Slices of packed keys and numbers by shard, so that few rows travel."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keys, *rest = (batch.column(c).to_numpy().view(np.uint64) for c in columns)
-                for x in rest:
-                    keys = pair_keys(keys, x)
-                by = np.argsort(keys)
-                keys, numbers = keys[by], np.array([c.to_numpy() for c in batch.columns[len(columns) :]])[:, by]
-                edge = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-                cut = [(s, int(a), int(b)) for s, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a]
-                yield sent_rows(-1, m, keys, cut, lambda a, b: pack_ints(numbers[:, a:b].ravel()))  # noqa: B023
-
-        return df.mapInArrow(run, SENT)
-
-    w = [f"w{i}" for i in range(order)]
-    none = F.lit(0).cast("bigint")
-    rows = None
-    for m, counts in levels.items():
-        own = w[order - m :]
-        found = keyed(counts.select(*own, "c", *[none.alias(x) for x in ("total", "n1", "n2", "n3")]), m, own)
-        if m > 1:
-            context = counts.groupBy("lang", *own[:-1]).agg(F.sum("c").alias("total"), *[x.alias(f"n{r}") for r, x in enumerate(_by_count(), 1)])
-            found = found.union(keyed(context.select(*own[:-1], none.alias("c"), "total", "n1", "n2", "n3"), m - 1, own[:-1]))
-        rows = found if rows is None else rows.union(found)
-    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in shard_groups(batches):
-            keys = np.concatenate([unpack(x) for x in group["keys"].to_pylist()])
-            numbers = np.concatenate([unpack_ints(x).reshape(NUMBERS, -1) for x in group["data"].to_pylist()], axis=1)
-            by = np.argsort(keys)
-            keys = keys[by]
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            numbers = np.add.reduceat(numbers[:, by], first, axis=1)
-            yield pa.RecordBatch.from_pydict({"level": pa.array([group["level"][0].as_py()], pa.int32()), "shard": pa.array([group["shard"][0].as_py()], pa.int32()), "block": pa.array([-1], pa.int64()), "keys": [pack(keys[first])], "data": [pack_ints(numbers.ravel())]})
+def _told(block: Block, answers: list[dict], m: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a place, the count) of each n-gram of order m that this block tells of."""
+    c = joined(answers, m)
+    own = np.flatnonzero(c)
+    place = block.place[m]
+    if m == 1:
+        place = np.zeros(len(c), "<i8")
+        place[block.number[1]] = np.arange(len(block.number[1]))
+    return place[own], c[own]
+
 
-    rows = to_shards(rows)
-    return written(rows.mapInArrow(store, TABLE), "kn-model", partition_by="level")
+def _numbers(block: Block, answers: list[dict] | None, m: int, order: int) -> np.ndarray:
+    """A column for each n-gram of order m: of the longest its plain count here, of a shorter one NUMBERS from the longer ones that this block tells of."""
+    n = len(block.keys[m])
+    if m == order:
+        return np.bincount(block.number[m][block.real], minlength=n).reshape(1, -1)
+    place, c = _told(block, answers, m + 1)
+    starts = place - block.begins[block.doc[place]] < m  # its first word is a beginning
+    context = block.number[m][block.before[place]]
+    rows = [np.bincount(block.number[m][place], np.where(starts, c, 1), n), np.bincount(context, c, n)]
+    return np.array([*rows, *[np.bincount(context[np.minimum(c, 3) == r], minlength=n) for r in (1, 2, 3)]]).astype("<i8")
 
 
-def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> Model:
+def _add_up(order: int):
+    """Of a shard: its part of the model, and to each block for each of its keys the count where that block is the first to have it, else 0."""
+
+    def row(role: str, level: int, shard: int, block: int, keys: bytes | None, data: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"role": [role], "level": pa.array([level], pa.int32()), "shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int64()), "keys": pa.array([keys], pa.binary()), "data": pa.array([data], pa.binary())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in shard_groups(batches):
+            level, shard = group["level"][0].as_py(), group["shard"][0].as_py()
+            parts = [unpack(x) for x in group["keys"].to_pylist()]
+            ends = np.cumsum([len(p) for p in parts])
+            keys = np.concatenate(parts)
+            sent = np.concatenate([unpack_ints(x).reshape(-1, len(p)) for x, p in zip(group["data"].to_pylist(), parts, strict=True)], axis=1)
+            by = np.argsort(keys, kind="stable")
+            keys = keys[by]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            sums = np.add.reduceat(sent[:, by], first, axis=1)
+            answer = np.zeros(len(keys), "<i8")
+            answer[by[first]] = sums[0]
+            real = sums.any(axis=0)
+            if real.any():
+                numbers = np.zeros((NUMBERS, int(real.sum())), "<i8")
+                numbers[: len(sums)] = sums[:, real]
+                yield row("model", level, shard, -1, pack(keys[first][real]), pack_ints(numbers.ravel()))
+            for block, a, b in zip(group["block"].to_pylist(), np.append(0, ends[:-1]), ends, strict=True):
+                yield row("answer", level, shard, block, None, pack_ints(answer[a:b]))
+
+    return run
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for row in rows_of(batches):
+        yield pa.RecordBatch.from_pydict({"n": [int(unpack_ints(row["lengths"]).sum())]})
+
+
+def _counted(texts: DataFrame, order: int) -> Model:
+    """The model of (text, lang), counted from the longest order down; it has no limits yet."""
+    spark = texts.sparkSession
+    plain = _salted(texts, "text", "lang", F.lit(False).alias("mark"), F.struct(F.lit(None).cast("int").alias("none")).alias("carried"))
+    columns = ["block", "marks", "lengths", "vocabulary", "tokens"]
+    with rows_a_batch(spark, 1000):
+        made = plain.mapInArrow(lambda batches: make_blocks(batches, BLOCK_BYTES), block_schema("struct<none:int>"))
+        with bucketed(made, "kn_blocks", "block") as blocks, rows_a_batch(spark, BLOCK_ROWS):
+            bits = shard_bits(blocks.select("lengths").mapInArrow(_sizes, "n bigint").agg(F.sum("n")).first()[0] or 0, MODEL_TOKENS)
+
+            def sending(m: int):
+                def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                    for row in rows_of(batches):
+                        block = Block(row, min(order, m + 1))
+                        numbers = _numbers(block, row.get("answers"), m, order)
+                        yield sent_rows(row["block"], m, block.keys[m], block.slices(m, bits), lambda a, b: pack_ints(numbers[:, a:b].ravel()))  # noqa: B023
+
+                return send
+
+            def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for row in rows_of(batches):
+                    block = Block(row, order)
+                    for m in range(1, order + 1):
+                        place, c = _told(block, row["answers"], m)
+                        langs, lang = np.unique(block.keys[1][block.number[1][block.begins[block.doc[place]]]], return_inverse=True)
+                        kinds = [np.bincount(lang[c == r], minlength=len(langs)) for r in (1, 2, 3, 4)]
+                        found = [*kinds, np.bincount(lang, c, len(langs)).astype("<i8"), np.bincount(lang, minlength=len(langs))]
+                        names = ["n1", "n2", "n3", "n4", "total", "kinds"]
+                        yield pa.RecordBatch.from_pydict({"lang": langs.view("<i8"), "level": pa.array([m] * len(langs), pa.int32())} | dict(zip(names, found, strict=True)))
+
+            tables: dict[int, DataFrame] = {}
+            answer = lambda m: tables[m].filter("role = 'answer'").select("level", "shard", "block", "data")
+            for m in range(order, 0, -1):
+                source = blocks.select(*columns) if m == order else with_answers(blocks.select(*columns), answer(m + 1))
+                sent = source.mapInArrow(sending(m), SENT)
+                tables[m] = written(to_shards(sent).mapInArrow(_add_up(order), COUNTED), "kn-counts", partition_by="role")
+                del source, sent
+                release(spark)
+            every, rows = answer(1), tables[1]
+            for m in range(2, order + 1):
+                every, rows = every.union(answer(m)), rows.union(tables[m])
+            stats = with_answers(blocks.select(*columns), every).mapInArrow(count, STATS).groupBy("lang", "level")
+            stats = stats.agg(*[F.sum(c).alias(c) for c in ("n1", "n2", "n3", "n4", "total", "kinds")]).collect()
+            table = written(rows.filter("role = 'model'").select("level", "shard", "block", "keys", "data"), "kn-model", partition_by="level")
+            del every, rows
+    dropped(*tables.values())
+    numbers: dict[int, dict[int, tuple]] = {}
+    for r in stats:
+        numbers.setdefault(r.lang % (1 << 64), {})[r.level] = r
+    four = lambda r: [r.n1, r.n2, r.n3, r.n4]
+    languages = {k: Language([[0.0] * 3, *[kn_discounts(four(by[m])) for m in range(1, order + 1)]], by[1].total, by[1].kinds, [by[1].n1, by[1].n2, by[1].kinds - by[1].n1 - by[1].n2]) for k, by in numbers.items()}
+    return Model(order, bits, table, languages)
+
+
+def _ranked(ids: DataFrame) -> DataFrame:
+    """(_id, _lang, _rank) from different (_id, _lang): places in a language by hash of the id, from 1. Only ids that share a hash's first digits are sorted together."""
+    ids = written(ids.withColumn("_key", F.md5(F.col("_id").cast("string"))), "trusted-ids")
+    digits = max(1, math.ceil(math.log(max(1, ids.count() / RANKED), 16)))
+    named = ids.withColumn("_place", F.coalesce(F.concat(F.lit("="), F.col("_lang")), F.lit(""))).withColumn("_range", F.substring("_key", 1, digits))
+    cells = written(named.groupBy("_place", "_range").agg(F.count("*").alias("_cell")), "trusted-ranges")
+    inside = F.row_number().over(Window.partitionBy("_place", "_range").orderBy("_key", "_id"))
+    ranked = named.withColumn("_in", inside).join(offsets(cells, digits), ["_place", "_range"])
+    ranked = written(ranked.select("_id", "_lang", (F.col("_offset") + F.col("_in")).alias("_rank")), "trusted-ranks")
+    dropped(ids, cells)
+    return ranked
+
+
+def train(docs: DataFrame, labels: DataFrame, train_docs: int | None = None, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> Model:
     """The models of all languages with trusted documents (quality 1).
 
     Null texts, null ids and labels without a document train nothing; a null
-    language is one of its own. Repeated rows of a drawn id all train. Very long
-    texts train whole. Documents that tie for the last place go by id. Empty
-    tables give a model that keeps everything. Other columns are never read.
+    language is one of its own. Repeated rows of an id all train. Very long
+    texts train whole. With `train_docs`, only that many documents of a language
+    are drawn, those that tie for the last place by id. Empty tables give a model
+    that keeps everything. Other columns are never read.
     """
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_good")).distinct()
     found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("_lang")).filter("text is not null")
     there = found.join(good, found["_id"] == good["_good"]).select("_id", "_lang").distinct()
-    there = there.withColumn("_m", F.md5(F.col("_id").cast("string")))
-    # First within many parts of a language, then within ever fewer, so that no task ranks more than RANKED parts' firsts.
-    parts = partitions(docs.sparkSession)
-    while parts:
-        there = there.withColumn("_deal", F.pmod(F.xxhash64("_id"), F.lit(parts)))
-        there = there.withColumn("_rank", F.row_number().over(Window.partitionBy("_lang", "_deal").orderBy("_m", "_id"))).filter(F.col("_rank") <= train_docs)
-        parts = 0 if parts == 1 else -(-parts // RANKED)
-    chosen = written(there.select(F.col("_id").alias("_chosen"), F.col("_lang").alias("_l"), "_rank"), "trusted-ids")
+    ranks = _ranked(there)
+    drawn = ranks if train_docs is None else ranks.filter(F.col("_rank") <= train_docs)
+    chosen = drawn.select(F.col("_id").alias("_chosen"), F.col("_lang").alias("_l"), "_rank")
     trusted = found.join(small(chosen), (F.col("_id") == F.col("_chosen")) & F.col("_lang").eqNullSafe(F.col("_l")))
     trusted = written(trusted.select("text", F.col("_lang").alias("lang"), (F.col("_rank") % 5 == 0).alias("held_out")), "trusted")
-    source = _salted(trusted.filter("not held_out"), "text", "lang").repartition(partitions(docs.sparkSession))
-    schema = "lang bigint, " + ", ".join(f"w{i} bigint" for i in range(order))
-    levels = _counts(source.mapInArrow(lambda batches: _token_grams(batches, order), schema), order)
-    numbers: dict[int, dict[int, tuple]] = {}
-    for m, counts in levels.items():
-        four = [F.count(F.when(F.col("c") == r, 1)) for r in (1, 2, 3, 4)]
-        for r in counts.groupBy("lang").agg(F.array(*four).alias("n"), F.sum("c").alias("total"), F.count("*").alias("kinds"), F.array(*_by_count()).alias("by")).collect():
-            numbers.setdefault(r.lang % (1 << 64), {})[m] = r
-    languages = {k: Language([[0.0] * 3, *[kn_discounts(by[m].n) for m in range(1, order + 1)]], by[1].total, by[1].kinds, by[1].by) for k, by in numbers.items()}
-    bits = shard_bits(sum(by[order].total for by in numbers.values()), MODEL_TOKENS)
-    model = Model(order, bits, _table(levels, order, bits), languages)
-    dropped(*levels.values())
+    model = _counted(trusted.filter("not held_out").select("text", "lang"), order)
     held = _scored(trusted.filter("held_out"), model, ["lang"], "text", "lang", waves=1)
     limits = held.filter("log10_p is not null").groupBy("lang").agg(F.expr(f"percentile_disc({float(quantile)!r}) within group (order by -log10_p / n_tokens)").alias("t")).collect()
     model.limits = {lang_key(r.lang): r.t for r in limits}
     model.unjudged = {r.lang: r["count"] for r in trusted.groupBy("lang").count().collect() if lang_key(r.lang) not in model.limits}
-    dropped(chosen, trusted, held)
+    dropped(ranks, trusted, held)
     return model
 
 
