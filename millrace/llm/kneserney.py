@@ -17,7 +17,8 @@ word and to the context without its last when the next order is sent.
 Scoring joins counts shard by shard: blocks of documents send their n-grams'
 keys, a shard's part of the model answers with whole numbers, and each block
 makes its tokens' probabilities from the shortest order to the longest.
-Documents go in WAVES by hash, so that one wave's keys are on the way at a time.
+Documents go in WAVES by hash, the longest order apart from the others, so that
+one wave's keys of one order and that order's model are on the way at a time.
 Languages never meet: words are told apart by language as well.
 
 Every fifth trusted document of a language, in order of the hash of its id, sets
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import bucketed, dropped, fresh, release, rows_a_batch, small, written
+from millrace.llm.common import _delete, bucketed, dropped, fresh, release, rows_a_batch, small, written
 from millrace.llm.mixing import offsets
 from millrace.llm.ngrams import ANSWER, BEGIN, SENT, Block, block_schema, joined, make_blocks, rows_of, salted, sent_rows, shard_bits, shard_groups, to_shards, with_answers
 from millrace.llm.tokens import pack, pack_ints, unpack, unpack_ints
@@ -46,7 +47,7 @@ from millrace.llm.tokens import pack, pack_ints, unpack, unpack_ints
 ORDER = 3
 #: Share of a language's held-out trusted documents whose perplexity is at the threshold or below; the threshold is the least of their perplexities for which it is reached.
 QUANTILE = 0.995
-WAVES = 4
+WAVES = 6
 #: Trusted documents that are ranked together, about.
 RANKED = 2000
 #: Training tokens for each shard of the stored model, about.
@@ -82,11 +83,11 @@ class Language:
 
 @dataclass
 class Model:
-    """The stored table, cut by the keys' leading `bits`, and each language's numbers by lang_key()."""
+    """The stored table of each order, cut by the keys' leading `bits`, and each language's numbers by lang_key()."""
 
     order: int
     bits: int
-    table: DataFrame
+    tables: dict[int, DataFrame]
     languages: dict[int, Language]
     #: Highest log10 perplexity that is kept.
     limits: dict[int, float] = field(default_factory=dict)
@@ -94,7 +95,7 @@ class Model:
     unjudged: dict[str | None, int] = field(default_factory=dict)
 
     def drop(self) -> None:
-        dropped(self.table)
+        dropped(*self.tables.values())
 
 
 def kn_discounts(n: list[int]) -> list[float]:
@@ -164,14 +165,15 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"n": [int(unpack_ints(row["lengths"]).sum())]})
 
 
-def _counted(texts: DataFrame, order: int) -> Model:
-    """The model of (text, lang), counted from the longest order down; it has no limits yet."""
-    spark = texts.sparkSession
-    plain = _salted(texts, "text", "lang", F.lit(False).alias("mark"), F.struct(F.lit(None).cast("int").alias("none")).alias("carried"))
+def _counted(trusted: DataFrame, order: int) -> Model:
+    """The model of trusted's rows that aren't held out, which are deleted there; counted from the longest order down, without limits yet."""
+    spark = trusted.sparkSession
+    plain = _salted(trusted.filter("not held_out"), "text", "lang", F.lit(False).alias("mark"), F.struct(F.lit(None).cast("int").alias("none")).alias("carried"))
     columns = ["block", "marks", "lengths", "vocabulary", "tokens"]
     with rows_a_batch(spark, 1000):
         made = plain.mapInArrow(lambda batches: make_blocks(batches, BLOCK_BYTES), block_schema("struct<none:int>"))
         with bucketed(made, "kn_blocks", "block") as blocks, rows_a_batch(spark, BLOCK_ROWS):
+            _delete(spark, f"{trusted.millrace_path}/held_out=false")
             bits = shard_bits(blocks.select("lengths").mapInArrow(_sizes, "n bigint").agg(F.sum("n")).first()[0] or 0, MODEL_TOKENS)
 
             def sending(m: int):
@@ -202,20 +204,21 @@ def _counted(texts: DataFrame, order: int) -> Model:
                 tables[m] = written(to_shards(sent).mapInArrow(_add_up(order), COUNTED), "kn-counts", partition_by="role")
                 del source, sent
                 release(spark)
-            every, rows = answer(1), tables[1]
+            every = answer(1)
             for m in range(2, order + 1):
-                every, rows = every.union(answer(m)), rows.union(tables[m])
+                every = every.union(answer(m))
             stats = with_answers(blocks.select(*columns), every).mapInArrow(count, STATS).groupBy("lang", "level")
             stats = stats.agg(*[F.sum(c).alias(c) for c in ("n1", "n2", "n3", "n4", "total", "kinds")]).collect()
-            table = written(rows.filter("role = 'model'").select("level", "shard", "block", "keys", "data"), "kn-model", partition_by="level")
-            del every, rows
-    dropped(*tables.values())
+            del every
+    for table in tables.values():
+        _delete(spark, f"{table.millrace_path}/role=answer")
+    release(spark)
     numbers: dict[int, dict[int, tuple]] = {}
     for r in stats:
         numbers.setdefault(r.lang % (1 << 64), {})[r.level] = r
     four = lambda r: [r.n1, r.n2, r.n3, r.n4]
     languages = {k: Language([[0.0] * 3, *[kn_discounts(four(by[m])) for m in range(1, order + 1)]], by[1].total, by[1].kinds, [by[1].n1, by[1].n2, by[1].kinds - by[1].n1 - by[1].n2]) for k, by in numbers.items()}
-    return Model(order, bits, table, languages)
+    return Model(order, bits, tables, languages)
 
 
 def _ranked(ids: DataFrame) -> DataFrame:
@@ -244,15 +247,16 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int | None = None, ord
     found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("_lang")).filter("text is not null")
     there = found.join(good, found["_id"] == good["_good"]).select("_id", "_lang").distinct()
     ranks = _ranked(there)
-    drawn = ranks if train_docs is None else ranks.filter(F.col("_rank") <= train_docs)
-    chosen = drawn.select(F.col("_id").alias("_chosen"), F.col("_lang").alias("_l"), "_rank")
+    chosen = ranks if train_docs is None else ranks.filter(F.col("_rank") <= train_docs)
+    chosen = chosen.select(F.col("_id").alias("_chosen"), F.col("_lang").alias("_l"), "_rank")
     trusted = found.join(small(chosen), (F.col("_id") == F.col("_chosen")) & F.col("_lang").eqNullSafe(F.col("_l")))
-    trusted = written(trusted.select("text", F.col("_lang").alias("lang"), (F.col("_rank") % 5 == 0).alias("held_out")), "trusted")
-    model = _counted(trusted.filter("not held_out").select("text", "lang"), order)
+    trusted = written(trusted.select("text", F.col("_lang").alias("lang"), (F.col("_rank") % 5 == 0).alias("held_out")), "trusted", partition_by="held_out")
+    drawn = trusted.groupBy("lang").count().collect()
+    model = _counted(trusted, order)
     held = _scored(trusted.filter("held_out"), model, ["lang"], "text", "lang", waves=1)
     limits = held.filter("log10_p is not null").groupBy("lang").agg(F.expr(f"percentile_disc({float(quantile)!r}) within group (order by -log10_p / n_tokens)").alias("t")).collect()
     model.limits = {lang_key(r.lang): r.t for r in limits}
-    model.unjudged = {r.lang: r["count"] for r in trusted.groupBy("lang").count().collect() if lang_key(r.lang) not in model.limits}
+    model.unjudged = {r.lang: r["count"] for r in drawn if lang_key(r.lang) not in model.limits}
     dropped(ranks, trusted, held)
     return model
 
@@ -345,18 +349,21 @@ def _scored(docs: DataFrame, model: Model, columns: list[str], text_col: str, la
             yield pa.RecordBatch.from_arrays([*row["carried"].values.flatten(), *measured], [*[f"c{i}" for i in range(len(columns))], "n_tokens", "log10_p", "perplexity", "threshold", "kept"])
 
     for wave in range(waves):
-        part = plain if waves == 1 else plain.filter(F.pmod(F.xxhash64("text", "carried", F.lit(3)), F.lit(waves)) == wave)
+        rows = plain if waves == 1 else plain.filter(F.pmod(F.xxhash64("text", "carried", F.lit(3)), F.lit(waves)) == wave)
         with rows_a_batch(spark, 1000):
-            made = part.mapInArrow(lambda batches: make_blocks(batches, BLOCK_BYTES), block_schema(carried))
+            made = rows.mapInArrow(lambda batches: make_blocks(batches, BLOCK_BYTES), block_schema(carried))
             with bucketed(made, "kn_blocks", "block") as blocks:
                 tokens = blocks.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
                 bits = max(model.bits, shard_bits(tokens // 2))
 
-                def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                    for row in rows_of(batches):
-                        block = Block(row, order)
-                        for m in range(1, order + 1):
-                            yield sent_rows(row["block"], m, block.keys[m], block.slices(m, bits), lambda a, b: None)  # noqa: B023
+                def sending(levels: list[int]):
+                    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                        for row in rows_of(batches):
+                            block = Block(row, max(levels))
+                            for m in levels:
+                                yield sent_rows(row["block"], m, block.keys[m], block.slices(m, bits), lambda a, b: None)  # noqa: B023
+
+                    return send
 
                 def recut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for row in rows_of(batches):
@@ -366,14 +373,18 @@ def _scored(docs: DataFrame, model: Model, columns: list[str], text_col: str, la
                         yield sent_rows(-1, row["level"], keys, cut, lambda a, b: pack_ints(numbers[:, a:b].ravel()))  # noqa: B023
 
                 model_bits = model.bits
+                answers = []
                 with rows_a_batch(spark, BLOCK_ROWS):
-                    sent = blocks.select("block", "marks", "lengths", "vocabulary", "tokens").mapInArrow(send, SENT)
-                    both = sent.union(model.table.select("level", "shard", "block", "keys", "data").mapInArrow(recut, SENT))
-                    answers = written(to_shards(both).mapInArrow(lookup, ANSWER), "kn-answers")
-                    del sent, both
-                    release(spark)
-                    tables.append(written(with_answers(blocks, answers).mapInArrow(evaluate, result), "kn-scores"))
-                dropped(answers)
+                    for levels in ([*range(1, order)], [order]):
+                        both = blocks.select("block", "marks", "lengths", "vocabulary", "tokens").mapInArrow(sending(levels), SENT)
+                        for m in levels:
+                            part = model.tables[m].filter("role = 'model'").select("level", "shard", "block", "keys", "data")
+                            both = both.union(part if bits == model_bits else part.mapInArrow(recut, SENT))
+                        answers.append(written(to_shards(both).mapInArrow(lookup, ANSWER), "kn-answers"))
+                        del both
+                        release(spark)
+                    tables.append(written(with_answers(blocks, answers[0].union(answers[1])).mapInArrow(evaluate, result), "kn-scores"))
+                dropped(*answers)
     out = tables[0]
     for t in tables[1:]:
         out = out.union(t)
