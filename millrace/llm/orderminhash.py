@@ -30,7 +30,9 @@ Most alignments are spared:
    with unlike ones, which the counts tell apart without making a row for each
    pair. In ROUNDS rounds each document is aligned with just the one that it is
    nearest to by counts, and links make components, so that a large group is one
-   before the last round aligns every pair that is still open.
+   before the last round aligns every pair that is still open. Of buckets with
+   the same members one is read, and later rounds read only members for which a
+   round found a pair that the counts allow: links never add to those.
 """
 
 from __future__ import annotations
@@ -52,8 +54,8 @@ SHORT = 40
 BATCH_BYTES = 2 << 20
 #: Bins of the word counts that rule out pairs of a bucket, and how many of them are first compared as one.
 BINS, FOLD = 1024, 4
-#: Members of a bucket above which its pairs are dealt out in blocks.
-COMMON = 4096
+#: Members of a bucket above which its pairs are dealt out in blocks, and the most blocks: each member goes to as many tasks at most, however large its bucket is.
+COMMON, SPREAD = 4096, 16
 #: Rounds in which each document is aligned with its nearest one of another component, before all pairs that are left.
 ROUNDS = 2
 #: Members that share one copy of their pivot's words.
@@ -297,25 +299,39 @@ def verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, thre
     return links
 
 
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """The rows of buckets for each pair of blocks (i, j) that they belong to: c times each."""
+    part = F.pmod(F.xxhash64("id"), F.col("c"))
+    dealt = rows.select("key", "id", "n", "label", "bins", "keys", part.alias("part"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("c") - 1)).alias("q"))
+    return dealt.select("key", F.least("part", "q").alias("i"), F.greatest("part", "q").alias("j"), "part", "n", "id", "label", "bins", "keys")
+
+
+def open_buckets(labelled: DataFrame) -> DataFrame:
+    """(key, c) of the buckets of (key, id, label) with several labels, and the blocks to deal them to; of those with the same members that with the least key."""
+    members = [F.bit_xor(F.xxhash64("id", F.lit(seed))).alias(f"s{seed}") for seed in (1, 2)]
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), *members).filter("low < high")
+    return mixed.groupBy("s1", "s2", "size").agg(F.min("key").alias("key")).select("key", F.least(F.ceil(F.col("size") / COMMON), F.lit(SPREAD)).cast("bigint").alias("c"))
+
+
 def candidates(rows: DataFrame, threshold: float, n_sketches: int, nearest: bool = False) -> DataFrame:
-    """The pairs (a, b), a > b, of members of a bucket that differ in label and may reach the threshold by lengths and word counts; with `nearest` one for each document, that whose counts are nearest.
+    """(key, n, a, b, score): the pairs of members of a bucket that differ in label and may reach the threshold by lengths and word counts; with `nearest` one for each member a of n words, that whose counts are nearest.
 
     rows has key, id, n, label, bins, all the id's keys, and c, the blocks that
     the bucket's members are dealt to; each pair of blocks is a unit of work. A
-    pair that agrees on several sketches is told of in the first one's bucket.
+    pair that agrees on several sketches is told of in the bucket of the least
+    key of those, which of buckets with the same members is the one that
+    open_buckets() leaves, or else in one of words left out.
     """
-    part = F.pmod(F.xxhash64("id"), F.col("c"))
-    dealt = rows.select("key", "id", "n", "label", "bins", "keys", part.alias("part"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("c") - 1)).alias("q"))
-    dealt = dealt.select("key", F.least("part", "q").alias("i"), F.greatest("part", "q").alias("j"), "part", "n", "id", "label", "bins", "keys")
+    dealt = in_blocks(rows)
 
     def passing(t: pa.Table) -> pa.RecordBatch:
         group = np.column_stack([t[c].to_numpy() for c in ("key", "i", "j")])
         part, n, ids, label = (t[c].to_numpy() for c in ("part", "n", "id", "label"))
         fine = np.frombuffer(b"".join(t["bins"].to_pylist()), np.uint8).reshape(-1, BINS)
-        key = group[:, 0].view(np.uint64)
-        slots = np.zeros((len(n), 2 * n_sketches), np.uint64)
+        key, none = group[:, 0], np.iinfo("<i8").max
+        slots = np.full((len(n), 2 * n_sketches), none)
         column = t["keys"].combine_chunks()
-        flat, at = column.flatten().to_numpy().view(np.uint64), column.offsets.to_numpy()[:-1] - column.offsets[0].as_py()
+        flat, at = column.flatten().to_numpy(), column.offsets.to_numpy()[:-1] - column.offsets[0].as_py()
         for side, has in enumerate(families(n, threshold)[:2]):
             where = np.flatnonzero(has)
             slots[where[:, None], side * n_sketches + np.arange(n_sketches)] = flat[at[where, None] + np.arange(n_sketches)]
@@ -342,10 +358,10 @@ def candidates(rows: DataFrame, threshold: float, n_sketches: int, nearest: bool
                 for bins in (coarse, fine):
                     apart = (np.maximum(bins[u], bins[v]) - np.minimum(bins[u], bins[v])).sum(axis=1, dtype="<i8")
                     good = apart <= most
-                    if bins is coarse:
-                        same = (slots[u] == slots[v]) & (slots[u] != 0)
-                        good &= ~same.any(axis=1) | (slots[u, same.argmax(axis=1)] == key[u])
                     u, v, apart, most = u[good], v[good], apart[good], most[good]
+                least = np.where(slots[u] == slots[v], slots[u], none).min(axis=1)
+                good = (least == key[u]) | ~(slots[u] == key[u, None]).any(axis=1)
+                u, v, apart = u[good], v[good], apart[good]
                 score = apart / n[v]
                 if not nearest:
                     found.append(np.column_stack([ids[u], ids[v]]))
@@ -355,9 +371,10 @@ def candidates(rows: DataFrame, threshold: float, n_sketches: int, nearest: bool
                     best[p[nearer]], other[p[nearer]] = score[nearer], ids[q[nearer]]
         if nearest:
             has = np.isfinite(best)
-            return pa.RecordBatch.from_pydict({"a": ids[has], "b": other[has], "score": best[has]})
+            return pa.RecordBatch.from_pydict({"key": key[has], "n": n[has], "a": ids[has], "b": other[has], "score": best[has]})
         pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
-        return pa.RecordBatch.from_pydict({"a": pairs[:, 1].copy(), "b": pairs[:, 0].copy(), "score": np.zeros(len(pairs))})
+        none = pa.nulls(len(pairs), pa.int64())
+        return pa.RecordBatch.from_pydict({"key": none, "n": none, "a": pairs[:, 1].copy(), "b": pairs[:, 0].copy(), "score": np.zeros(len(pairs))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -376,10 +393,7 @@ def candidates(rows: DataFrame, threshold: float, n_sketches: int, nearest: bool
             yield passing(held)
 
     dealt = dealt.repartition(partitions(rows.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "n")
-    pairs = dealt.mapInArrow(run, "a bigint, b bigint, score double")
-    if nearest:
-        pairs = pairs.groupBy("a").agg(F.min(F.struct("score", "b")).alias("s")).select(F.greatest("a", "s.b").alias("a"), F.least("a", "s.b").alias("b"))
-    return pairs.select("a", "b").distinct()
+    return dealt.mapInArrow(run, "key bigint, n bigint, a bigint, b bigint, score double")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, k: int = K, picked: int = PICKED, n_sketches: int = SKETCHES) -> DataFrame:
@@ -411,10 +425,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for step in range(ROUNDS + 1):
         labels = small(reached.withColumnRenamed("node", "id"))
         labelled = open_rows.select("key", "id", "n").join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-        mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / COMMON).alias("c")).filter("low < high").select("key", "c")
-        # A bucket whose members are one component stays so: later rounds read the others only.
-        open_rows = written(labelled.join(small(written(mixed, "open-keys")), "key"), "open-buckets")
-        near = candidates(open_rows.join(reps.select("id", "bins", "keys"), "id"), threshold, n_sketches, step < ROUNDS)
+        here = labelled.join(small(written(open_buckets(labelled), "open-keys")), "key")
+        told = written(candidates(here.join(reps.select("id", "bins", "keys"), "id"), threshold, n_sketches, step < ROUNDS), "told")
+        if step < ROUNDS:
+            # Labels only merge: a member without a pair here has none in a later round either.
+            open_rows = told.select("key", F.col("a").alias("id"), "n").distinct()
+            told = told.groupBy("a").agg(F.min(F.struct("score", "b")).alias("s")).select("a", "s.b")
+        near = told.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         rest = written(near.join(tried, ["a", "b"], "left_anti"), "rest")
         if rest.limit(1).count():
             more = verified(docs, rest, id_col, text_col, threshold)

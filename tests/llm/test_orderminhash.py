@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from millrace.llm import common as C
 from millrace.llm import orderminhash as O
@@ -139,3 +140,25 @@ def test_query(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     label = {r.doc_id: r.class_id for r in rows}
     assert label == brute(list(texts.items()))
+
+
+def test_rows_of_a_large_bucket_do_not_grow_with_its_square(spark, monkeypatch):
+    """A bucket's members go to SPREAD tasks each at most; of buckets with the same members one is read; members without a possible pair are read once."""
+    monkeypatch.setattr(O, "COMMON", 1)
+    labelled = spark.range(300).selectExpr("5L as key", "id", "id as label", "10L as n", "cast('' as binary) as bins", "array(5L) as keys")
+    keys = O.open_buckets(labelled)
+    assert [r.c for r in keys.collect()] == [O.SPREAD]
+    assert O.in_blocks(labelled.join(keys, "key")).count() == 300 * O.SPREAD
+    same = labelled.union(labelled.withColumn("key", F.lit(3))).union(labelled.filter("id < 299").withColumn("key", F.lit(1)))
+    assert {r.key for r in O.open_buckets(same).collect()} == {1, 3}
+    monkeypatch.setattr(O, "COMMON", 64)
+    r = random.Random(13)
+    fresh = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    passage = fresh(60)
+    docs = [passage + fresh(60) for _ in range(200)] + [passage + fresh(3) for _ in range(3)]
+    read = []
+    plain = O.candidates
+    monkeypatch.setattr(O, "candidates", lambda rows, *more: read.append(rows.count()) or plain(rows, *more))
+    got = {x.doc_id: x.class_id for x in O.near_duplicates(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id bigint, text string")).collect()}
+    assert got == {i: min(i, 200) for i in range(203)}
+    assert read[0] > 1000 and max(read[1:]) < 20
