@@ -8,7 +8,7 @@ groups above HOT occurrences are split by further least hashes, which equal
 strings share as well.
 
 Each shard of groups is then solved by a Burrows-Wheeler transform of its
-pieces: breadth-first backward extension of intervals finds common prefix
+pieces, without those that are alone in their group but for copies: breadth-first backward extension of intervals finds common prefix
 lengths in increasing order (Beller et al. 2011), and stops at `length`:
 boundaries between neighbouring suffixes that have no value by then have that
 much in common. Suffixes are sorted to that depth only, which is as far as the
@@ -207,6 +207,23 @@ def _ranges(starts: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[np.concatenate([[0], cut + 1])].tolist(), starts[np.append(cut, len(starts) - 1)].tolist(), strict=True)) if len(starts) else []
 
 
+def solved_pieces(keys: np.ndarray, pieces: list[bytes], copies: np.ndarray, length: int) -> list[list[tuple[int, int]]]:
+    """For each piece of a shard the runs of starts that are repeated.
+
+    A piece that occurs several times is repeated throughout. If it is its
+    group's only one as well, no other piece holds a string of it, so the
+    transform would tell nothing and goes without it.
+    """
+    _, group, size = np.unique(keys, return_inverse=True, return_counts=True)
+    open_ = np.flatnonzero((size[group] > 1) | (copies == 1))
+    out = [[(0, len(p) - length)] if c > 1 else [] for p, c in zip(pieces, copies.tolist(), strict=True)]
+    if len(open_):
+        for i, starts in zip(open_.tolist(), repeated([pieces[i] for i in open_], length), strict=True):
+            if copies[i] == 1:
+                out[i] = _ranges(starts)
+    return out
+
+
 def spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(h, spans) for each text, by its MD5, that has repeated passages; spans are (first, last) starts in bytes."""
     spark = docs.sparkSession
@@ -254,13 +271,12 @@ def spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH, hot: in
     dropped(lists)
     shards = max(1, math.ceil(total / shard_bytes))
     distinct = occurrences.groupBy("key", "piece_id", "piece").agg(F.count("*").alias("n")).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-    dealt = distinct.select("shard", "piece_id", "piece", "n").repartition(min(shards, max(partitions(spark), shards // 64)), "shard").sortWithinPartitions("shard")
+    dealt = distinct.select("shard", "key", "piece_id", "piece", "n").repartition(min(shards, max(partitions(spark), shards // 64)), "shard").sortWithinPartitions("shard")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, ["shard"]):
-            pieces, copies = group["piece"].to_pylist(), group["n"].to_numpy()
-            starts = repeated(pieces, length)
-            out = [(i, [(0, len(p) - length)] if c > 1 else _ranges(s)) for i, p, c, s in zip(group["piece_id"].to_pylist(), pieces, copies, starts, strict=True) if c > 1 or len(s)]
+            found = solved_pieces(group["key"].to_numpy(), group["piece"].to_pylist(), group["n"].to_numpy(), length)
+            out = [(i, r) for i, r in zip(group["piece_id"].to_pylist(), found, strict=True) if r]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.binary()), pa.array([[{"a": a, "b": b} for a, b in r] for _, r in out], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], ["piece_id", "ranges"])
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -62,3 +63,14 @@ def test_query(spark):
     want = {d.doc_id: (a, b, c, hashlib.sha256(k).hexdigest()) for d, (a, b, c, k) in zip(docs, brute([d.text for d in docs], 200), strict=True)}
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op9_suffixdedup(spark, sf).collect()}
     assert got == want
+
+
+def test_copies_alone_in_their_group_need_no_transform(monkeypatch):
+    taken = []
+    plain = D.repeated
+    monkeypatch.setattr(D, "repeated", lambda pieces, length: taken.append(pieces) or plain(pieces, length))
+    pieces = [b"abcdef", b"xabcdy", b"lonely", b"copied", b"ababab"]
+    got = D.solved_pieces(np.array([1, 1, 2, 3, 4]), pieces, np.array([2, 1, 1, 5, 1]), 4)
+    assert got == [[(0, 2)], [(1, 1)], [], [(0, 2)], [(0, 0), (2, 2)]]
+    assert taken == [[b"abcdef", b"xabcdy", b"lonely", b"ababab"]]
+    assert D.solved_pieces(np.array([3]), [b"copied"], np.array([2]), 4) == [[(0, 2)]] and len(taken) == 1
