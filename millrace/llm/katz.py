@@ -111,7 +111,7 @@ class Counted(Block):
     """A block with the corpus's counts of its n-grams: for each order `count`, `own` and `held`."""
 
     def __init__(self, row: dict, order: int):
-        super().__init__(row, order)
+        super().__init__(row)
         answers = [joined(row["answers"], m) for m in range(1, order + 1)]
         self.count = [None, *[a >> 2 for a in answers]]
         self.own = [None, *[(a & 1) > 0 for a in answers]]
@@ -181,7 +181,7 @@ def _score(blocks: DataFrame, order: int, result: str) -> DataFrame:
     def counting(levels: list[int], part: int, parts: int):
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row in rows_of(batches):
-                block = Block(row, max(levels))
+                block = Block(row)
                 marks = block.marks[block.doc]
                 for m in levels:
                     cut = block.slices(m, bits, None, part, parts)

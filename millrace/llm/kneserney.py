@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import _delete, bucketed, dropped, fresh, release, rows_a_batch, small, written
 from millrace.llm.mixing import offsets
-from millrace.llm.ngrams import ANSWER, BEGIN, SENT, Block, block_schema, joined, make_blocks, rows_of, salted, sent_rows, shard_bits, shard_groups, to_shards, with_answers
+from millrace.llm.ngrams import ANSWER, BEGIN, SENT, Block, block_schema, changes, in_order, joined, make_blocks, rows_of, salted, sent_rows, shard_bits, shard_groups, to_shards, with_answers
 from millrace.llm.tokens import pack, pack_ints, unpack, unpack_ints
 
 ORDER = 3
@@ -120,9 +120,9 @@ def _told(block: Block, answers: list[dict], m: int) -> tuple[np.ndarray, np.nda
 
 def _numbers(block: Block, answers: list[dict] | None, m: int, order: int) -> np.ndarray:
     """A column for each n-gram of order m: of the longest its plain count here, of a shorter one NUMBERS from the longer ones that this block tells of."""
-    n = len(block.keys[m])
     if m == order:
-        return np.bincount(block.number[m][block.real], minlength=n).reshape(1, -1)
+        return block.counts(m).reshape(1, -1)
+    n = len(block.keys[m])
     place, c = _told(block, answers, m + 1)
     starts = place - block.begins[block.doc[place]] < m  # its first word is a beginning
     context = block.number[m][block.before[place]]
@@ -133,8 +133,9 @@ def _numbers(block: Block, answers: list[dict] | None, m: int, order: int) -> np
 def _add_up(order: int):
     """Of a shard: its part of the model, and to each block for each of its keys the count where that block is the first to have it, else 0."""
 
-    def row(role: str, level: int, shard: int, block: int, keys: bytes | None, data: bytes) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"role": [role], "level": pa.array([level], pa.int32()), "shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int64()), "keys": pa.array([keys], pa.binary()), "data": pa.array([data], pa.binary())})
+    def rows(role: str, level: int, shard: int, blocks: list[int], keys: bytes | None, data: list[bytes]) -> pa.RecordBatch:
+        n = len(blocks)
+        return pa.RecordBatch.from_pydict({"role": [role] * n, "level": pa.array([level] * n, pa.int32()), "shard": pa.array([shard] * n, pa.int32()), "block": pa.array(blocks, pa.int64()), "keys": pa.array([keys] * n, pa.binary()), "data": pa.array(data, pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in shard_groups(batches):
@@ -143,9 +144,8 @@ def _add_up(order: int):
             ends = np.cumsum([len(p) for p in parts])
             keys = np.concatenate(parts)
             sent = np.concatenate([unpack_ints(x).reshape(-1, len(p)) for x, p in zip(group["data"].to_pylist(), parts, strict=True)], axis=1)
-            by = np.argsort(keys, kind="stable")
-            keys = keys[by]
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            by, keys = in_order(keys)
+            first = np.flatnonzero(changes(keys))
             sums = np.add.reduceat(sent[:, by], first, axis=1)
             answer = np.zeros(len(keys), "<i8")
             answer[by[first]] = sums[0]
@@ -153,9 +153,8 @@ def _add_up(order: int):
             if real.any():
                 numbers = np.zeros((NUMBERS, int(real.sum())), "<i8")
                 numbers[: len(sums)] = sums[:, real]
-                yield row("model", level, shard, -1, pack(keys[first][real]), pack_ints(numbers.ravel()))
-            for block, a, b in zip(group["block"].to_pylist(), np.append(0, ends[:-1]), ends, strict=True):
-                yield row("answer", level, shard, block, None, pack_ints(answer[a:b]))
+                yield rows("model", level, shard, [-1], pack(keys[first][real]), [pack_ints(numbers.ravel())])
+            yield rows("answer", level, shard, group["block"].to_pylist(), None, [pack_ints(answer[a:b]) for a, b in zip(np.append(0, ends[:-1]), ends, strict=True)])
 
     return run
 
@@ -179,7 +178,7 @@ def _counted(trusted: DataFrame, order: int) -> Model:
             def sending(m: int):
                 def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for row in rows_of(batches):
-                        block = Block(row, min(order, m + 1))
+                        block = Block(row)
                         numbers = _numbers(block, row.get("answers"), m, order)
                         yield sent_rows(row["block"], m, block.keys[m], block.slices(m, bits), lambda a, b: pack_ints(numbers[:, a:b].ravel()))  # noqa: B023
 
@@ -187,7 +186,7 @@ def _counted(trusted: DataFrame, order: int) -> Model:
 
             def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for row in rows_of(batches):
-                    block = Block(row, order)
+                    block = Block(row)
                     for m in range(1, order + 1):
                         place, c = _told(block, row["answers"], m)
                         langs, lang = np.unique(block.keys[1][block.number[1][block.begins[block.doc[place]]]], return_inverse=True)
@@ -321,6 +320,7 @@ def _scored(docs: DataFrame, model: Model, columns: list[str], text_col: str, la
         for group in shard_groups(batches):
             level, shard = group["level"][0].as_py(), group["shard"][0].as_py()
             held, numbers, n = np.zeros(0, np.uint64), None, 1 if level == order else NUMBERS
+            blocks, answers = [], []
             for block, keys, data in zip(group["block"].to_pylist(), group["keys"], group["data"], strict=True):
                 keys = unpack(keys.as_py())
                 if block < 0:
@@ -331,11 +331,13 @@ def _scored(docs: DataFrame, model: Model, columns: list[str], text_col: str, la
                     spot = np.minimum(np.searchsorted(held, keys), len(held) - 1)
                     hit = held[spot] == keys
                     found[:, hit] = numbers[:, spot[hit]]
-                yield pa.RecordBatch.from_pydict({"level": pa.array([level], pa.int32()), "shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int64()), "data": [pack_ints(found.ravel())]})
+                blocks.append(block)
+                answers.append(pack_ints(found.ravel()))
+            yield pa.RecordBatch.from_pydict({"level": pa.array([level] * len(blocks), pa.int32()), "shard": pa.array([shard] * len(blocks), pa.int32()), "block": pa.array(blocks, pa.int64()), "data": pa.array(answers, pa.binary())})
 
     def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches, ("carried",)):
-            block = Block(row, order)
+            block = Block(row)
             numbers = [None]
             for m in range(1, order + 1):
                 own = sorted((a for a in row["answers"] if a["level"] == m), key=lambda a: a["shard"])
@@ -359,7 +361,7 @@ def _scored(docs: DataFrame, model: Model, columns: list[str], text_col: str, la
                 def sending(levels: list[int]):
                     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         for row in rows_of(batches):
-                            block = Block(row, max(levels))
+                            block = Block(row)
                             for m in levels:
                                 yield sent_rows(row["block"], m, block.keys[m], block.slices(m, bits), lambda a, b: None)  # noqa: B023
 

@@ -41,24 +41,97 @@ def salted(hashes: np.ndarray, salt: np.ndarray) -> np.ndarray:
     return mix(hashes + salt)
 
 
-def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted distinct keys, a place of each, number of each place's key)."""
-    order = np.argsort(keys)
+def in_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the places of keys in order of key, equal ones in order of place; the keys so ordered).
+
+    Numbers sort much faster by themselves than places do by numbers. So each
+    key gives its last bits to its place, after the leading bits that all share
+    have gone; keys that are told apart only by bits lost are sorted the slow way.
+    """
+    n = len(keys)
+    if n < 2:
+        return np.arange(n), keys.copy()
+    shared, bits = np.uint64(64 - (int(keys.min()) ^ int(keys.max())).bit_length()), np.uint64((n - 1).bit_length())
+    if shared == 64:
+        return np.arange(n), keys.copy()
+    packed = keys << shared
+    packed >>= bits
+    packed <<= bits
+    packed |= np.arange(n, dtype=np.uint64)
+    packed.sort()
+    packed &= np.uint64((1 << int(bits)) - 1)
+    order = packed.view("<i8")
     held = keys[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = held[1:] != held[:-1]
+    if (held[1:] < held[:-1]).any():
+        order = np.argsort(keys, kind="stable")
+        held = keys[order]
+    return order, held
+
+
+def changes(held: np.ndarray) -> np.ndarray:
+    """Which of the ordered keys differ from the one before."""
+    new = np.ones(len(held), bool)
+    np.not_equal(held[1:], held[:-1], out=new[1:])
+    return new
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct keys, the first place of each, number of each place's key)."""
+    order, held = in_order(keys)
+    new = changes(held)
     number = np.empty(len(keys), "<i8")
     number[order] = np.cumsum(new) - 1
     return held[new], order[new], number
 
 
+class Grams:
+    """The n-grams of a stream of numbered words by order, made when they are first read."""
+
+    def __init__(self, vocabulary: np.ndarray, tokens: np.ndarray, before: np.ndarray):
+        self.before = before
+        self._ending, self._keys, self._number, self._place = {1: vocabulary[tokens]}, {1: vocabulary}, {1: tokens}, {}
+
+    def ending(self, m: int) -> np.ndarray:
+        if m not in self._ending:
+            self._ending[m] = pair_keys(self.ending(m - 1)[self.before], self._ending[1])
+        return self._ending[m]
+
+    def keys(self, m: int) -> np.ndarray:
+        if m not in self._keys:
+            held = np.sort(self.ending(m))
+            self._keys[m] = held[changes(held)]
+        return self._keys[m]
+
+    def _found(self, of: dict[int, np.ndarray], m: int) -> np.ndarray:
+        if m not in of:
+            keys, self._place[m], self._number[m] = distinct(self.ending(m))
+            self._keys.setdefault(m, keys)
+        return of[m]
+
+    def number(self, m: int) -> np.ndarray:
+        return self._found(self._number, m)
+
+    def place(self, m: int) -> np.ndarray:
+        return self._found(self._place, m)
+
+
+class ByOrder:
+    def __init__(self, of: Callable[[int], np.ndarray]):
+        self.of = of
+
+    def __getitem__(self, m: int) -> np.ndarray:
+        return self.of(m)
+
+
 class Block:
-    """Documents as streams of BEGIN, words, END; for each order the distinct n-grams and which one ends at each token.
+    """Documents as streams of BEGIN, words, END; for each order the distinct n-grams, a place of each, and which one ends at each token.
 
     The n-grams that end at BEGIN are of BEGINs alone; they are contexts only.
+    Orders are made as they are read: sorted keys alone take no numbers, and
+    longer keys don't need the shorter ones sorted.
     """
 
-    def __init__(self, row: dict, order: int):
+    def __init__(self, row: dict):
         lengths = unpack_ints(row["lengths"])
         self.marks = np.frombuffer(row["marks"], bool)
         vocabulary, tokens = unpack(row["vocabulary"]), unpack_ints(row["tokens"])
@@ -68,12 +141,18 @@ class Block:
         self.real[self.begins] = False
         self.before = np.arange(-1, len(tokens) - 1)
         self.before[self.begins] = self.begins
-        self.keys, self.number, self.place = [None, vocabulary], [None, tokens], [None, None]
-        for _ in range(1, order):
-            keys, place, number = distinct(pair_keys(self.keys[-1][self.number[-1][self.before]], vocabulary[tokens]))
-            self.keys.append(keys)
-            self.place.append(place)
-            self.number.append(number)
+        # Nothing of these refers to the block, so that its arrays go with it at once.
+        grams = Grams(vocabulary, tokens, self.before)
+        #: ending: the key of the n-gram that ends at each token.
+        self.ending, self.keys, self.number, self.place = ByOrder(grams.ending), ByOrder(grams.keys), ByOrder(grams.number), ByOrder(grams.place)
+
+    def counts(self, m: int) -> np.ndarray:
+        """How many words and ends each n-gram ends at."""
+        held = np.sort(self.ending[m])
+        first = np.flatnonzero(changes(held))
+        out = np.diff(first, append=len(held))
+        out[np.searchsorted(self.keys[m], self.ending[m][self.begins])] = 0
+        return out
 
     def slices(self, level: int, bits: int, chosen: np.ndarray | None = None, part: int = 0, parts: int = 1) -> list[tuple[int, int, int]]:
         """(shard, from, to) of the sorted keys of a level, or of the chosen ones, by their leading bits; empty ones are left out. Of `parts` ranges of shards, one."""

@@ -155,3 +155,32 @@ def test_all_trusted_documents_count(spark, monkeypatch):
 def test_query_is_repeatable(spark):
     first, second = (sorted(map(tuple, op4_kneserney(spark, "/root/testdata/sf0.001").collect())) for _ in range(2))
     assert first == second and len(first) == 200
+
+
+def test_blocks_make_only_what_is_read():
+    """Keys that are only sent get no numbers, and longer ones don't need the shorter ones sorted; all is as by plain sorting."""
+    r = np.random.default_rng(8)
+    lengths, vocabulary = np.array([300, 3, 200]), np.sort(r.integers(0, 1 << 63, 50).astype(np.uint64))
+    begins = np.cumsum(lengths) - lengths
+    tokens = r.integers(1, 50, lengths.sum())
+    tokens[begins] = 0
+    row = {"lengths": KN.pack_ints(lengths), "marks": bytes(3), "vocabulary": KN.pack(vocabulary), "tokens": KN.pack_ints(tokens)}
+    block = N.Block(row)
+    grams = block.keys.of.__self__
+    assert len(block.keys[3]) and set(grams._number) == {1} and set(grams._keys) == {1, 3}
+    key, before = vocabulary[tokens], np.maximum(np.arange(len(tokens)) - 1, np.repeat(begins, lengths))
+    for m in (2, 3):
+        key = N.pair_keys(key[before], vocabulary[tokens])
+        keys, number = np.unique(key, return_inverse=True)
+        real = np.isin(np.arange(len(tokens)), begins, invert=True)
+        for made in (N.Block(row), block):
+            assert (made.counts(m) == np.bincount(number[real], minlength=len(keys))).all()
+            assert (made.keys[m] == keys).all() and (made.number[m] == number).all() and (key[made.place[m]] == keys).all()
+
+
+@pytest.mark.parametrize("keys", [[], [7], [7, 7, 7], [5, 4, 5, (1 << 64) - 1, 0, 4], [*range(1000, 0, -1), 1 << 63, (1 << 63) + 1, 1 << 63]])
+def test_places_in_order_of_key(keys):
+    """Also where the bits that places take tell keys apart."""
+    keys = np.array(keys, np.uint64)
+    order, held = N.in_order(keys)
+    assert (order == np.argsort(keys, kind="stable")).all() and (held == np.sort(keys)).all()
