@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import tempfile
 import time
@@ -15,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: What lets go of that which operators keep in a Python worker between tasks.
+FORGET: list[Callable[[], None]] = []
 #: White space that parts words: space and code points 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -136,6 +139,16 @@ def spread(key: Column, n: int) -> Column:
     return F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("bigint") % F.lit(n)
 
 
+def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a step that needs its memory: what other operators keep in this worker goes first, and freed memory goes back to the system at the end."""
+    for forget in FORGET:
+        forget()
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def chunks(batch: pa.RecordBatch, column: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """The batch in slices whose texts take most_bytes at most; a longer text comes alone. No row is left out."""
     at = held = 0

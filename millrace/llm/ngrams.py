@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import chunks, groups, partitions
+from millrace.llm.common import chunks, groups, lean, partitions
 from millrace.llm.tokens import mix, pack, pack_ints, unpack, unpack_ints, words
 
 BLOCK_BYTES, CHUNK_BYTES = 4 << 20, 1 << 20
@@ -180,7 +180,7 @@ def make_blocks(batches: Iterator[pa.RecordBatch], block_bytes: int | None = Non
         listed = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
         return pa.RecordBatch.from_arrays([pa.array([partition << 24 | made], pa.int64()), listed, *[pa.array([x], pa.binary()) for x in (np.concatenate(marks).tobytes(), pack_ints(np.concatenate(lengths)), pack(vocabulary), pack_ints(tokens))]], ["block", "carried", "marks", "lengths", "vocabulary", "tokens"])
 
-    for batch in (part for whole in batches if whole.num_rows for part in chunks(whole, 0, CHUNK_BYTES)):
+    for batch in (part for whole in lean(batches) if whole.num_rows for part in chunks(whole, 0, CHUNK_BYTES)):
         hashes, offsets = words(batch.column(0))
         n, docs = np.diff(offsets), np.arange(batch.num_rows)
         stream = np.empty(len(hashes) + 2 * len(docs), np.uint64)
@@ -201,7 +201,7 @@ def make_blocks(batches: Iterator[pa.RecordBatch], block_bytes: int | None = Non
 
 def rows_of(batches: Iterator[pa.RecordBatch], arrow: tuple[str, ...] = ()) -> Iterator[dict]:
     """Rows as dictionaries; columns named in `arrow` stay Arrow values."""
-    for batch in batches:
+    for batch in lean(batches):
         for i in range(batch.num_rows):
             yield {name: batch.column(name)[i] if name in arrow else batch.column(name)[i].as_py() for name in batch.schema.names}
 
@@ -224,7 +224,7 @@ def to_shards(sent: DataFrame) -> DataFrame:
 
 
 def shard_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    return groups(batches, ["level", "shard"])
+    return groups(lean(batches), ["level", "shard"])
 
 
 def with_answers(blocks: DataFrame, answers: DataFrame, name: str = "answers") -> DataFrame:

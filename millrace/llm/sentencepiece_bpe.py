@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from millrace.llm.common import chunks
+from millrace.llm.common import FORGET, chunks
 
 MARK = "▁"
 #: Stretches that a worker keeps in each of two turns; a stretch that a turn doesn't use goes.
@@ -166,6 +166,7 @@ class Vocabulary:
 
 
 _loaded: dict[str, Vocabulary] = {}
+FORGET.append(_loaded.clear)
 
 
 def load(path: str) -> Vocabulary:

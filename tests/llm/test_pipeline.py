@@ -1,7 +1,7 @@
 import numpy as np
 
 import corpus_pipeline as P
-from millrace.llm import mixing, pii
+from millrace.llm import mixing, ngrams, pii, sentencepiece_bpe
 from millrace.llm.orderminhash import near_duplicates
 from millrace.llm.sentencepiece_bpe import load
 
@@ -103,3 +103,10 @@ def test_empty_and_null(spark):
         for _, stage in P.STAGES:
             docs = P.written(stage(spark, docs, SF), "test")
         assert all(np.isfinite(r.n_tokens) for r in docs.collect())
+
+
+def test_quality_takes_back_what_tokens_kept():
+    """A worker that has encoded texts lets its stretches go when it counts n-grams."""
+    load(P.model_path()).encode(["some words of a text"])
+    assert sentencepiece_bpe._loaded
+    assert list(ngrams.rows_of(iter([]))) == [] and not sentencepiece_bpe._loaded
