@@ -23,14 +23,16 @@ Most alignments are spared:
 2. Each document is aligned with the least document of the bucket that it
    shares most often; a group of thousands of near copies costs one alignment
    each. Links make components.
-3. All pairs of a bucket that are still in different components, and whose
-   lengths allow the threshold, are compared by their word counts in BINS bins.
-   These bound the words in common from above, so that no pair which the
-   threshold allows is lost. A passage that many documents share fills buckets
-   with unlike ones, which the counts tell apart without making a row for each
-   pair. In ROUNDS rounds each document is aligned with just the one that it is
+3. Buckets with the same least document are one group, so that a document comes
+   once into it, however many of them it is in; each pair of a bucket is one of
+   that bucket's group. All pairs of a group that are still in different
+   components, and whose lengths allow the threshold, are compared by their word
+   counts in BINS bins. These bound the words in common from above, so that no
+   pair which the threshold allows is lost. A passage that many documents share
+   fills groups with unlike ones, which the counts tell apart without making a
+   row for each pair. In ROUNDS rounds each document is aligned with just the one that it is
    nearest to by counts, and links make components, so that a large group is one
-   before the last round aligns every pair that is still open. Of buckets with
+   before the last round aligns every pair that is still open. Of groups with
    the same members one is read, and later rounds read only members for which a
    round found a pair that the counts allow: links never add to those.
 """
@@ -52,9 +54,9 @@ K, PICKED, SKETCHES, THRESHOLD = 3, 2, 80, 0.8
 #: Texts of up to this many words are sketched by pairs of words.
 SHORT = 40
 BATCH_BYTES = 2 << 20
-#: Bins of the word counts that rule out pairs of a bucket, and how many of them are first compared as one.
+#: Bins of the word counts that rule out pairs of a group, and how many of them are first compared as one.
 BINS, FOLD = 1024, 4
-#: Members of a bucket above which its pairs are dealt out in blocks, and the most blocks: each member goes to as many tasks at most, however large its bucket is.
+#: Members of a group above which its pairs are dealt out in blocks, and the most blocks: each member goes to as many tasks at most, however large its group is.
 COMMON, SPREAD = 4096, 16
 #: Rounds in which each document is aligned with its nearest one of another component, before all pairs that are left.
 ROUNDS = 2
@@ -300,27 +302,26 @@ def verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, thre
 
 
 def in_blocks(rows: DataFrame) -> DataFrame:
-    """The rows of buckets for each pair of blocks (i, j) that they belong to: c times each."""
+    """The rows of groups for each pair of blocks (i, j) that they belong to: c times each."""
     part = F.pmod(F.xxhash64("id"), F.col("c"))
-    dealt = rows.select("key", "id", "n", "label", "bins", "keys", part.alias("part"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("c") - 1)).alias("q"))
-    return dealt.select("key", F.least("part", "q").alias("i"), F.greatest("part", "q").alias("j"), "part", "n", "id", "label", "bins", "keys")
+    dealt = rows.select("*", part.alias("part"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("c") - 1)).alias("q"))
+    return dealt.withColumns({"i": F.least("part", "q"), "j": F.greatest("part", "q")}).drop("c", "q")
 
 
 def open_buckets(labelled: DataFrame) -> DataFrame:
-    """(key, c) of the buckets of (key, id, label) with several labels, and the blocks to deal them to; of those with the same members that with the least key."""
+    """(key, c) of the groups of (key, id, label) with several labels, and the blocks to deal them to; of those with the same members that with the least key."""
     members = [F.bit_xor(F.xxhash64("id", F.lit(seed))).alias(f"s{seed}") for seed in (1, 2)]
     mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), *members).filter("low < high")
     return mixed.groupBy("s1", "s2", "size").agg(F.min("key").alias("key")).select("key", F.least(F.ceil(F.col("size") / COMMON), F.lit(SPREAD)).cast("bigint").alias("c"))
 
 
-def candidates(rows: DataFrame, threshold: float, n_sketches: int, nearest: bool = False) -> DataFrame:
-    """(key, n, a, b, score): the pairs of members of a bucket that differ in label and may reach the threshold by lengths and word counts; with `nearest` one for each member a of n words, that whose counts are nearest.
+def candidates(rows: DataFrame, threshold: float, nearest: bool = False) -> DataFrame:
+    """(key, n, a, b, score): the pairs of members of a group that differ in label and may reach the threshold by lengths and word counts; with `nearest` one for each member a of n words, that whose counts are nearest.
 
-    rows has key, id, n, label, bins, all the id's keys, and c, the blocks that
-    the bucket's members are dealt to; each pair of blocks is a unit of work. A
-    pair that agrees on several sketches is told of in the bucket of the least
-    key of those, which of buckets with the same members is the one that
-    open_buckets() leaves, or else in one of words left out.
+    rows has key, id, n, label, bins, and c, the blocks that the group's members
+    are dealt to; each pair of blocks is a unit of work. Without `nearest` it has
+    the id's pivots as well, which are the keys of all its groups: a pair that
+    meets in several is told of in that of the least key.
     """
     dealt = in_blocks(rows)
 
@@ -328,14 +329,8 @@ def candidates(rows: DataFrame, threshold: float, n_sketches: int, nearest: bool
         group = np.column_stack([t[c].to_numpy() for c in ("key", "i", "j")])
         part, n, ids, label = (t[c].to_numpy() for c in ("part", "n", "id", "label"))
         fine = np.frombuffer(b"".join(t["bins"].to_pylist()), np.uint8).reshape(-1, BINS)
-        key, none = group[:, 0], np.iinfo("<i8").max
-        slots = np.full((len(n), 2 * n_sketches), none)
-        column = t["keys"].combine_chunks()
-        flat, at = column.flatten().to_numpy(), column.offsets.to_numpy()[:-1] - column.offsets[0].as_py()
-        for side, has in enumerate(families(n, threshold)[:2]):
-            where = np.flatnonzero(has)
-            slots[where[:, None], side * n_sketches + np.arange(n_sketches)] = flat[at[where, None] + np.arange(n_sketches)]
-            at = at + n_sketches * has
+        key = group[:, 0]
+        lesser = [] if nearest else [{p for p in pivots if p < k} for pivots, k in zip(t["pivots"].to_pylist(), key.tolist(), strict=True)]
         coarse = fine.reshape(-1, FOLD, BINS // FOLD).sum(axis=1, dtype=np.uint16)
         new = np.ones(len(n), bool)
         new[1:] = np.any(group[1:] != group[:-1], axis=1)
@@ -359,13 +354,11 @@ def candidates(rows: DataFrame, threshold: float, n_sketches: int, nearest: bool
                     apart = (np.maximum(bins[u], bins[v]) - np.minimum(bins[u], bins[v])).sum(axis=1, dtype="<i8")
                     good = apart <= most
                     u, v, apart, most = u[good], v[good], apart[good], most[good]
-                least = np.where(slots[u] == slots[v], slots[u], none).min(axis=1)
-                good = (least == key[u]) | ~(slots[u] == key[u, None]).any(axis=1)
-                u, v, apart = u[good], v[good], apart[good]
-                score = apart / n[v]
                 if not nearest:
-                    found.append(np.column_stack([ids[u], ids[v]]))
+                    good = np.array([lesser[p].isdisjoint(lesser[q]) for p, q in zip(u.tolist(), v.tolist(), strict=True)], bool)
+                    found.append(np.column_stack([ids[u[good]], ids[v[good]]]))
                     continue
+                score = apart / n[v]
                 for p, q in ((u, v), (v, u)):
                     nearer = score < best[p]
                     best[p[nearer]], other[p[nearer]] = score[nearer], ids[q[nearer]]
@@ -412,21 +405,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dropped(sk, classes)
     rows = written(reps.select(F.explode("keys").alias("key"), "id", "n"), "buckets")
     heads = rows.groupBy("key").agg(F.min(F.struct("id", "n")).alias("head"), F.count("*").alias("size")).filter("size > 1")
-    multi = written(rows.join(heads.select("key", F.col("head.id").alias("pivot"), F.col("head.n").alias("pivot_n")), "key"), "shared-buckets")
+    # A row for each document and each pivot that it shares buckets with, the pivot among them.
+    shared = rows.join(heads.select("key", F.col("head.id").alias("pivot"), F.col("head.n").alias("pivot_n")), "key")
+    met = written(shared.groupBy("pivot", "id").agg(F.min("n").alias("n"), F.min("pivot_n").alias("pivot_n"), F.count("*").alias("votes")), "met")
     dropped(rows)
 
     fits = lambda m, n: F.least(m, n) >= F.greatest(m, n) * F.lit(threshold) - F.lit(1e-9)
-    votes = multi.filter((F.col("id") != F.col("pivot")) & fits(F.col("n"), F.col("pivot_n"))).groupBy("id", "pivot").agg(F.count("*").alias("votes"))
+    votes = met.filter((F.col("id") != F.col("pivot")) & fits(F.col("n"), F.col("pivot_n")))
     first = written(votes.groupBy("id").agg(F.max(F.struct("votes", (-F.col("pivot")).alias("p"))).alias("best")).select(F.col("id").alias("a"), (-F.col("best.p")).alias("b")), "first-pairs")
     links = verified(docs, first, id_col, text_col, threshold)
     tried = first.select("a", "b")
     reached = written(components(links), "components")
-    open_rows = multi
+    open_rows = met.select(F.col("pivot").alias("key"), "id", "n")
     for step in range(ROUNDS + 1):
         labels = small(reached.withColumnRenamed("node", "id"))
         labelled = open_rows.select("key", "id", "n").join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
         here = labelled.join(small(written(open_buckets(labelled), "open-keys")), "key")
-        told = written(candidates(here.join(reps.select("id", "bins", "keys"), "id"), threshold, n_sketches, step < ROUNDS), "told")
+        if step == ROUNDS:
+            here = here.join(met.groupBy("id").agg(F.collect_list("pivot").alias("pivots")), "id")
+        told = written(candidates(here.join(reps.select("id", "bins"), "id"), threshold, step < ROUNDS), "told")
         if step < ROUNDS:
             # Labels only merge: a member without a pair here has none in a later round either.
             open_rows = told.select("key", F.col("a").alias("id"), "n").distinct()

@@ -162,3 +162,26 @@ def test_rows_of_a_large_bucket_do_not_grow_with_its_square(spark, monkeypatch):
     got = {x.doc_id: x.class_id for x in O.near_duplicates(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id bigint, text string")).collect()}
     assert got == {i: min(i, 200) for i in range(203)}
     assert read[0] > 1000 and max(read[1:]) < 20
+
+
+def test_a_document_comes_once_to_a_group_of_buckets(spark, monkeypatch):
+    """Documents that share dozens of buckets by a passage are read once for each least document of those; a pair that meets in several groups is told of once."""
+    r = random.Random(14)
+    fresh = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    passage = fresh(120)
+    docs = [fresh(30) + passage + fresh(30) for _ in range(200)] + [passage + fresh(20) for _ in range(2)]
+    read, told = [], []
+    plain = O.candidates
+
+    def seen(rows, *more):
+        read.append((rows.count(), rows.select("key", "id").distinct().count()))
+        out = plain(rows, *more)
+        told.append((out.count(), out.select("a", "b").distinct().count()))
+        return out
+
+    monkeypatch.setattr(O, "candidates", seen)
+    monkeypatch.setattr(O, "ROUNDS", 0)
+    got = {x.doc_id: x.class_id for x in O.near_duplicates(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id bigint, text string")).collect()}
+    assert got == {i: min(i, 200) for i in range(202)}
+    assert read[0][0] == read[0][1] < 15 * len(docs)
+    assert told[0][0] == told[0][1]
