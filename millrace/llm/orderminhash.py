@@ -54,6 +54,8 @@ K, PICKED, SKETCHES, THRESHOLD = 3, 2, 80, 0.8
 #: Texts of up to this many words are sketched by pairs of words.
 SHORT = 40
 BATCH_BYTES = 2 << 20
+#: K-mers, or those of one longer document, that are sketched at a time.
+BLOCK = 1 << 16
 #: Bins of the word counts that rule out pairs of a group, and how many of them are first compared as one.
 BINS, FOLD = 1024, 4
 #: Members of a group above which its pairs are dealt out in blocks, and the most blocks: each member goes to as many tasks at most, however large its group is.
@@ -76,42 +78,63 @@ def kmers(hashes: np.ndarray, offsets: np.ndarray, k: int = K) -> tuple[np.ndarr
         at = first + i
         there = at < offsets[1:][doc]
         code = np.where(there, mix(code * np.uint64(3) + hashes[np.minimum(at, max(0, len(hashes) - 1))]) if len(hashes) else code, code)
-    order = np.argsort(mix(code ^ mix(doc.astype(np.uint64))), kind="stable")
-    same = np.zeros(len(code), bool)
-    same[1:] = (code[order][1:] == code[order][:-1]) & (doc[order][1:] == doc[order][:-1])
-    run = np.arange(len(code))
-    starts = np.maximum.accumulate(np.where(same, 0, run))
-    label = np.empty(len(code), np.uint64)
-    label[order] = (run - starts).astype(np.uint64)
-    return mix(code + label * np.uint64(0xD1342543DE82EF95)), bounds
+    # Only k-mers that may occur again in their document are ordered: by bits of those hashes that a sort finds twice.
+    spot = mix(code ^ mix(np.arange(len(n), dtype=np.uint64))[doc])
+    ordered = np.sort(spot)
+    marks = np.zeros(1 << 20, bool)
+    marks[(ordered[1:][ordered[1:] == ordered[:-1]] >> np.uint64(44)).astype("<i8")] = True
+    again = np.flatnonzero(marks[(spot >> np.uint64(44)).astype("<i8")])
+    again = again[np.argsort(spot[again], kind="stable")]
+    same = np.zeros(len(again), bool)
+    same[1:] = (code[again][1:] == code[again][:-1]) & (doc[again][1:] == doc[again][:-1])
+    run = np.arange(len(again))
+    code[again] += (run - np.maximum.accumulate(np.where(same, 0, run))).astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
+    return mix(code), bounds
 
 
 def sketch(codes: np.ndarray, bounds: np.ndarray, sketches: int = SKETCHES, picked: int = PICKED, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """(documents with k-mers, a row of sketch values for each)."""
+    """(documents with k-mers, a row of sketch values for each). K-mers are ordered by 32-bit hashes of the lower half of their codes, equal ones by place."""
     has = np.flatnonzero(np.diff(bounds) > 0)
     starts, sizes = bounds[:-1][has], np.diff(bounds)[has]
-    out = np.zeros((len(has), sketches), np.uint64)
     if not len(has):
-        return has, out
+        return has, np.zeros((0, sketches), np.uint64)
     seeds = mix(np.arange(1, sketches + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+    flips, factors = seeds.astype(np.uint32), (seeds >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
     top = np.iinfo(np.uint64).max
-    for j in range(sketches):
-        value = mix(codes ^ seeds[j])
-        places = np.full((len(has), picked), np.iinfo("<i8").max)
-        for p in range(min(picked, int(sizes.max()))):
-            least = np.minimum.reduceat(value, starts)
-            at = np.flatnonzero(value == np.repeat(least, sizes))
-            row = np.searchsorted(starts, at, side="right") - 1
-            there = least[row] != top
-            places[row[there][::-1], p] = at[there][::-1]
-            value[at] = top
-        places.sort(axis=1)  # text order
-        key = np.zeros(len(has), np.uint64)
-        for p in range(picked):
-            held = places[:, p] < len(codes)
-            key = np.where(held, mix(key * np.uint64(5) + codes[np.where(held, places[:, p], 0)]), key)
-        out[:, j] = key
-    return has, out
+    places = np.full((sketches, len(has), picked), np.iinfo("<i8").max)
+    # Some documents at a time, whose hashes fit into a core's cache.
+    cuts = np.flatnonzero(np.diff(starts // BLOCK)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(has)], strict=True):
+        first, last = starts[a], starts[b - 1] + sizes[b - 1]
+        low, at = codes[first:last].astype(np.uint32), starts[a:b] - first
+        value, shifted = np.empty_like(low), np.empty_like(low)
+        # The hash in the upper half, the place in the lower.
+        packed = np.arange(len(low), dtype="<u8")
+        upper = packed.view("<u4")[1::2]
+        rounds = min(picked, int(sizes[a:b].max()))
+        for j in range(sketches):
+            np.bitwise_xor(low, flips[j], out=value)
+            np.multiply(value, factors[j], out=value)
+            np.right_shift(value, np.uint32(16), out=shifted)
+            np.bitwise_xor(value, shifted, out=value)
+            np.multiply(value, np.uint32(0x846CA68B), out=value)
+            upper[:] = value
+            taken = []
+            for p in range(rounds):
+                least = np.minimum.reduceat(packed, at)
+                there = least != top
+                place = (least[there] & np.uint64(0xFFFFFFFF)).astype("<i8")
+                places[j, a:b, p][there] = place + first
+                packed[place] = top
+                taken.append(place)
+            for place in taken:
+                packed[place] = place.astype(np.uint64)
+    places.sort(axis=2)  # text order
+    out = np.zeros((sketches, len(has)), np.uint64)
+    for p in range(picked):
+        held = places[:, :, p] < len(codes)
+        out = np.where(held, mix(out * np.uint64(5) + codes[np.where(held, places[:, :, p], 0)]), out)
+    return has, np.ascontiguousarray(out.T)
 
 
 def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -172,6 +195,21 @@ def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return edge if edge <= most else most + 1
 
 
+def within(a: np.ndarray, b: np.ndarray, most: int) -> bool:
+    """Whether the edit distance is `most` or less.
+
+    A bound from above may spare the alignment: words side by side from the start
+    up to some place, and from the end after it, with the longer one's rest between.
+    """
+    n, gap = min(len(a), len(b)), abs(len(a) - len(b))
+    if gap > most:
+        return False
+    left, right = np.zeros(n + 1, "<i8"), np.zeros(n + 1, "<i8")
+    np.cumsum(a[:n] != b[:n], out=left[1:])
+    np.cumsum(a[::-1][:n] != b[::-1][:n], out=right[1:])
+    return gap + int((left + right[::-1]).min()) <= most or banded_distance(a, b, most) <= most
+
+
 def similar(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> bool:
     """Whether the edit similarity is the threshold or more. Both empty: alike."""
     longer = max(len(a), len(b))
@@ -182,7 +220,7 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> bool:
         common = sum((Counter(a.tolist()) & Counter(b.tolist())).values())
         if longer - common > most:  # the words that one lacks must each be edited
             return False
-    return banded_distance(a, b, most) <= most
+    return within(a, b, most)
 
 
 def _tags(family: int, n: int) -> np.ndarray:
@@ -291,7 +329,7 @@ def verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, thre
                 longer = np.maximum(n, n[p])
                 most = ((1 - threshold) * longer + 1e-9).astype("<i8")
                 for i in np.flatnonzero((role == 1) & (longer - shared <= most)):
-                    if banded_distance(hashes[offsets[i] : offsets[i + 1]], hashes[offsets[p] : offsets[p + 1]], int(most[i])) <= most[i]:
+                    if within(hashes[offsets[i] : offsets[i + 1]], hashes[offsets[p] : offsets[p + 1]], int(most[i])):
                         good.add(int(ids[i]))
             if good:
                 yield pa.RecordBatch.from_pydict({"a": np.array(sorted(good), "<i8"), "b": np.full(len(good), rows["b"][0].as_py(), "<i8")})
@@ -403,12 +441,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = sk.join(classes.select("h", F.col("rep").alias("id")), ["h", "id"], "left_semi").groupBy("id").agg(F.min(F.struct("h", "n", "keys", "bins")).alias("s"))
     reps = written(reps.select("id", "s.n", "s.keys", "s.bins"), "reps")
     dropped(sk, classes)
-    rows = written(reps.select(F.explode("keys").alias("key"), "id", "n"), "buckets")
+    # One exchange by key serves the groups and the join.
+    rows = reps.select(F.explode("keys").alias("key"), "id", "n").repartition("key")
     heads = rows.groupBy("key").agg(F.min(F.struct("id", "n")).alias("head"), F.count("*").alias("size")).filter("size > 1")
     # A row for each document and each pivot that it shares buckets with, the pivot among them.
     shared = rows.join(heads.select("key", F.col("head.id").alias("pivot"), F.col("head.n").alias("pivot_n")), "key")
     met = written(shared.groupBy("pivot", "id").agg(F.min("n").alias("n"), F.min("pivot_n").alias("pivot_n"), F.count("*").alias("votes")), "met")
-    dropped(rows)
 
     fits = lambda m, n: F.least(m, n) >= F.greatest(m, n) * F.lit(threshold) - F.lit(1e-9)
     votes = met.filter((F.col("id") != F.col("pivot")) & fits(F.col("n"), F.col("pivot_n")))

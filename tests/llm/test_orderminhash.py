@@ -185,3 +185,31 @@ def test_a_document_comes_once_to_a_group_of_buckets(spark, monkeypatch):
     assert got == {i: min(i, 200) for i in range(202)}
     assert read[0][0] == read[0][1] < 15 * len(docs)
     assert told[0][0] == told[0][1]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=14), st.lists(st.integers(0, 3), max_size=14), st.integers(0, 9))
+def test_within(a, b, most):
+    assert O.within(np.array(a, "<u8"), np.array(b, "<u8"), most) == (distance(a, b) <= most)
+
+
+def test_replaced_words_or_one_gap_need_no_alignment(monkeypatch):
+    monkeypatch.setattr(O, "banded_distance", None)
+    a = np.arange(100, dtype="<u8")
+    b = a.copy()
+    b[::6] += np.uint64(1000)
+    assert O.within(a, b, 20) and O.within(np.delete(b, slice(40, 43)), a, 20) and not O.within(a, a[:79], 20)
+
+
+def test_sketch_is_the_same_in_blocks_of_any_size(monkeypatch):
+    """Also for documents without k-mers, with one, or with more than a block holds."""
+    r = np.random.default_rng(2)
+    n = np.array([0, 1, 2, 50, 0, 3, 400, 7, 0])
+    bounds = np.concatenate([[0], np.cumsum(n)]).astype("<i8")
+    codes = r.integers(0, 2**63, bounds[-1]).astype(np.uint64)
+    has, whole = O.sketch(codes, bounds)
+    assert has.tolist() == np.flatnonzero(n).tolist() and len(np.unique(whole[0])) == 1
+    monkeypatch.setattr(O, "BLOCK", 16)
+    assert O.sketch(codes, bounds)[1].tolist() == whole.tolist()
+    for row, i in zip(whole, has, strict=True):
+        assert O.sketch(codes[bounds[i] : bounds[i + 1]], np.array([0, n[i]]))[1].tolist() == [row.tolist()]
